@@ -20,57 +20,62 @@ from pyspark.sql import functions as F
 
 LANES, BITS = 8, 64
 MODULUS = 1 << 32
-SENTENCE_END = r"[.!?\n]+"
+SENTENCE_END = "[.!?\\n]+"
 
 
-def _paragraph_lanes(text: Column) -> Column:
-    hashes = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p.cast("binary"), 256))
+def _bind(value: str, name: str, use: str) -> str:
+    """SQL of use with name standing for value, computed once: higher-order functions don't share subexpressions."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
-    def lane(i: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long")).bitwiseAND(F.lit(MODULUS - 1)))
 
-    return F.array(*[lane(i) for i in range(LANES)])
+def _sum(values: str, of: str) -> str:
+    return f"aggregate({values}, 0L, (total, h) -> total + {of})"
 
 
-def _sentence_lanes(text: Column) -> Column:
+def _paragraph_lanes(text: str) -> str:
+    lanes = ", ".join(f"{_sum('hs', f'cast(conv(substring(h, {1 + 8 * i}, 8), 16, 10) AS BIGINT)')} & {MODULUS - 1}" for i in range(LANES))
+    return _bind(f"transform(split({text}, '\\n', -1), p -> sha2(cast(p AS BINARY), 256))", "hs", f"array({lanes})")
+
+
+def _sentence_lanes(text: str) -> str:
     """The number of sentences, then how many of their hashes have bit i set, for each i."""
-    hashes = F.transform(F.filter(F.split(text, SENTENCE_END, -1), lambda s: s != ""), lambda s: F.substring(F.sha2(s.cast("binary"), 256), 1, 16))
-    half = lambda at: F.transform(hashes, lambda h: F.conv(F.substring(h, at, 8), 16, 10).cast("long"))
-    halves = [half(1), half(9)]
+    sentences = f"filter(split({text}, '{SENTENCE_END}', -1), s -> s <> '')"
+    halves = ", ".join(f"transform(hs, h -> cast(conv(substring(h, {at}, 8), 16, 10) AS BIGINT))" for at in (1, 9))
+    lanes = ", ".join(_sum(f"hh[{i // 32}]", f"(shiftright(h, {i % 32}) & 1L)") for i in range(BITS))
+    return _bind(f"transform({sentences}, s -> substring(sha2(cast(s AS BINARY), 256), 1, 16))", "hs", _bind(f"array({halves})", "hh", f"array(cast(size(hh[0]) AS BIGINT), {lanes})"))
 
-    def lane(i: int) -> Column:
-        return F.aggregate(halves[i // 32], F.lit(0).cast("long"), lambda a, h: a + F.shiftright(h, i % 32).bitwiseAND(F.lit(1).cast("long")))
 
-    return F.array(F.size(hashes).cast("long"), *[lane(i) for i in range(BITS)])
+def with_vector(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the fingerprint of a text column as columns name_p and name_s, both array<long>.
+
+    Two columns rather than a struct, as the optimizer would compute a struct anew for each use of a field.
+    """
+    whole = f"coalesce({text}, '')"
+    return rows.withColumns({f"{name}_p": F.expr(_paragraph_lanes(whole)), f"{name}_s": F.expr(_sentence_lanes(whole))})
 
 
-def vector(text: Column) -> Column:
-    """The fingerprint as struct<p array<long>, s array<long>>."""
-    whole = F.coalesce(text, F.lit(""))
-    return F.struct(_paragraph_lanes(whole).alias("p"), _sentence_lanes(whole).alias("s"))
+def vector(name: str) -> dict[str, Column]:
+    return {part: F.col(f"{name}_{part}") for part in "ps"}
 
 
-def combine(a: Column, b: Column, sign: int = 1) -> Column:
+def combine(a: dict[str, Column], b: dict[str, Column], sign: int = 1) -> dict[str, Column]:
     """Fingerprint of a's paragraphs with b's inserted (sign 1) or deleted (sign -1)."""
     add = lambda x, y: x + y * F.lit(sign)
-    return F.struct(F.zip_with(a["p"], b["p"], lambda x, y: F.pmod(add(x, y), F.lit(MODULUS))).alias("p"), F.zip_with(a["s"], b["s"], add).alias("s"))
+    return {"p": F.zip_with(a["p"], b["p"], lambda x, y: F.pmod(add(x, y), F.lit(MODULUS))), "s": F.zip_with(a["s"], b["s"], add)}
 
 
-def render(v: Column) -> Column:
+def render(v: dict[str, Column]) -> Column:
     """Lanes as fixed-width hexadecimal, then the sentence counts."""
     lanes = F.array_join(F.transform(v["p"], lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
     return F.concat(lanes, F.lit(":"), F.array_join(F.transform(v["s"], lambda x: x.cast("string")), ","))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common sentences, 0 to 1; 1 for equal fingerprints."""
-    signed = lambda v: F.transform(F.slice(v["s"], 2, BITS), lambda x: 2 * x - v["s"][0])
-    zero = F.lit(0).cast("long")
-    square = lambda v: F.aggregate(v, zero, lambda t, x: t + x * x)
-    x, y = signed(a), signed(b)
-    dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), zero, lambda t, p: t + p)
-    total = square(x) + square(y) - dot  # half of x² + y² + (x - y)²
-    return F.when(a["p"] == b["p"], 1.0).when(total <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.greatest(total, F.lit(1).cast("long")))))
+def likeness(a: str, b: str) -> Column:
+    """Estimated share of common sentences of the fingerprints named a and b, 0 to 1; 1 for equal ones."""
+    signed = ", ".join(f"transform(slice({v}_s, 2, {BITS}), x -> 2 * x - {v}_s[0])" for v in (a, b))
+    dot, squares = _sum("zip_with(xy[0], xy[1], (p, q) -> p * q)", "h"), f"{_sum('xy[0]', 'h * h')} + {_sum('xy[1]', 'h * h')}"
+    share = "CASE WHEN d[1] - d[0] <= 0 THEN 0D ELSE greatest(0D, least(1D, d[0] / greatest(d[1] - d[0], 1L))) END"
+    return F.expr(f"CASE WHEN {a}_p = {b}_p THEN 1D ELSE {_bind(f'array({signed})', 'xy', _bind(f'array({dot}, {squares})', 'd', share))} END")
 
 
 def _with_block(rows: DataFrame, bounds: list[int]) -> DataFrame:
@@ -83,8 +88,8 @@ def _with_block(rows: DataFrame, bounds: list[int]) -> DataFrame:
     return rows.withColumn("block", coarse + above(F.slice(literal(down), coarse + 1, step)) if down else F.lit(0))
 
 
-def with_next(rows: DataFrame, rows_per_block: int = 20_000) -> DataFrame:
-    """Joins each row of (id long, text, extra columns) to its next row in descending id order, the last to the first.
+def with_next(rows: DataFrame, derive, rows_per_block: int = 20_000) -> DataFrame:
+    """Joins each row of (id long, text) and the columns that derive adds to the next row in descending id order, the last to the first.
 
     The ids are cut at quantiles into blocks that are sorted on their own; each block's first row also
     stands at the end of the block before it. So no task gets more than a block and no row is moved twice.
@@ -97,9 +102,9 @@ def with_next(rows: DataFrame, rows_per_block: int = 20_000) -> DataFrame:
     first = heads.agg(F.min("block")).first()[0]
     before = Window.orderBy("block")  # a row per block
     heads = heads.select("id", F.col("block").alias("own"), F.coalesce(F.lag("block").over(before), F.max("block").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("block"))
-    ends = placed.drop("block").withColumn("own_id", F.col("id")).drop("id").join(heads, F.col("own_id").eqNullSafe(heads["id"])).drop("own_id", "own")
-    other = [c for c in rows.columns if c != "id"]
-    both = placed.select("id", *other, "block", F.lit(False).alias("end")).unionByName(ends.select("id", *other, "block", F.lit(True).alias("end")))
+    ends = rows.select(F.col("id").alias("own_id"), "text").join(heads, F.col("own_id").eqNullSafe(heads["id"]))
+    both = derive(placed.select("id", "text", "block", F.lit(False).alias("end")).unionByName(ends.select("id", "text", "block", F.lit(True).alias("end"))))
+    other = [c for c in both.columns if c not in ("id", "block", "end")]
     order = Window.partitionBy("block").orderBy("end", F.col("id").desc_nulls_last(), F.col("text").desc_nulls_last())
     assert first is not None or n == 0
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in other]).where(~F.col("end")).drop("block", "end")
@@ -113,10 +118,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = F.char_length("text")
-    paired = with_next(rows.withColumn("v", vector(F.col("text"))), rows_per_block)
+    paired = with_next(rows, lambda r: with_vector(r, "text", "v"), rows_per_block)
     edited = paired.withColumn("edited", F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.left("next_text", F.floor(n / 2).cast("int"))))
-    edited = edited.select("id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "v", "next_v", vector(F.col("edited")).alias("e"))
-    return edited.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", render(F.col("v")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.col("next_v")).alias("near_next"),
+    done = with_vector(edited, "edited", "e")
+    return done.select(
+        F.col("id").alias(id_col), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), render(vector("v")).alias("fingerprint"), render(vector("e")).alias("edited_fingerprint"),
+        likeness("v", "e").alias("near_edited"), likeness("v", "next_v").alias("near_next"),
     )
