@@ -1,10 +1,6 @@
 """Registered queries: each applies operators of this library to the standard tables, with equivalent SQL."""
 
-from __future__ import annotations
+from . import catalog, depth, metrics, raster, reports, sampling, stats, streams, windows  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Readers: catalog views over tables, and codecs for binary rasters."""
