@@ -80,5 +80,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_OP2_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nt FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text DESC)),
+e AS (SELECT doc_id, rn, text, length(text) AS n_chars, left(text, length(text) - length(text) // 2) || left(nt, length(text) // 2) AS edited FROM n),
+t AS (SELECT rn, 'v' AS kind, text AS t FROM e UNION ALL SELECT rn, 'e', edited FROM e),
+h AS (SELECT rn, kind, list_transform(string_split(t, chr(10)), lambda p: sha256(p)) AS ps, list_transform(list_filter(string_split_regex(t, '[.!?\n]+'), lambda s: s <> ''), lambda s: sha256(s)) AS ss FROM t),
+f AS (SELECT rn, kind, list_transform(range(8), lambda i: list_sum(list_transform(ps, lambda h: CAST('0x' || substr(h, CAST(1 + 8 * i AS BIGINT), 8) AS BIGINT))) % 4294967296) AS p, len(ss) AS n,
+  list_transform(range(64), lambda i: CAST(coalesce(list_sum(list_transform(ss, lambda h: (CAST('0x' || substr(h, CASE WHEN i < 32 THEN 1 ELSE 9 END, 8) AS BIGINT) >> (i % 32)) & 1)), 0) AS BIGINT)) AS s FROM h),
+r AS (SELECT *, array_to_string(list_transform(p, lambda x: format('{:08x}', CAST(x AS BIGINT))), '') || ':' || n || ',' || array_to_string(s, ',') AS text, list_transform(s, lambda x: 2 * x - n) AS x FROM f),
+j AS (SELECT e.*, v.p AS vp, v.x AS vx, v.text AS fingerprint, ed.p AS ep, ed.x AS ex, ed.text AS edited_fingerprint, np.p AS np, np.x AS nx
+  FROM e JOIN r v ON v.rn = e.rn AND v.kind = 'v' JOIN r ed ON ed.rn = e.rn AND ed.kind = 'e' JOIN r np ON np.kind = 'v' AND np.rn = e.rn % (SELECT count(*) FROM e) + 1)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, @NEAR:e@ AS near_edited, @NEAR:n@ AS near_next FROM j"""
+for _k in "en":
+    _dot, _squares = f"list_sum(list_transform(range(1, 65), lambda i: vx[i] * {_k}x[i]))", f"list_sum(list_transform(range(1, 65), lambda i: vx[i] * vx[i] + {_k}x[i] * {_k}x[i]))"
+    _OP2_SQL = _OP2_SQL.replace(f"@NEAR:{_k}@", f"CASE WHEN vp = {_k}p THEN 1.0::DOUBLE WHEN {_squares} - {_dot} <= 0 THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, CAST({_dot} AS DOUBLE) / CAST({_squares} - {_dot} AS DOUBLE)))::DOUBLE END")
+
+_OP3_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '</turn', '<\/turn'), '<turn', '<\turn')) + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + 15 AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+_OP8_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, rn, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+u AS (SELECT rn, len(s) AS n, unnest(s) AS x FROM g),
+l AS (SELECT a.rn AS a, b.rn AS b FROM u a JOIN u b ON a.x = b.x AND a.rn <> b.rn GROUP BY a.rn, b.rn HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(a, b) AS (SELECT rn, rn FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, c.component_id, g.doc_id = c.component_id AS kept FROM g JOIN (SELECT r.a, min(d.doc_id) AS component_id FROM r JOIN d ON d.rn = r.b GROUP BY r.a) c ON c.a = g.rn"""
+
+_OP9_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source),
+w AS (SELECT *, (pos - 1) % 3 + 1 AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * n / CAST(w AS DOUBLE), pos) AS k FROM w),
+p AS (SELECT *, CAST(sum(n) OVER () - coalesce(sum(3 * n) OVER b, 0) AS BIGINT) AS rest, CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS BIGINT) AS heft FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, bool_and(3 * n * heft < w * rest) OVER (ORDER BY k) AS capped FROM p),
+t AS (SELECT source, n, CASE WHEN capped THEN CAST(3 * n AS DOUBLE) ELSE CAST(w * (SELECT min_by(rest, k) FROM c WHERE NOT capped) AS DOUBLE) / (SELECT min_by(heft, k) FROM c WHERE NOT capped) END AS target FROM c),
+q AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS whole FROM t),
+m AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2 AS middle FROM d)
+SELECT doc_id, size, n AS source_size, target, CAST(size * (whole + CASE WHEN n > 0 AND middle < (target - whole * n) / n * n THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m JOIN q ON m.source IS NOT DISTINCT FROM q.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_fingerprints": _OP2_SQL, "op3_chat_format": _OP3_SQL, "op8_near_dedup": _OP8_SQL, "op9_mixing": _OP9_SQL}
