@@ -6,13 +6,14 @@ minhashes; the labels of a tree are sorted, and neighbours that share a prefix o
 are confirmed on full shingle sets; links give components.
 
 Sorted neighbours alone yield a number of candidates linear in the rows, however many copies there
-are. What they may miss is looked for where it can be: in the regions (shared prefixes) whose rows
-are not all in one component, every pair of rows of different components is estimated, and those not
-excluded are confirmed, nearest first, until no region has an unconfirmed pair. Regions with too many
-such pairs go one prefix value deeper (adaptive depth). So no group of copies is expanded into all
-pairs and no cap drops a link; what remains is the forest's own chance to miss: two sets of similarity
-0.8 share no prefix of 3 in any of 20 trees with probability 6e-7, and the estimate excludes a true
-pair with probability 6e-6.
+are. What they may miss is looked for where it can be: candidates that the estimate keeps connect rows
+to regions, and in each region whose rows are not all in one component, every row outside its largest
+component is intersected with all rows of the region by an inverted index of their shingles, in blocks
+of bounded size. That is exact, and yields one link per row and component, so no group of copies is
+expanded into all pairs and no cap drops a link. Depth is adaptive: a region reaches as deep into the
+labels as its rows agree. What remains is the forest's own chance to miss: two sets of similarity 0.8
+share no prefix of 3 in any of 20 trees with probability 6e-7, and the estimate excludes a true pair
+with probability 6e-6.
 
 Words: A-Z is lower-cased, words are runs of characters other than U+0020 and U+0009 to U+000D. A
 document with fewer words than a shingle has its whole word sequence as its only shingle.
@@ -42,8 +43,8 @@ HASHES = TREES * DEPTH
 _MULTIPLIERS = _mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
 #: Pairs whose estimated similarity is lower are excluded: 4.5 standard deviations below the threshold.
 SLACK = 4.5 * (0.8 * 0.2 / HASHES) ** 0.5
-#: Pairs of rows of different components that a region may have before it goes deeper.
-REGION_PAIRS = 50_000_000
+#: Rows of a region that one task intersects with as many others at a time.
+REGION_BLOCK = 4000
 
 
 class _WordHashes(dict):
@@ -167,67 +168,45 @@ def _confirmed(shingle: int, threshold: float):
     return confirm
 
 
-def _cross_pairs(width: int | None, least: float, threshold: float):
-    """Pairs of rows of one region but different components that the estimate does not exclude, per row and component the ``width`` likeliest.
-
-    A row of nulls says that some were left for a greater width.
-    """
+def _region_links(shingle: int, threshold: float):
+    """One link per query row and component of a block's members, by intersection with all members."""
+    percent = round(threshold * 100)
 
-    cut: list[bool] = []
-
-    def emit(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, rest: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, code, count = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        few = np.flatnonzero(code != count.argmax())
-        if len(few) * len(node) > REGION_PAIRS and depth < DEPTH:
-            value = np.ascontiguousarray(rest[:, 4 * (depth - LEAST_DEPTH) : 4 * (depth - LEAST_DEPTH) + 4]).view(">u4")[:, 0]
-            for part in np.split(np.argsort(value, kind="stable"), np.flatnonzero(np.diff(np.sort(value, kind="stable"))) + 1):
-                yield from emit(node[part], comp[part], n[part], sketch[part], rest[part], depth + 1)
-            return
-        step = max(1, 4_000_000 // (len(node) * 8))
-        for at in range(0, len(few), step):
-            rows = few[at : at + step]
-            sizes = (np.minimum(n[rows, None], n) >= threshold * np.maximum(n[rows, None], n) - 1e-9) & (code[rows, None] != code)
-            i, j = np.nonzero(sizes)
-            for lo in range(0, len(i), 200_000):
-                a, b = rows[i[lo : lo + 200_000]], j[lo : lo + 200_000]
-                like = (sketch[a] == sketch[b]).mean(axis=1)
-                ok = np.flatnonzero(like >= least)
-                a, b, like = a[ok], b[ok], like[ok]
-                if width and len(a):
-                    order = np.lexsort((node[b], -like, code[b], a))
-                    a, b = a[order], b[order]
-                    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (code[b][1:] != code[b][:-1])])
-                    starts = np.flatnonzero(fresh)
-                    place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-                    if (place >= width).any():
-                        cut.append(True)
-                    a, b = a[place < width], b[place < width]
-                yield node[a], node[b]
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def regions() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
+    def links(members: list[tuple], queries: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = [shingle_hashes(text, shingle) for _, _, text in members]
+        sizes = np.array([len(h) for h in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        comps = np.array([c for _, c, _ in members])
+        for node, comp, text in queries:
+            mine = shingle_hashes(text, shingle)
+            low, high = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            common = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero((100 * common >= percent * (len(mine) + sizes - common)) & (comps != comp))
+            for k in near[np.unique(comps[near], return_index=True)[1]]:
+                yield node, members[k][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[tuple[list[tuple], list[tuple]]]:
+            key, sides = None, ([], [])
             for batch in batches:
-                for row in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
-                    if held and held[0][0] != row[0]:
-                        yield held
-                        held = []
-                    held.append(row)
-            if held:
-                yield held
-
-        for rows in regions():
-            _, rest, node, comp, n, sketch = zip(*rows, strict=True)
-            arrays = [np.array(x, np.int64) for x in (node, comp, n)]
-            grids = [np.frombuffer(b"".join(x), np.uint8).reshape(len(rows), -1) for x in (sketch, rest)]
-            for a, b in emit(*arrays, *grids, LEAST_DEPTH):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        if cut:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
-
-    return cross
+                for *at, query, node, comp, text in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+                    if at != key:
+                        yield sides
+                        key, sides = at, ([], [])
+                    sides[query].append((node, comp, text))
+            yield sides
+
+        for members, queries in blocks():
+            found = list(links(members, queries)) if members and queries else []
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -245,7 +224,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    least = threshold - SLACK
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     rows = materialize(source.mapInArrow(_features(shingle), "id long, tkey long, n long, node long, labels binary"), "features")
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "tkey", "n", "labels")).alias("r"), F.min("id").alias("name"))
@@ -257,15 +235,11 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     sorted_trees = trees.repartitionByRange("key", "rest", "node").sortWithinPartitions("key", "rest", "node").select("key", "rest", "node", F.spark_partition_id().alias("part"))
     members = materialize(sorted_trees.mapInArrow(_neighbours, "key long, rest binary, node long, next long, part int, end int"), "members")
     pairs = members.where("next IS NOT NULL").select("node", "next").unionByName(_over_ends(members)).select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
-    checked = _check_pairs(pairs, reps, source, shingle, threshold, least)
-    components = connected_components(checked.where("linked"))
-    for width in (2, 16, 128, None):
-        open_pairs = materialize(_open_pairs(members, components, reps, width, least, threshold), "open")
-        more = _check_pairs(open_pairs.where("a IS NOT NULL").join(checked, ["a", "b"], "left_anti"), reps, source, shingle, threshold, least)
-        checked = checked.unionByName(more)
-        components = connected_components(checked.where("linked"))
-        if open_pairs.where("a IS NULL").isEmpty():
-            break
+    likely = _likely_pairs(pairs, reps, threshold)
+    texts = _texts_of(likely, reps, source)
+    links = _confirmed_links(likely, texts, shingle, threshold)
+    links = links.unionByName(_links_in_regions(connected_components(likely), connected_components(links), texts, shingle, threshold))
+    components = connected_components(links)
     found = reps.select("node", "name").join(components, "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
     named = materialize(found.join(found.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id"), "components")
     out = rows.select("id", "tkey", "n", "node").join(named, "node", "left")
@@ -279,22 +253,36 @@ def _over_ends(members: DataFrame) -> DataFrame:
     return members.sparkSession.createDataFrame([(x["node"], y["node"]) for x, y in zip(ends, ends[1:], strict=False) if x["part"] != y["part"] and x["key"] == y["key"]], "node long, next long")
 
 
-def _open_pairs(members: DataFrame, components: DataFrame, reps: DataFrame, width: int | None, least: float, threshold: float) -> DataFrame:
-    placed = members.select("key", "rest", "node").join(components, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = placed.join(mixed, "key", "left_semi").join(reps.select("node", "n", "sketch"), "node")
-    rows = rows.select("key", "rest", "node", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "rest", "node")
-    return rows.mapInArrow(_cross_pairs(width, least, threshold), "a long, b long").distinct()
+def _likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that the estimate from the signatures does not exclude."""
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return materialize(both.mapInArrow(_estimated(threshold - SLACK, threshold), "a long, b long"), "likely")
 
 
-def _check_pairs(pairs: DataFrame, reps: DataFrame, source: DataFrame, shingle: int, threshold: float, least: float) -> DataFrame:
-    """(a, b, linked) of the pairs that the estimate does not exclude, confirmed on full sets."""
-    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    likely = materialize(likely.mapInArrow(_estimated(least, threshold), "a long, b long"), "likely")
+def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
+    """(node, text) of the nodes with a likely pair."""
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(needed.join(reps.select("node", "id", "tkey"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey")), "wanted")
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
-    texts = materialize(texts.dropDuplicates(["node"]), "texts")
+    return materialize(texts.dropDuplicates(["node"]), "texts")
+
+
+def _confirmed_links(likely: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     both = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
-    return materialize(both.select("a", "b", "t_a", "t_b").mapInArrow(_confirmed(shingle, threshold), "a long, b long, linked boolean"), "checked")
+    checked = both.select("a", "b", "t_a", "t_b").mapInArrow(_confirmed(shingle, threshold), "a long, b long, linked boolean")
+    return materialize(checked.where("linked").select("a", "b"), "links")
+
+
+def _links_in_regions(regions: DataFrame, components: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The links between components of a region that its sorted neighbours missed."""
+    placed = regions.withColumnRenamed("root", "region").join(components, "node", "left").select("node", "region", F.coalesce("root", "node").alias("comp"))
+    parts = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    open_regions = parts.groupBy("region").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("largest")).where("rows > largest.n")
+    open_regions = open_regions.select("region", F.col("largest.comp").alias("main"), F.ceil((F.col("rows") - F.col("largest.n")) / REGION_BLOCK).alias("i"), F.ceil(F.col("rows") / REGION_BLOCK).alias("j"))
+    rows = placed.join(open_regions, "region").join(texts, "node")
+    every, own = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)), lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    members = rows.select("region", every("i").alias("bi"), own("j").alias("bj"), F.lit(0).alias("query"), "node", "comp", "text")
+    queries = rows.where("comp <> main").select("region", own("i").alias("bi"), every("j").alias("bj"), F.lit(1).alias("query"), "node", "comp", "text")
+    dealt = members.unionByName(queries).repartition("region", "bi", "bj").sortWithinPartitions("region", "bi", "bj")
+    return materialize(dealt.mapInArrow(_region_links(shingle, threshold), "a long, b long"), "links")
