@@ -8,69 +8,103 @@ there, and the ids of each distinct word are asked from the library once.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: White space beside a space or newline: such texts are cut at the safe places only.
-_UNSAFE = re.compile(r"[ \n]\s|\s[ \n]|^[ \n]|[ \n]$")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: Chunks of these characters alone are split into pieces here, as the library would; all others are left to the library.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"\s0-9A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_OTHERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+_MARKS = frozenset(".,;:!?")
+
+
+class _UnsafeError(Exception):
+    """A chunk that has white space at its ends: the text cannot be cut there."""
+
+
+class _Cache(dict):
+    """Values of a function in two generations of bounded size."""
+
+    def __init__(self, of, limit: int):
+        super().__init__()
+        self.of, self.limit, self.old = of, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.of(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 class CachedEncoder:
     """Encodes whole texts as the library does (special tokens not added, their strings ordinary text)."""
 
-    def __init__(self, path: str, max_cached: int = 500_000):
+    def __init__(self, path: str, max_cached: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.max_cached = max_cached
-        self._model = self.tokenizer.model
+        self._tokenize = self.tokenizer.model.tokenize
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, list[int]] = {}
-        self._newline = self._miss("\n")
-
-    def _miss(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        pieces = self._pieces
-        for piece, _ in self._split(chunk):
-            got = pieces.get(piece)
-            if got is None:
-                got = pieces[piece] = [t.id for t in self._model.tokenize(piece)]
-            ids += got
-        return np.array(ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        return self._miss(chunk)
+        self._pieces = _Cache(self._piece, max_cached)
+        self._words = _Cache(self._behind_space, max_cached)
+        self._newline = self._ids("\n")
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece in the vocabulary's characters."""
+        return array("I", [t.id for t in self._tokenize(piece)]).tobytes()
+
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk that may begin with a space."""
+        if _PLAIN.fullmatch(chunk, 1 if chunk[0] == " " else 0):
+            pieces = [p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in _PIECES.findall(chunk)]
+        else:
+            pieces = [p for p, _ in self._split(chunk)]
+        return b"".join(map(self._pieces.__getitem__, pieces))
+
+    def _behind_space(self, chunk: str) -> bytes:
+        """Ids of a word that stood behind a space, or of a newline and the word behind it."""
+        if chunk.isascii():  # a word of letters, or one with a mark behind it
+            if chunk.isalpha():
+                return self._pieces["Ġ" + chunk]
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                return self._pieces["Ġ" + chunk[:-1]] + self._pieces[chunk[-1]]
+        word = chunk[1:] if chunk.startswith("\n") else chunk
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _UnsafeError
+        return self._newline + self._ids(word) if chunk.startswith("\n") else self._ids(" " + word)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         if not text:
             return np.empty(0, "<u4")
-        if _UNSAFE.search(text):
-            return np.frombuffer(b"".join(map(self._chunk, _SAFE_CUT.split(text))), "<u4")
-        # a word keeps its space by standing behind one; the first word of a line has none
-        chunks = text.replace("\n", " \n").split(" ")
-        words = self._words
-        out = list(map(words.get, chunks))
-        if None in out:
-            for i, (got, c) in enumerate(zip(out, chunks, strict=True)):
-                if got is None:
-                    out[i] = self._line_chunk(c)
-        first = self._miss(chunks[0])
-        return np.frombuffer(first + b"".join(out[1:]), "<u4")
-
-    def _line_chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that stood behind a space, or of a newline and the word behind it; kept under the bare chunk."""
-        if len(self._words) >= self.max_cached:
-            self._words.clear()
-        if len(self._pieces) >= self.max_cached:
-            self._pieces.clear()
-        got = self._words[chunk] = self._newline + self._miss(chunk[1:]) if chunk.startswith("\n") else self._miss(" " + chunk)
-        return got
+        first, *chunks = text.replace("\n", " \n").split(" ")
+        if first and not first[0].isspace() and not first[-1].isspace():
+            try:
+                return np.frombuffer(self._ids(first) + b"".join(map(self._words.__getitem__, chunks)), "<u4")
+            except _UnsafeError:
+                pass
+        return np.frombuffer(b"".join(map(self._ids, _SAFE_CUT.split(text))), "<u4")
 
 
 @lru_cache(maxsize=2)

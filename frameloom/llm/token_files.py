@@ -36,11 +36,17 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 
 def encode_block(ids: np.ndarray) -> list[bytes]:
     """One block of the file format."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 22:  # as many counters as ids, else a sort
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        counts = counts[values]
+        index = ids
+    else:
+        values, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank[inverse]
+    rank = np.empty(int(values[-1]) + 1 if index is ids else len(order), np.uint32)
+    rank[values[order] if index is ids else order] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank[index]
     size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)).astype(np.uint8)
     codes = np.zeros(-len(ids) % 4 + len(ids), np.uint8)
     codes[: len(ids)] = size - 1
