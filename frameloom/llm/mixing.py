@@ -121,10 +121,11 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, shards: int = 64, **options) -> DataFrame:
     """The mixture itself: rows of docs, once for each draw, grouped by shard and shuffled within it."""
-    draws = plan_mix(docs, id_col, text_col, seed=seed, shards=shards, **options).where(F.size("draws") > 0).select(F.col("key").alias("__key"), "draws")
+    draws = plan_mix(docs, id_col, text_col, seed=seed, shards=shards, **options).where(F.size("draws") > 0).select(F.col("key").alias("__drawn"), "draws")
     same = Window.partitionBy("__key")  # repeated rows are interchangeable; they are told apart by number
-    draws = draws.withColumn("__row", F.row_number().over(same.orderBy(F.xxhash64("draws"))))
+    draws = draws.withColumn("__number", F.row_number().over(Window.partitionBy("__drawn").orderBy(F.xxhash64("draws"))))
     keyed = docs.withColumn("__key", row_key(id_col, text_col, seed))
     keyed = keyed.withColumn("__row", F.row_number().over(same.orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])))
-    drawn = keyed.join(draws, ["__key", "__row"]).withColumn("__draw", F.explode("draws"))
+    # a difference, not an equality, so that the join keeps the windows' partitioning by key
+    drawn = keyed.join(draws, (F.col("__key") == F.col("__drawn")) & (F.col("__row") - F.col("__number") == 0)).withColumn("__draw", F.explode("draws"))
     return drawn.repartition(shards, "__draw.shard").sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)

@@ -216,10 +216,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows that stay, one of each component, with all their columns; texts without words stay."""
-    kept = _near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept").select(F.col(id_col).alias("__id"), F.col("tkey").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    chosen = keyed.join(kept.withColumnRenamed("__key", "__kept"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
-    repeats = Window.partitionBy(id_col, "__key").orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
+    key = {"__id": F.xxhash64(id_col), "__null": F.col(id_col).isNull()}  # never null, so join and window share one exchange
+    kept = _near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept").withColumns(key).withColumnRenamed("tkey", "__text").select("__id", "__null", "__text").distinct()
+    names = ["__id", "__null", "__text"]
+    chosen = docs.withColumns(key).withColumn("__text", F.xxhash64(text_col)).join(kept, names, "left_semi")
+    repeats = Window.partitionBy(*names).orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
     return chosen.withColumn("__row", F.row_number().over(repeats)).where("__row = 1").select(*docs.columns)
 
 
