@@ -67,7 +67,8 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row per word: score of each language, 0 for the best one; rows of unseen words are added to a bounded cache."""
-        new = set(words) - self._row.keys()
+        have_row = self._row
+        new = {w for w in set(words) if w not in have_row}  # a set less a dict's keys would visit the whole dict
         if new:
             if len(self._row) + len(new) > self.max_cached_words:
                 self._row, self._scores, new = {}, None, set(words)
