@@ -103,13 +103,16 @@ class LanguageModel:
     def path(self, scores: np.ndarray) -> np.ndarray | int:
         """The best language of every word: one number if it is the same for all.
 
-        If no run of words gains more than half the penalty in any language over the best single one,
-        no path with switches can beat that language, so it is the exact optimum and no pass is needed.
+        Take the best single language, and what a run of words gains in another. Let no run gain more
+        than the penalty, nor a run from the start and one to the end together. A path that keeps the
+        best language somewhere switches at least once for each run in another; one that never does
+        switches once less, but begins and ends with such runs. Neither gains more than it pays, so
+        the single language is the exact optimum and no pass is needed.
         """
         best = int(scores.sum(axis=0, dtype=np.float64).argmax())
-        gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-        low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain[:-1]]))
-        if (gain - low).max() <= self.switch_penalty / 2:
+        gain = np.vstack([np.zeros((1, scores.shape[1])), np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)])
+        low = np.minimum.accumulate(gain)
+        if (gain - low).max() <= self.switch_penalty and gain.max() + (gain[-1] - low[-1]).max() <= self.switch_penalty:
             return best
         return self._viterbi(scores)
 
