@@ -88,15 +88,15 @@ def _with_block(rows: DataFrame, bounds: list[int]) -> DataFrame:
     return rows.withColumn("block", coarse + above(F.slice(literal(down), coarse + 1, step)) if down else F.lit(0))
 
 
-def with_next(rows: DataFrame, derive, rows_per_block: int = 20_000) -> DataFrame:
+def with_next(rows: DataFrame, derive, rows_per_block: int = 4_000, max_blocks: int = 1 << 14) -> DataFrame:
     """Joins each row of (id long, text) and the columns that derive adds to the next row in descending id order, the last to the first.
 
     The ids are cut at quantiles into blocks that are sorted on their own; each block's first row also
     stands at the end of the block before it. So no task gets more than a block and no row is moved twice.
     """
     n = rows.count()
-    blocks = n // rows_per_block + 1
-    bounds = rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
+    blocks = min(n // rows_per_block + 1, max_blocks)
+    bounds = rows.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks))).first()[0] if blocks > 1 else []
     placed = _with_block(rows, bounds or [])
     heads = placed.groupBy("block").agg(F.max("id").alias("id"))
     first = heads.agg(F.min("block")).first()[0]
@@ -110,7 +110,7 @@ def with_next(rows: DataFrame, derive, rows_per_block: int = 20_000) -> DataFram
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in other]).where(~F.col("end")).drop("block", "end")
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 20_000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 4_000) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the

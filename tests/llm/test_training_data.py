@@ -99,7 +99,7 @@ def test_fingerprints_are_homomorphic(spark):
 
 
 def test_edited_texts_of_hard_rows(spark, hard):
-    for per_block in (20_000, 3):
+    for per_block in (4_000, 3):
         got = fingerprints.fingerprint_documents(hard, rows_per_block=per_block).collect()
         order = sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
         want = Counter()
