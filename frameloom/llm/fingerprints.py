@@ -92,7 +92,8 @@ def with_next(rows: DataFrame, derive, rows_per_block: int = 4_000, max_blocks:
     """Joins each row of (id long, text) and the columns that derive adds to the next row in descending id order, the last to the first.
 
     The ids are cut at quantiles into blocks that are sorted on their own; each block's first row also
-    stands at the end of the block before it. So no task gets more than a block and no row is moved twice.
+    stands at the end of the block before it, so no row is moved twice. A block holds rows_per_block rows,
+    or more where there would be over max_blocks of them, as their bounds stand in the plan.
     """
     n = rows.count()
     blocks = min(n // rows_per_block + 1, max_blocks)
