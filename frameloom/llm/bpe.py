@@ -58,7 +58,7 @@ class _Cache(dict):
 class CachedEncoder:
     """Encodes whole texts as the library does (special tokens not added, their strings ordinary text)."""
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,6 +70,12 @@ class CachedEncoder:
         self._words = _Cache(self._behind_space, max_cached)
         self._newline = self._ids("\n")
 
+    def forget(self) -> None:
+        """Empties the caches: workers live on, and their memory is shared with later stages."""
+        for cache in (self._pieces, self._words):
+            cache.clear()
+            cache.old = {}
+
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece in the vocabulary's characters."""
         return array("I", [t.id for t in self._tokenize(piece)]).tobytes()

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -226,11 +226,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return rows.mapInArrow(label, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
 
 
-def language_column(model: LanguageModel, text: Column) -> Column:
-    """struct<lang_pred,score> of a text column, beside whatever columns a table has."""
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "__lang_pred") -> DataFrame:
+    """The table with the predicted language of its text as a further column, whatever other columns it has; each text is labelled once."""
+    at, columns = docs.columns.index(text_col), docs.columns
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.label(t)[:2] for t in texts], columns=["lang_pred", "score"])
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([model.label(text.as_py())[0] for text in batch.column(at)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*columns, name])
 
-    return label(text)
+    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))

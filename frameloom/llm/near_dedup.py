@@ -51,7 +51,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -99,6 +99,7 @@ def _features(shingle: int):
                 names.append(int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None)
                 labels.append(signature(h).astype(">u4").tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(labels, pa.binary())], ["id", "tkey", "n", "node", "labels"])
+        _hashes.clear()  # workers live on, and their memory is shared with later stages
 
     return features
 

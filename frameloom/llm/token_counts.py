@@ -76,6 +76,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", fields
                     column.append(value)
             long, longs = pa.int64(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, (long, long, long, longs, longs), strict=True)]], [id_col, "n_tokens", "n_sections", "n_crossing", "section_tokens", "field_tokens"])
+        enc.forget()
 
     rows = docs.select(F.col(id_col), *[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)])
     kind = rows.schema[0].dataType.simpleString()

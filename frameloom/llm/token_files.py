@@ -142,6 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         shard, summary = first.column(2)[0].as_py(), {}
         uri = f"{path}/shard-{shard:06d}.tok"
         write_file(uri, shard_bytes(rows(), block_ids, summary))
+        encoder(tokenizer).forget()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([summary["n_docs"]], pa.int64()), pa.array([summary["n_tokens"]], pa.int64())], ["shard", "uri", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
