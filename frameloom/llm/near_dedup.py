@@ -6,14 +6,16 @@ minhashes; the labels of a tree are sorted, and neighbours that share a prefix o
 are confirmed on full shingle sets; links give components.
 
 Sorted neighbours alone yield a number of candidates linear in the rows, however many copies there
-are. What they may miss is looked for where it can be: candidates that the estimate keeps connect rows
-to regions, and in each region whose rows are not all in one component, every row outside its largest
-component is intersected with all rows of the region by an inverted index of their shingles, in blocks
-of bounded size. That is exact, and yields one link per row and component, so no group of copies is
-expanded into all pairs and no cap drops a link. Depth is adaptive: a region reaches as deep into the
-labels as its rows agree. What remains is the forest's own chance to miss: two sets of similarity 0.8
-share no prefix of 3 in any of 20 trees with probability 6e-7, and the estimate excludes a true pair
-with probability 6e-6.
+are, but rows that share a passage may stand between two copies in every order. So each group of rows
+that share a prefix of ``LEAST_DEPTH`` values, unless its neighbours are already in one region, has all
+its pairs compared by size and estimate, in blocks of bounded size; a spanning forest of the pairs kept
+is enough, as it and the neighbours connect rows to regions. In each region whose rows are not all in
+one component, every row outside its largest component is intersected with all rows of the region by an
+inverted index of their shingles. That is exact, and yields one link per row and component, so no group
+of copies is expanded into all pairs and no cap drops a link. What remains is the forest's own chance
+to miss: two sets of similarity 0.8 share no prefix of 3 in any of 20 trees with probability 6e-7, and
+the estimate excludes a true pair with probability 6e-6. The price is time: a prefix group of rows that
+are alike but not linked costs the square of its rows in comparisons of 120 bytes.
 
 Words: A-Z is lower-cased, words are runs of characters other than U+0020 and U+0009 to U+000D. A
 document with fewer words than a shingle has its whole word sequence as its only shingle.
@@ -45,6 +47,8 @@ _MULTIPLIERS = _mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
 SLACK = 4.5 * (0.8 * 0.2 / HASHES) ** 0.5
 #: Rows of a region that one task intersects with as many others at a time.
 REGION_BLOCK = 4000
+#: Rows of a prefix group in one block; each pair of blocks is compared by one task.
+GROUP_BLOCK = 4000
 
 
 class _WordHashes(dict):
@@ -148,6 +152,53 @@ def _estimated(least: float, threshold: float):
     return estimate
 
 
+def _forest_of(nodes: np.ndarray, n: np.ndarray, sketches: np.ndarray, least: float, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that neither size nor estimate excludes, of all pairs of the rows."""
+    order = np.argsort(n, kind="stable")
+    nodes, n, words = nodes[order], n[order], np.ascontiguousarray(sketches[order])
+    links: list[tuple[int, int]] = []
+    while len(nodes):
+        queue = [(nodes[0], n[0], words[0])]
+        nodes, n, words = nodes[1:], n[1:], words[1:]
+        while queue and len(nodes):
+            node, size, sketch = queue.pop()
+            low, high = np.searchsorted(n, threshold * size - 1e-9, "left"), np.searchsorted(n, (size + 1e-9) / threshold, "right")
+            equal = (words[low:high] == sketch).view(np.uint64).sum(axis=1)  # at most 15 in each byte
+            near = np.flatnonzero(((equal * np.uint64(0x0101010101010101)) >> np.uint64(56)) / HASHES >= least) + low
+            if len(near):
+                links += [(int(node), int(x)) for x in nodes[near]]
+                queue += zip(nodes[near], n[near], words[near], strict=True)
+                rest = np.ones(len(nodes), bool)
+                rest[near] = False
+                nodes, n, words = nodes[rest], n[rest], words[rest]
+    return links
+
+
+def _grouped(least: float, threshold: float):
+    """Spanning forests of groups; rows (key, block, block, node, n, sketch) in the order of the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[list[tuple]]:
+            key, rows = None, []
+            for batch in batches:
+                for *at, node, n, sketch in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                    if at != key:
+                        yield rows
+                        key, rows = at, []
+                    rows.append((node, n, sketch))
+            yield rows
+
+        for rows in groups():
+            if len(rows) > 1:
+                nodes, n, sketches = zip(*rows, strict=True)
+                found = _forest_of(np.array(nodes, np.int64), np.array(n, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, HASHES), least, threshold)
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _confirmed(shingle: int, threshold: float):
     percent = round(threshold * 100)
 
@@ -238,9 +289,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     members = materialize(sorted_trees.mapInArrow(_neighbours, "key long, rest binary, node long, next long, part int, end int"), "members")
     pairs = members.where("next IS NOT NULL").select("node", "next").unionByName(_over_ends(members)).select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
     likely = _likely_pairs(pairs, reps, threshold)
-    texts = _texts_of(likely, reps, source)
+    near = likely.unionByName(_pairs_in_groups(members, connected_components(likely), reps, threshold))
+    texts = _texts_of(near, reps, source)
     links = _confirmed_links(likely, texts, shingle, threshold)
-    links = links.unionByName(_links_in_regions(connected_components(likely), connected_components(links), texts, shingle, threshold))
+    links = links.unionByName(_links_in_regions(connected_components(near), connected_components(links), texts, shingle, threshold))
     components = connected_components(links)
     found = reps.select("node", "name").join(components, "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
     named = materialize(found.join(found.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id"), "components")
@@ -262,6 +314,20 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFr
     return materialize(both.mapInArrow(_estimated(threshold - SLACK, threshold), "a long, b long"), "likely")
 
 
+def _pairs_in_groups(members: DataFrame, regions: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that connect all rows of a prefix group that the estimate keeps together, where neighbours did not.
+
+    A group of two has its only pair among the neighbours; one of a single region has nothing to connect.
+    """
+    placed = members.select("key", "node").join(regions, "node", "left").select("key", "node", F.coalesce("root", "node").alias("region"))
+    open_groups = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("region").alias("low"), F.max("region").alias("high")).where("rows > 2 AND low <> high")
+    open_groups = open_groups.select("key", F.ceil(F.col("rows") / GROUP_BLOCK).alias("k"))
+    rows = members.select("key", "node").join(open_groups, "key").join(reps.select("node", "n", "sketch"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 OR own <> other")
+    dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return materialize(dealt.mapInArrow(_grouped(threshold - SLACK, threshold), "a long, b long"), "near")
+
+
 def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
     """(node, text) of the nodes with a likely pair."""
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()

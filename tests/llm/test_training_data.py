@@ -313,6 +313,38 @@ def test_near_duplicates_equal_brute_force(spark, hard):
     assert near_dedup.near_duplicates(hard.where("false")).count() == 0
 
 
+def test_copies_among_many_rows_that_share_their_passage(spark, monkeypatch):
+    rng = random.Random(11)
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    passage = fresh(303)
+    copy = [f"x{k}" if k % 37 == 20 else w for k, w in enumerate(passage)]
+    rows = [(1, " ".join(passage)), (2, " ".join(copy))] + [(i, " ".join(passage + fresh(150))) for i in range(3, 2003)]
+    a, b = (near_dedup.shingle_set(t, 4) for _, t in rows[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.81
+    monkeypatch.setattr(near_dedup, "GROUP_BLOCK", 150)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, [(i, t, None, None) for i, t in rows]), shingle=4).collect()}
+    assert got == {1: 1, 2: 1, **{i: i for i in range(3, 2003)}}
+
+
+def test_forest_connects_as_all_pairs_do():
+    rng = np.random.default_rng(4)
+    sketches = np.repeat(rng.integers(0, 256, (12, near_dedup.HASHES), np.uint8), 8, axis=0)
+    for row in sketches:
+        row[rng.random(len(row)) < rng.choice([0.1, 0.2, 0.3])] = rng.integers(256)
+    nodes, n = rng.permutation(96) * 5, rng.integers(40, 70, 96)
+    pairs = [(i, j) for i in range(96) for j in range(i) if (sketches[i] == sketches[j]).mean() >= 0.64 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-9]
+
+    def parts(links):
+        root = {int(x): int(x) for x in nodes}
+        for x, y in links:
+            low, high = sorted((root[x], root[y]))
+            root = {k: low if r == high else r for k, r in root.items()}
+        return root
+
+    found = near_dedup._forest_of(nodes, n, sketches, 0.64, 0.8)
+    assert parts(found) == parts((int(nodes[i]), int(nodes[j])) for i, j in pairs) and len(found) == 96 - len(set(parts(found).values()))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long").repartition(7)
     got = {r["node"]: r["root"] for r in graph.connected_components(links).collect()}
