@@ -2,7 +2,8 @@
 
 The library's pre-tokenizer always starts a new piece at a single space between two non-space
 characters and around a single newline between two, and merges never cross pieces. So a text is cut
-there, and the ids of each distinct word are asked from the library once.
+there, and the ids of each distinct word are asked from the library once. Texts that hold the string of
+an added token, which the library finds before it splits, are left to the library whole.
 """
 
 from __future__ import annotations
@@ -56,13 +57,14 @@ class _Cache(dict):
 
 
 class CachedEncoder:
-    """Encodes whole texts as the library does (special tokens not added, their strings ordinary text)."""
+    """Encodes whole texts as the library does by default (special tokens not added, but found where a text holds their strings)."""
 
     def __init__(self, path: str, max_cached: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.vocab_size = self.tokenizer.get_vocab_size()
         self._tokenize = self.tokenizer.model.tokenize
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
@@ -104,6 +106,8 @@ class CachedEncoder:
         """The ids of a text."""
         if not text:
             return np.empty(0, "<u4")
+        if self._added(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         first, *chunks = text.replace("\n", " \n").split(" ")
         if first and not first[0].isspace() and not first[-1].isspace():
             try:

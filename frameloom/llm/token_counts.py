@@ -23,11 +23,15 @@ from .bpe import CachedEncoder, encoder
 
 
 def token_bytes(enc: CachedEncoder) -> np.ndarray:
-    """The number of bytes of each id's token (a byte-level token has a character per byte)."""
+    """The number of bytes of each id's token (a byte-level token has a character per byte, an added one stands for its own text)."""
     if not hasattr(enc, "_token_bytes"):
         out = np.zeros(enc.vocab_size, np.int64)
         for token, i in enc.tokenizer.get_vocab().items():
             out[i] = len(token)
+        for i, token in enc.tokenizer.get_added_tokens_decoder().items():
+            if token.lstrip or token.rstrip:
+                raise ValueError(f"the added token {token.content} takes in white space, so its length is not known from its id")
+            out[i] = len(token.content.encode())
         enc._token_bytes = out
     return enc._token_bytes
 

@@ -240,6 +240,28 @@ def test_section_tokens_equal_offsets(spark, real, hard):
     assert all(len(r["field_tokens"]) == 2 and sum(r["field_tokens"]) == r["n_tokens"] for r in two)
 
 
+def test_added_token_strings_are_found_as_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.TOKENIZER)  # as it is loaded
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>\ny z", " lead<|endoftext|>é\n", "<|endoftext| >", "none here"]
+    df = docs(spark, [(i, x, None, None) for i, x in enumerate(texts)])
+    files = {r["doc_id"]: r for r in token_files.token_files(df, queries.TOKENIZER).collect()}
+    counts = {r["doc_id"]: r for r in token_counts.count_tokens(df, queries.TOKENIZER).collect()}
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, x in enumerate(texts):
+        found = t.encode(x, add_special_tokens=False)
+        ids = np.array([*found.ids, 2], "<u4")
+        assert CachedEncoder(queries.TOKENIZER).encode(x).tolist() == found.ids
+        assert (files[i]["n_tokens"], files[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+        bounds = [0] + [m.end() for m in re.finditer("\n", x) if m.end() < len(x)]
+        want = [0] * len(bounds)
+        for a, b in found.offsets:
+            share = Counter(max(k for k, s in enumerate(bounds) if s <= p) for p in range(a, b))
+            want[min(share, key=lambda k: (-share[k], k))] += 1
+        assert counts[i]["section_tokens"] == want and counts[i]["n_tokens"] == len(found.ids)
+
+
 # 6 licence scans
 
 
