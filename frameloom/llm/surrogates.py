@@ -6,8 +6,9 @@ carrier of gender, stays as it is), separators stay. A permutation maps differen
 to different surrogates and the same entity always to the same one, so distinctness and coreference
 hold over the whole corpus without a table of entities. Collision checks: a surrogate never equals
 its entity (the permutation has no fixed point); results that a type does not allow (a card number whose
-checksum is valid where the entity's is not, an address octet above 255) are walked over; and each
-text's replacements are checked to be distinct.
+checksum is valid where the entity's is not, an address octet above 255) are walked over; and where two
+entities of a text would share a surrogate, the later one walks on to the next free one. Addresses of
+equal numbers, as 10.0.0.1 and 10.0.0.01, are one entity and share theirs.
 
 Types: email, ip, phone, card, ssn, iban, secret, name (behind a title). Defined results: null stays
 null and has no entities; of overlapping finds the earliest, then the longest, wins; null ids and
@@ -64,6 +65,11 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _identity(kind: str, text: str) -> object:
+    """What makes two strings one entity: the numbers of an address, else the string."""
+    return tuple(map(int, text.split("."))) if kind == "ip" else text
+
+
 def luhn_digit(digits: str) -> int:
     """The check digit behind these digits."""
     total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
@@ -167,11 +173,14 @@ class Surrogates:
     def replace(self, text: str) -> tuple[str, list[dict]]:
         """The text with its entities replaced, and the replacements by code point of the old text."""
         parts, at, spans = [], 0, []
-        seen: dict[tuple[str, str], str] = {}
+        seen: dict[tuple[str, str], object] = {}
         for start, end, kind in find_entities(text):
-            new = self.of(kind, text[start:end])
-            if seen.setdefault((kind, new), text[start:end]) != text[start:end]:
-                raise ValueError(f"two entities of type {kind} share a surrogate")
+            old = text[start:end]
+            who, new = _identity(kind, old), self.of(kind, old)
+            while new == old or seen.setdefault((kind, new), who) != who:
+                before, new = new, self.of(kind, new)
+                if new == before:  # nothing in it can be replaced
+                    break
             parts += [text[at:start], new]
             spans.append({"start": start, "end": end, "type": kind, "surrogate": new})
             at = end

@@ -160,6 +160,17 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark, hard):
     assert surrogates.replace_pii(hard.where("false"), b"k").count() == 0
 
 
+def test_equal_addresses_and_shared_surrogates_do_not_end_the_run(spark):
+    got = surrogates.replace_pii(docs(spark, [(1, "host 10.0.0.1 or 10.0.0.01, not 10.0.0.2", None, None)]), b"k").first()
+    a, b, c = [x["surrogate"] for x in got["entities"]]
+    assert a == b != c and not {a, c} & {"10.0.0.1", "10.0.0.2"}
+    s, inner = surrogates.Surrogates(b"k"), surrogates.Surrogates(b"k").of
+    s.of = lambda kind, t: "token11" if t in ("secret1", "secret2") else inner(kind, t)
+    new, spans = s.replace("token=secret1 token=secret2 token=secret1")
+    x, y, z = [e["surrogate"] for e in spans]
+    assert x == z == "token11" != y and y not in ("secret1", "secret2")
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
 def test_permutation_is_a_bijection_without_fixed_points(size):
     s = surrogates.Surrogates(b"key")
