@@ -10,7 +10,10 @@ checksum is valid where the entity's is not, an address octet above 255) are wal
 entities of a text would share a surrogate, the later one walks on to the next free one. Addresses of
 equal numbers, as 10.0.0.1 and 10.0.0.01, are one entity and share theirs.
 
-Types: email, ip, phone, card, ssn, iban, secret, name (behind a title). Defined results: null stays
+Types: email, ip, phone, card, ssn, iban, secret, name. A name is any number of words behind a title:
+initials, words that begin with a capital or with a letter of a script without case, and particles (von,
+de la) between them, which stay. Its words are replaced one by one, and so is every other mention of one
+of them in the same document that begins with a capital, so all mentions agree. Defined results: null stays
 null and has no entities; of overlapping finds the earliest, then the longest, wins; null ids and
 repeated rows are kept; an empty table gives an empty table. Only the id and the text are read.
 """
@@ -19,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -35,7 +40,31 @@ _NAME_CLASSES = [
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуэюя", "бвгджзклмнпрстфхцчшщ",
 ]
 
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]+"
+
+
+def _characters(*categories: str) -> str:
+    """The characters of these categories, as ranges of a regular expression's set."""
+    out: list[list[int]] = []
+    for c in range(0x80, sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) in categories:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_FIRST, _MARKS = "A-Z" + _characters("Lu", "Lt", "Lo"), _characters("Mn", "Mc")
+_GAP = r"[ \t\u00a0\u3000]+"
+#: A word of a name; an 's behind it is not part of it.
+_WORD = rf"[{_FIRST}](?:[\w{_MARKS}]|['’-](?!s\b)(?=\w))*+"
+_INITIAL = rf"[{_FIRST}][{_MARKS}]*\."
+_PARTICLES = rf"(?:(?:von|vom|van|der|den|de|del|della|di|da|do|dos|das|du|la|le|las|los|zu|zum|zur|ten|ter|af|av|bin|ibn|al|el|y|e){_GAP}){{0,3}}"
+_TITLES = "Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Señora Señor Sra Sr Madame Monsieur Mme".split()
+_TITLES = "|".join(_TITLES + sorted({t.upper() for t in _TITLES}))
+_PART = rf"(?!(?:{_TITLES})\b)(?:{_INITIAL}|{_WORD})"
+_NAME = rf"{_PARTICLES}{_PART}(?:(?:(?<=\.)(?:{_GAP})?|{_GAP}){_PARTICLES}{_PART})*"
+_ANY_WORD = re.compile(rf"(?<![\w{_MARKS}]){_WORD}")
 PATTERNS: list[tuple[str, str, Callable[[str], bool], re.Pattern]] = [
     ("email", "", lambda t: "@" in t, re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+")),
     ("secret", "", lambda t: "=" in t or ":" in t, re.compile(r"(?i:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"']{6,})")),
@@ -45,7 +74,7 @@ PATTERNS: list[tuple[str, str, Callable[[str], bool], re.Pattern]] = [
     ("phone", "1", lambda t: True, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)")),
     ("ssn", "1", lambda t: "-" in t, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", "1", lambda t: True, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
-    ("name", "", lambda t: True, re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Madame|Monsieur|Mme)\b\.? ({_NAME}(?: {_NAME})?)")),
+    ("name", "", lambda t: True, re.compile(rf"\b(?:{_TITLES})\b\.?(?:{_GAP}|[ \t]*\r?\n[ \t]*)(?:(?:{_TITLES})\b\.?{_GAP})*({_NAME})")),
 ]
 _HAS_DIGIT = re.compile(r"\d")
 
@@ -57,6 +86,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         if needs and not digit or not may(text):
             continue
         found += [(*m.span(pattern.groups), kind) for m in pattern.finditer(text)]
+    found += _mentions(text, [text[a:b] for a, b, kind in found if kind == "name"])
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
     for f in found:
@@ -65,6 +95,36 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _cased(text: str) -> bool:
+    return text.lower() != text.upper()
+
+
+def _mentions(text: str, names: list[str]) -> Iterator[tuple[int, int, str]]:
+    """All places of the words of names; initials are too short to tell."""
+    words = {w for name in names for w in _ANY_WORD.findall(name) if len(w) > 1}
+    cased = {w.casefold() for w in words if _cased(w)}
+    if cased:
+        yield from ((*m.span(), "name") for m in _ANY_WORD.finditer(text) if m[0].casefold() in cased)
+    if len(cased) < len(words):  # scripts without case often have no spaces either
+        for w in words:
+            if not _cased(w):
+                yield from ((*m.span(), "name") for m in re.finditer(re.escape(w), text))
+
+
+@lru_cache(maxsize=100_000)
+def _alike(letter: str) -> str:
+    """Letters of the same script, kind and block of 128 that are in no class of names; none if case would be lost."""
+
+    def kind(ch: str) -> tuple:
+        upper = ch.upper()
+        return unicodedata.category(ch), unicodedata.name(ch, "").split(" ")[0], len(upper) == 1 and upper.lower() == ch
+
+    if len(letter) != 1 or not letter.isalpha() or not (wanted := kind(letter))[2]:
+        return ""
+    block = ord(letter) & ~127
+    return "".join(ch for ch in map(chr, range(block, block + 128)) if kind(ch) == wanted and not any(ch in c for c in _NAME_CLASSES))
+
+
 def _identity(kind: str, text: str) -> object:
     """What makes two strings one entity: the numbers of an address, else the string."""
     return tuple(map(int, text.split("."))) if kind == "ip" else text
@@ -125,7 +185,7 @@ class Surrogates:
             if i in fixed:
                 continue
             low = ch.lower()
-            for c in classes:
+            for c in [*classes, _alike(low)] if tag == "name" else classes:
                 if low in c:
                     places.append((i, c, low != ch))
                     break
@@ -133,6 +193,7 @@ class Surrogates:
         for i, c, _ in places:
             value, size = value * len(c) + c.index(text[i].lower()), size * len(c)
         kept = "".join("\0" if any(i == p for p, _, _ in places) else ch for i, ch in enumerate(text))
+        kept = kept.lower() if tag == "name" else kept  # SMITH as Smith
         value = self.permute(tag + kept + "|".join(c for _, c, _ in places), value, size)
         out = list(text)
         for i, c, upper in reversed(places):
@@ -163,7 +224,7 @@ class Surrogates:
             rest = iter(new)
             return "".join(next(rest) if ch in _DIGITS else ch for ch in text)
         if kind == "name":
-            return " ".join(self.mapped("name", w, _NAME_CLASSES, frozenset([len(w) - 1]) if len(w) > 2 else frozenset()) for w in text.split(" "))
+            return _ANY_WORD.sub(lambda m: self.mapped("name", m[0], _NAME_CLASSES, frozenset([len(m[0]) - 1]) if len(m[0]) > 2 and _cased(m[0][-1]) else frozenset()), text)
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and not text.isdecimal():
             upper = text != text.lower()
             new = self.mapped("hex", text.lower(), [_HEX])

@@ -160,6 +160,30 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark, hard):
     assert surrogates.replace_pii(hard.where("false"), b"k").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ("Dr. John Fitzgerald Kennedy spoke", "John Fitzgerald Kennedy"), ("ask Mr. J. Smith now", "J. Smith"), ("Mrs. Łucja Nowak came", "Łucja Nowak"), ("to MR. SMITH today", "SMITH"),
+        ("Prof. J.R.R. Tolkien wrote", "J.R.R. Tolkien"), ("Frau von der Leyen sagt", "Leyen"), ("Dr. 王小明 spoke", "王小明"), ("Mr. Արամ Խաչատրյան", "Արամ Խաչատրյան"), ("Dr. आरती here", "आरती"), ("Herr Dr. Max Weber ging", "Max Weber"), ("Mr. and Mrs. Smith came", "Smith"),
+    ],
+)
+def test_whole_names_are_found(text, hidden):
+    new, spans = surrogates.Surrogates(b"k").replace(text)
+    assert [s["type"] for s in spans] == ["name"] and text[spans[0]["start"] : spans[0]["end"]].endswith(hidden)
+    assert not any(w in new for w in re.findall(r"\w{2,}", hidden)) and re.sub(r"\w", "", new) == re.sub(r"\w", "", text)
+
+
+def test_mentions_of_a_name_agree():
+    s = surrogates.Surrogates(b"k")
+    new, spans = s.replace("Smith wrote. Mr. John Smith came. Smith said SMITH and Smith's smith saw Smithson. Dr. 王明 said. 王明 left.")
+    name = spans[0]["surrogate"]
+    assert len(spans) == 7 and spans[1]["surrogate"].endswith(" " + name)
+    assert re.findall(r"\w+", new)[:13] == [name, "wrote", "Mr", spans[1]["surrogate"].split()[0], name, "came", name, "said", name.upper(), "and", name, "s", "smith"]
+    assert "Smithson" in new and "王明" not in new and new.count(spans[-1]["surrogate"]) == 2
+    assert [x["type"] for x in s.replace("Mr. Smith and Mrs. Jones")[1]] == ["name", "name"]
+    assert len({s.of("name", w) for w in ("Łucja", "Lucja", "Žofia", "Żofia", "Zofia")}) == 5
+
+
 def test_equal_addresses_and_shared_surrogates_do_not_end_the_run(spark):
     got = surrogates.replace_pii(docs(spark, [(1, "host 10.0.0.1 or 10.0.0.01, not 10.0.0.2", None, None)]), b"k").first()
     a, b, c = [x["surrogate"] for x in got["entities"]]
