@@ -1,20 +1,22 @@
 """MinHash near-duplicate detection with an LSH forest.
 
 Documents with equal shingle sets form a class. Each class has ``TREES`` labels, sequences of
-minhashes; the labels of a tree are sorted, and neighbours that share a prefix of at least
-``LEAST_DEPTH`` values are candidates. Candidates that an estimate from the signatures cannot exclude
+minhashes; the labels of a tree are sorted, and neighbours that share a prefix of a
+least depth are candidates. Candidates that an estimate from the signatures cannot exclude
 are confirmed on full shingle sets; links give components.
 
 Sorted neighbours alone yield a number of candidates linear in the rows, however many copies there
 are, but rows that share a passage may stand between two copies in every order. So each group of rows
-that share a prefix of ``LEAST_DEPTH`` values, unless its neighbours are already in one region, has all
+that share a prefix of the least depth, unless its neighbours are already in one region, has all
 its pairs compared by size and estimate, in blocks of bounded size; a spanning forest of the pairs kept
 is enough, as it and the neighbours connect rows to regions. In each region whose rows are not all in
 one component, every row outside its largest component is intersected with all rows of the region by an
 inverted index of their shingles. That is exact, and yields one link per row and component, so no group
-of copies is expanded into all pairs and no cap drops a link. What remains is the forest's own chance
-to miss: two sets of similarity 0.8 share no prefix of 3 in any of 20 trees with probability 6e-7, and
-the estimate excludes a true pair with probability 6e-6. The price is time: a prefix group of rows that
+of copies is expanded into all pairs and no cap drops a link. Least depth, estimate and the smallest set
+that can have a partner follow from the threshold, a whole percentage from 50 to 100; others are rejected.
+What remains is the forest's own chance to miss (1e-6 at most at the threshold): two sets of similarity
+0.8 share no prefix of 3 in any of 20 trees with probability 6e-7, and the estimate excludes a true pair
+with probability 6e-6. The price is time: a prefix group of rows that
 are alike but not linked costs the square of its rows in comparisons of 120 bytes.
 
 Words: A-Z is lower-cased, words are runs of characters other than U+0020 and U+0009 to U+000D. A
@@ -40,17 +42,25 @@ from ._shared import materialize
 from .decontaminate import _mixed, rolling
 from .graph import connected_components
 
-TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
+TREES, DEPTH = 20, 6
 HASHES = TREES * DEPTH
 _MULTIPLIERS = _mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
-#: Pairs whose estimated similarity is lower are excluded: 4.5 standard deviations below the threshold.
-SLACK = 4.5 * (0.8 * 0.2 / HASHES) ** 0.5
 #: Rows of a region that one task intersects with as many others at a time.
 REGION_BLOCK = 4000
 #: Rows of a prefix group in one block; each pair of blocks is compared by one task.
 GROUP_BLOCK = 4000
 
 
+def _fitted(threshold: float) -> tuple[int, int, float]:
+    """(least depth, smallest set with a partner, least estimate) for a threshold."""
+    percent = round(threshold * 100)
+    if abs(threshold * 100 - percent) > 1e-9 or not 50 <= percent <= 100:
+        raise ValueError(f"the threshold is {threshold}; whole percentages from 0.5 to 1 are served")
+    depth = max(d for d in (1, 2, 3) if (1 - threshold**d) ** TREES <= 1e-6)
+    smallest = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # n of n + 1 shingles is the most that n can reach
+    return depth, smallest, threshold - 4.5 * (threshold * (1 - threshold) / HASHES) ** 0.5
+
+
 class _WordHashes(dict):
     """64-bit hashes of words, kept within a bound."""
 
@@ -277,14 +287,15 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
+    depth, smallest, _ = _fitted(threshold)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     rows = materialize(source.mapInArrow(_features(shingle), "id long, tkey long, n long, node long, labels binary"), "features")
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "tkey", "n", "labels")).alias("r"), F.min("id").alias("name"))
     low_bytes = F.concat(*[F.substring("labels", 4 * k + 4, 1) for k in range(HASHES)])
     reps = materialize(reps.select("node", "name", "r.id", "r.tkey", "r.n", "r.labels").withColumn("sketch", low_bytes), "classes")
-    trees = reps.where(F.col("n") >= 4).select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trees = reps.where(F.col("n") >= smallest).select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     at = F.col("tree") * (4 * DEPTH)
-    trees = trees.select(F.xxhash64("tree", F.substring("labels", at + 1, F.lit(4 * LEAST_DEPTH))).alias("key"), F.substring("labels", at + 4 * LEAST_DEPTH + 1, F.lit(4 * (DEPTH - LEAST_DEPTH))).alias("rest"), "node")
+    trees = trees.select(F.xxhash64("tree", F.substring("labels", at + 1, F.lit(4 * depth))).alias("key"), F.substring("labels", at + 4 * depth + 1, F.lit(4 * (DEPTH - depth))).alias("rest"), "node")
     sorted_trees = trees.repartitionByRange("key", "rest", "node").sortWithinPartitions("key", "rest", "node").select("key", "rest", "node", F.spark_partition_id().alias("part"))
     members = materialize(sorted_trees.mapInArrow(_neighbours, "key long, rest binary, node long, next long, part int, end int"), "members")
     pairs = members.where("next IS NOT NULL").select("node", "next").unionByName(_over_ends(members)).select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
@@ -311,7 +322,7 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFr
     """The pairs that the estimate from the signatures does not exclude."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    return materialize(both.mapInArrow(_estimated(threshold - SLACK, threshold), "a long, b long"), "likely")
+    return materialize(both.mapInArrow(_estimated(_fitted(threshold)[2], threshold), "a long, b long"), "likely")
 
 
 def _pairs_in_groups(members: DataFrame, regions: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -325,7 +336,7 @@ def _pairs_in_groups(members: DataFrame, regions: DataFrame, reps: DataFrame, th
     rows = members.select("key", "node").join(open_groups, "key").join(reps.select("node", "n", "sketch"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 OR own <> other")
     dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return materialize(dealt.mapInArrow(_grouped(threshold - SLACK, threshold), "a long, b long"), "near")
+    return materialize(dealt.mapInArrow(_grouped(_fitted(threshold)[2], threshold), "a long, b long"), "near")
 
 
 def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:

@@ -383,6 +383,22 @@ def test_copies_among_many_rows_that_share_their_passage(spark, monkeypatch):
     assert got == {1: 1, 2: 1, **{i: i for i in range(3, 2003)}}
 
 
+def test_thresholds_below_the_registered_one(spark):
+    rng = random.Random(6)
+    rows = [(1, "a b c d e"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "x p q r s t"), (5, "k l m n"), (6, "k l m n o")]
+    for i in range(10, 60, 2):
+        base = [f"v{i}_{k}" for k in range(rng.randint(4, 60))]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(w if rng.random() > 0.07 else w + "x" for w in base))]
+    df = docs(spark, [(a, b, None, None) for a, b in rows])
+    for percent in (50, 65):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=4, threshold=percent / 100).collect())
+        assert got == _components(rows, 4, percent)
+    for threshold in (0.3, 0.805, 1.1):
+        with pytest.raises(ValueError, match="threshold"):
+            near_dedup.near_duplicates(df, threshold=threshold)
+    assert near_dedup._fitted(0.8)[:2] == (3, 4) and near_dedup._fitted(0.75)[:2] == (2, 3) and near_dedup._fitted(0.5)[:2] == (1, 1)
+
+
 def test_forest_connects_as_all_pairs_do():
     rng = np.random.default_rng(4)
     sketches = np.repeat(rng.integers(0, 256, (12, near_dedup.HASHES), np.uint8), 8, axis=0)
