@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .scalar import clamp, safe_div
 
-__all__ = ["CURVES", "canonical_scale", "crop_mask", "curve_points", "decode_depth", "denormalise", "depth_to_disparity", "disparity_to_depth", "in_range", "log_normalise", "lut", "min_max", "normalise_percentile", "quantile_normalise", "rgb_normalise", "sky_mask"]
+__all__ = ["CURVES", "bezier", "canonical_scale", "crop_mask", "curve_points", "decode_depth", "denormalise", "depth_to_disparity", "disparity_to_depth", "in_range", "log_normalise", "lut", "min_max", "normalise_percentile", "quantile_normalise", "rgb_normalise", "sky_mask"]
 
 # Raw units per metre of each dataset's depth images.
 DEPTH_UNITS = {"kitti": 256.0, "nyu": 1000.0, "scannet": 1000.0, "bonn": 5000.0, "vkitti": 100.0, "scenenet": 1000.0}
@@ -104,16 +104,29 @@ def curve_points(name: str, samples: int = 1024) -> tuple[list[float], list[floa
     return at(ax, bx), at(ay, by)
 
 
-def lut(x: Column, xs: list[float], ys: list[float], steps: int = 64) -> Column:
-    """Piecewise-linear interpolation, constant outside, by a binary search over literal arrays."""
-    def between(low: int, high: int) -> Column:
-        if high - low == 1:
-            span = xs[high] - xs[low]
-            return F.lit(ys[low]) + (x - xs[low]) * ((ys[high] - ys[low]) / span if span else 0.0)
-        mid = (low + high) // 2
-        return F.when(x < xs[mid], between(low, mid)).otherwise(between(mid, high))
+def bezier(t: Column, *points: tuple[float, float]) -> tuple[Column, Column]:
+    """The point of a cubic Bezier curve at parameter t."""
+    u = 1 - t
+    weights = (u * u * u, 3 * u * u * t, 3 * u * t * t, t * t * t)
+    return tuple(sum((w * p[k] for w, p in zip(weights, points, strict=True)), F.lit(0.0)) for k in (0, 1))
 
-    return F.when(x < xs[0], ys[0]).when(x >= xs[-1], ys[-1]).otherwise(between(0, len(xs) - 1))
+
+def lut(x: Column, xs: list[float], ys: list[float]) -> Column:
+    """Piecewise-linear interpolation, constant outside: a two-level search over literal arrays, whose cost grows with the root of their length."""
+    if len(xs) < 2:
+        return F.lit(ys[0])
+    step = int(len(xs) ** 0.5)
+    every, heads, values = (F.lit(list(map(float, v))) for v in (xs, xs[::step], ys))
+    not_above = lambda a: F.size(F.filter(a, lambda k: k <= x))
+    # one lambda argument holds the place, as higher-order functions do not share subexpressions
+    coarse = (not_above(heads) - 1) * step
+    place = F.transform(F.array(F.greatest(coarse, F.lit(0))), lambda c: c + F.greatest(not_above(F.slice(every, c + 1, F.lit(step))), F.lit(1)) - 1)
+
+    def between(i: Column) -> Column:
+        x0, x1, y0, y1 = F.get(every, i), F.get(every, i + 1), F.get(values, i), F.get(values, i + 1)
+        return y0 + F.when(x1 > x0, (x - x0) * ((y1 - y0) / (x1 - x0))).otherwise(0.0)
+
+    return F.when(x < xs[0], ys[0]).when(x >= xs[-1], ys[-1]).otherwise(F.transform(place, between)[0])
 
 
 def lut_value(x: float, xs: list[float], ys: list[float]) -> float:

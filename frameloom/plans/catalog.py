@@ -79,11 +79,11 @@ def cache_hit_by_clip(spark, sf_dir):
     return rounded(hit.groupBy("clip").agg(F.bool_and("hit").alias("all_hit"), F.avg(F.col("hit").cast("double")).alias("hit_rate")))
 
 
-@query("""SELECT doc_id, CAST(quality AS BIGINT) AS v FROM labels UNION ALL SELECT doc_id, CAST(-1 AS BIGINT) FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query("""SELECT doc_id, CAST(quality AS BIGINT) AS v FROM labels UNION ALL SELECT doc_id, CAST(-1 AS BIGINT) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def idempotent_insert(spark, sf_dir):
     """Put-if-absent into a cache table."""
     cache = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("v"))
-    new = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(-1).cast("long").alias("v"))
+    new = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).cast("long").alias("v"))
     return joins.insert_absent(cache, new, ["doc_id"])
 
 
@@ -150,18 +150,16 @@ def missing_as_zero_cells(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", missing_as_zero(cell).alias("v"))
 
 
-@query("""SELECT lang, source FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT lang, source FROM documents WHERE doc_id % 7 = 0""")
+@query("""SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders""")
 def key_difference(spark, sf_dir):
     """Keys of one side that the other lacks."""
-    d = table(spark, sf_dir, "documents")
-    return d.where("doc_id % 2 = 0").select("lang", "source").subtract(d.where("doc_id % 7 = 0").select("lang", "source"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@query("""SELECT lang, source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang, source FROM documents WHERE doc_id % 5 = 0""")
+@query("""SELECT p_partkey AS key FROM part INTERSECT SELECT l_partkey FROM lineitem""")
 def key_intersection(spark, sf_dir):
     """Keys that both sides have."""
-    d = table(spark, sf_dir, "documents")
-    return d.where("doc_id % 2 = 0").select("lang", "source").intersect(d.where("doc_id % 5 = 0").select("lang", "source"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).intersect(table(spark, sf_dir, "lineitem").select("l_partkey"))
 
 
 @query(f"""{with_views("frames")} SELECT scene, frame_idx, depth * 2 AS doubled FROM frames WHERE scene IN (1, 2, 3) AND depth > 50 AND NOT err""")

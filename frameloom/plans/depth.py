@@ -43,18 +43,26 @@ def depth_norm_quantile(spark, sf_dir):
     return rounded(p.join(q, ["scene", "frame"]).select("scene", "frame", "y", "x", fn.quantile_normalise(F.col("v"), F.col("q")[0], F.col("q")[1]).alias("n")))
 
 
-@query(f"""{with_views("frames")}, s AS (SELECT scene, frame_idx, depth, min(depth) OVER w AS lo, max(depth) OVER w AS hi, min(1 / depth) OVER w AS dlo, max(1 / depth) OVER w AS dhi FROM frames WINDOW w AS (PARTITION BY scene)), q AS (SELECT scene, quantile_cont(depth, 0.02) AS q2, quantile_cont(depth, 0.98) AS q98, quantile_cont(1 / depth, 0.02) AS d2, quantile_cont(1 / depth, 0.98) AS d98 FROM frames GROUP BY scene)
+@query(f"""{with_views("frames")}, g AS (SELECT scene, frame_idx, depth, CASE WHEN depth > 0 THEN 1 / depth END AS disp FROM frames),
+s AS (SELECT scene, min(depth) AS lo, max(depth) AS hi, min(disp) AS dlo, max(disp) AS dhi, quantile_cont(depth, 0.02) AS q2, quantile_cont(depth, 0.98) AS q98, quantile_cont(disp, 0.02) AS d2, quantile_cont(disp, 0.98) AS d98 FROM g GROUP BY scene)
 SELECT scene, frame_idx, CASE scene % 5 WHEN 0 THEN 'instnorm' WHEN 1 THEN 'truncnorm' WHEN 2 THEN 'perscene_norm' WHEN 3 THEN 'disparity' ELSE 'trunc_disparity' END AS norm_type,
-round(greatest(0.0, least(1.0, CASE scene % 5 WHEN 0 THEN (depth - lo) / (hi - lo + 1e-5) WHEN 1 THEN (depth - q2) / (q98 - q2 + 1e-5) WHEN 2 THEN depth / 500.0 WHEN 3 THEN (1 / depth - dlo) / (dhi - dlo + 1e-5) ELSE (1 / depth - d2) / (d98 - d2 + 1e-5) END)), 6) AS n FROM s JOIN q USING (scene)""")
+round(greatest(0.0, least(1.0, CASE scene % 5 WHEN 0 THEN (depth - lo) / (hi - lo + 1e-5) WHEN 1 THEN (depth - q2) / (q98 - q2 + 1e-5) WHEN 2 THEN depth / 500.0 WHEN 3 THEN coalesce((disp - dlo) / (dhi - dlo + 1e-5), 0.0) ELSE coalesce((disp - d2) / (d98 - d2 + 1e-5), 0.0) END)), 6) AS n FROM g JOIN s USING (scene)""")
 def norm_type_switch(spark, sf_dir):
-    """Five training normalisations, here chosen by scene, each kept within 0 and 1."""
-    f, w = frames(spark, sf_dir).select("scene", "frame_idx", "depth"), Window.partitionBy("scene")
-    disparity = 1 / F.col("depth")
-    q = f.groupBy("scene").agg(F.percentile("depth", F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.percentile(disparity, F.array(F.lit(0.02), F.lit(0.98))).alias("d"))
+    """Five training normalisations, here chosen by scene, each kept within 0 and 1.
+
+    A depth of 0 or less has no disparity: it counts in no disparity statistic and is normalised to 0.
+    """
+    f = frames(spark, sf_dir).select("scene", "frame_idx", "depth")
+    disparity = F.when(F.col("depth") > 0, 1 / F.col("depth"))
+    ends = F.array(F.lit(0.02), F.lit(0.98))
+    q = f.groupBy("scene").agg(
+        F.percentile("depth", ends).alias("q"), F.percentile(disparity, ends).alias("d"),
+        F.min("depth").alias("lo"), F.max("depth").alias("hi"), F.min(disparity).alias("dlo"), F.max(disparity).alias("dhi"),
+    )
     scaled = lambda x, lo, hi: (x - lo) / (hi - lo + 1e-5)
     forms = {
-        "instnorm": scaled(F.col("depth"), F.min("depth").over(w), F.max("depth").over(w)), "truncnorm": scaled(F.col("depth"), F.col("q")[0], F.col("q")[1]), "perscene_norm": F.col("depth") / 500.0,
-        "disparity": scaled(disparity, F.min(disparity).over(w), F.max(disparity).over(w)), "trunc_disparity": scaled(disparity, F.col("d")[0], F.col("d")[1]),
+        "instnorm": scaled(F.col("depth"), F.col("lo"), F.col("hi")), "truncnorm": scaled(F.col("depth"), F.col("q")[0], F.col("q")[1]), "perscene_norm": F.col("depth") / 500.0,
+        "disparity": F.coalesce(scaled(disparity, F.col("dlo"), F.col("dhi")), F.lit(0.0)), "trunc_disparity": F.coalesce(scaled(disparity, F.col("d")[0], F.col("d")[1]), F.lit(0.0)),
     }
     name, value = F.lit(None).cast("string"), F.lit(None).cast("double")
     for i, (k, form) in enumerate(forms.items()):
@@ -78,19 +86,51 @@ def canonical_scale(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(fn.canonical_scale(1000.0, width, fx, 512), 9).alias("scale"))
 
 
-def _curve_sql(x: str) -> str:
-    xs, ys = fn.curve_points("high", 64)
-    pieces = " UNION ALL ".join(f"SELECT {xs[i]!r} AS x0, {xs[i + 1]!r} AS x1, {ys[i]!r} AS y0, {ys[i + 1]!r} AS y1" for i in range(63))
-    return f"lut AS ({pieces})"
+_SAMPLES = 1024
+
+
+def _curve_sql(name: str) -> str:
+    """The curve's look-up table in SQL: pieces between samples at even parameters."""
+    at = lambda t, p, q: f"3 * (1 - {t}) * (1 - {t}) * {t} * {p} + 3 * (1 - {t}) * {t} * {t} * {q} + {t} * {t} * {t}"
+    (ax, ay), (bx, by) = fn.CURVES[name]
+    return f"""lut AS (SELECT '{name}' AS curve, {at("s", ax, bx)} AS x0, {at("e", ax, bx)} AS x1, {at("s", ay, by)} AS y0, {at("e", ay, by)} AS y1 FROM (SELECT i / {_SAMPLES - 1}.0::DOUBLE AS s, (i + 1) / {_SAMPLES - 1}.0::DOUBLE AS e FROM (SELECT unnest(range({_SAMPLES - 1})) AS i)))"""
+
+
+def _curve_query(name: str) -> str:
+    return f"""{with_views("pixels")}, {_curve_sql(name)}, p AS (SELECT scene, frame, y, x, (v * 2 - 1 + 1.0) / 2.0 AS t FROM pixels)
+SELECT scene, frame, y, x, round(CASE WHEN t >= 1 THEN 1.0 WHEN t < 0 THEN 0.0 ELSE y0 + (t - x0) * ((y1 - y0) / (x1 - x0)) END * 2.0 - 1.0, 6) AS curved FROM p LEFT JOIN lut ON t >= x0 AND t < x1"""
+
+
+def _curved(spark, sf_dir, name: str):
+    n = F.col("v") * 2 - 1
+    curved = fn.lut((n + 1.0) / 2.0, *fn.curve_points(name, _SAMPLES)) * 2.0 - 1.0
+    return rounded(pixels(spark, sf_dir).select("scene", "frame", "y", "x", curved.alias("curved")))
 
 
-@query(f"""{with_views("pixels")}, {_curve_sql("v")}, p AS (SELECT scene, frame, y, x, v * 2 - 1 AS n, (v * 2 - 1 + 1.0) / 2.0 AS t FROM pixels)
-SELECT scene, frame, y, x, round(CASE WHEN t >= 1 THEN 1.0 ELSE y0 + (t - x0) * ((y1 - y0) / (x1 - x0)) END * 2.0 - 1.0, 6) AS curved FROM p LEFT JOIN lut ON t >= x0 AND t < x1""")
+@query(_curve_query("high"))
 def curve_lut(spark, sf_dir):
     """The high tone curve over [-1, 1], by look-up table."""
-    xs, ys = fn.curve_points("high", 64)
-    n = F.col("v") * 2 - 1
-    return rounded(pixels(spark, sf_dir).select("scene", "frame", "y", "x", (fn.lut((n + 1.0) / 2.0, xs, ys) * 2.0 - 1.0).alias("curved")))
+    return _curved(spark, sf_dir, "high")
+
+
+@query(_curve_query("medium"))
+def curve_lut_medium(spark, sf_dir):
+    """The medium tone curve over [-1, 1], by look-up table."""
+    return _curved(spark, sf_dir, "medium")
+
+
+@query(_curve_query("low"))
+def curve_lut_low(spark, sf_dir):
+    """The low tone curve over [-1, 1], by look-up table."""
+    return _curved(spark, sf_dir, "low")
+
+
+@query("""SELECT p_partkey, round(3 * (1 - t) * (1 - t) * t * 0.25 + 3 * (1 - t) * t * t * 0.75 + t * t * t, 9) AS x, round(3 * (1 - t) * (1 - t) * t * 0.1 + 3 * (1 - t) * t * t * 1.0 + t * t * t, 9) AS y FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS t FROM part)""")
+def bezier_points(spark, sf_dir):
+    """Points of a cubic Bezier curve from (0, 0) to (1, 1) with given control points."""
+    t = F.col("p_size") / F.lit(50.0)
+    x, y = fn.bezier(t, (0.0, 0.0), (0.25, 0.1), (0.75, 1.0), (1.0, 1.0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
 
 
 @query(f"""{with_views("pixels")} SELECT scene, frame, y, x, v > 0.12 AND v < 0.3 AS valid, v > 0.12 AND v >= 0.3 AS sky, y >= 3 AND y < 7 AND x >= 0 AND x < 7 AS garg, y >= 2 AND y < 7 AND x >= 0 AND x < 7 AS eigen FROM pixels""")

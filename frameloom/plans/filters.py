@@ -151,11 +151,11 @@ def neighbour_laplacian(spark, sf_dir):
     return rounded(pixels(spark, sf_dir).select("scene", "frame", "y", "x", (k * F.col("v") - total).alias("laplacian"), k.alias("n_neighbours")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(p_retailprice / nullif(p_size - 10, 0), 6) AS fx_ratio, p_size AS camera FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""")
+@query("""SELECT l_orderkey, l_linenumber, round(p_retailprice / nullif(p_size - 10, 0), 6) AS fx_ratio, p_size AS camera FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def intrinsics_lookup(spark, sf_dir):
     """Frames joined to their camera's intrinsics; a zero denominator gives null."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return rounded(lines.join(part, "l_partkey").select("l_orderkey", "l_linenumber", safe_div(F.col("p_retailprice"), F.col("p_size") - 10).alias("fx_ratio"), F.col("p_size").alias("camera")))
 
 
@@ -175,10 +175,10 @@ def noise_schedule(spark, sf_dir):
     return spark.range(1000).select(F.col("id").alias("step"), F.round(F.exp(F.sum(F.ln(1 - beta)).over(order)), 9).alias("alpha_bar"))
 
 
-@query(f"""{with_views("frames")} SELECT event_type, CAST(round(avg(depth), 6) AS DOUBLE) AS mean, count(*) AS n FROM frames WHERE scene % 10 <> 0 GROUP BY ROLLUP (event_type)""")
+@query(f"""{with_views("frames")} SELECT event_type, CAST(round(avg(depth), 6) AS DOUBLE) AS mean, count(*) AS n FROM frames GROUP BY ROLLUP (event_type)""")
 def dataset_rollup(spark, sf_dir):
     """Means by dataset and overall in one pass."""
-    return rounded(frames(spark, sf_dir).where("scene % 10 <> 0").rollup("event_type").agg(F.avg("depth").alias("mean"), F.count("*").alias("n")))
+    return rounded(frames(spark, sf_dir).rollup("event_type").agg(F.avg("depth").alias("mean"), F.count("*").alias("n")))
 
 
 @query("SELECT CAST(label AS BIGINT) AS scene, count(*) AS n_frames, count(*) % 4 AS remainder FROM embeddings GROUP BY label HAVING count(*) >= 1 + 15 * 2")

@@ -48,12 +48,12 @@ def spatial_tiles(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.inline(windows.windows((F.col("p_size") * 13 + 7).cast("long"), 60, 20)))
 
 
-@query("""WITH p AS (SELECT p_partkey, CAST(p_size + 10 AS BIGINT) AS hh, CAST(p_size * 2 + 5 AS BIGINT) AS ww FROM part WHERE p_partkey % 10 = 0),
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size + 10 AS BIGINT) AS hh, CAST(p_size * 2 + 5 AS BIGINT) AS ww FROM part),
 y AS (SELECT *, unnest(range(0, hh, 12)) AS y FROM p), x AS (SELECT *, unnest(range(0, ww, 10)) AS x FROM y)
 SELECT p_partkey, y, x FROM x WHERE NOT (y - 12 >= 0 AND y - 12 + 20 >= hh) AND NOT (x - 10 >= 0 AND x - 10 + 18 >= ww)""")
 def vae_tile_tasks(spark, sf_dir):
     """Tile corners of a plane; tiles that their predecessor already covers are left out."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.inline(windows.tile_tasks((F.col("p_size") + 10).cast("long"), (F.col("p_size") * 2 + 5).cast("long"), (20, 18), (12, 10))))
 
 
