@@ -1,6 +1,6 @@
 """MinHash near-duplicate detection with an LSH forest.
 
-Documents with equal shingle sets form a class. Each class has ``TREES`` labels, sequences of
+Documents with equal shingle sets (by a digest of 128 bits) form a class. Each class has ``TREES`` labels, sequences of
 minhashes; the labels of a tree are sorted, and neighbours that share a prefix of a
 least depth are candidates. Candidates that an estimate from the signatures cannot exclude
 are confirmed on full shingle sets; links give components.
@@ -11,20 +11,26 @@ that share a prefix of the least depth, unless its neighbours are already in one
 its pairs compared by size and estimate, in blocks of bounded size; a spanning forest of the pairs kept
 is enough, as it and the neighbours connect rows to regions. In each region whose rows are not all in
 one component, every row outside its largest component is intersected with all rows of the region by an
-inverted index of their shingles. That is exact, and yields one link per row and component, so no group
-of copies is expanded into all pairs and no cap drops a link. Least depth, estimate and the smallest set
+inverted index of their shingles, in blocks bounded by rows and by bytes. That is exact, and yields one link per
+row and component, confirmed like the others, so no group of copies is expanded into all pairs and no cap drops a
+link. Least depth, estimate and the smallest set
 that can have a partner follow from the threshold, a whole percentage from 50 to 100; others are rejected.
 What remains is the forest's own chance to miss (1e-6 at most at the threshold): two sets of similarity
 0.8 share no prefix of 3 in any of 20 trees with probability 6e-7, and the estimate excludes a true pair
-with probability 6e-6. The price is time: a prefix group of rows that
-are alike but not linked costs the square of its rows in comparisons of 120 bytes.
+with probability 6e-6. The price is time: a prefix group of rows that are alike but not linked costs the square of
+its rows in comparisons of 120 bytes, and those of them that the estimate keeps together the square in intersections.
+
+Texts move only where they have a likely pair: a bitmap of fixed size of those rows' hashes, combined on the
+executors, is held against every row before the exchange (a hash in common costs a needless move, never a result).
+Joins are sort-merge joins at every size, so the plan of a small table is the plan of a large one.
 
 Words: A-Z is lower-cased, words are runs of characters other than U+0020 and U+0009 to U+000D. A
 document with fewer words than a shingle has its whole word sequence as its only shingle.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept; repeated
 rows are one class and all get the class's component; the component is named by the smallest id in it
-(null if all are null); an empty table gives an empty table. Only the id and the text are read.
+(null if all are null); an empty table gives an empty table. Only the id and the text are read; `one_of_each_group`
+carries all other columns, whatever their names and types, and of repeated rows keeps the first by their JSON.
 """
 
 from __future__ import annotations
@@ -33,9 +39,10 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize
@@ -45,8 +52,10 @@ from .graph import connected_components
 TREES, DEPTH = 20, 6
 HASHES = TREES * DEPTH
 _MULTIPLIERS = _mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
-#: Rows of a region that one task intersects with as many others at a time.
-REGION_BLOCK = 4000
+#: Rows of a region, and bytes of their texts, that one task intersects with as many others at a time.
+REGION_BLOCK, REGION_BYTES = 2000, 16 << 20
+#: Bits of the map of the rows whose texts move; 8 MB at any size of the input.
+BITMAP_BITS = 1 << 26
 #: Rows of a prefix group in one block; each pair of blocks is compared by one task.
 GROUP_BLOCK = 4000
 
@@ -110,9 +119,9 @@ def _features(shingle: int):
             for text in batch.column(2):
                 h = shingle_hashes(text.as_py(), shingle)
                 sizes.append(len(h))
-                names.append(int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None)
+                names.append(blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 labels.append(signature(h).astype(">u4").tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(labels, pa.binary())], ["id", "tkey", "n", "node", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(labels, pa.binary())], ["id", "tkey", "n", "name", "labels"])
         _hashes.clear()  # workers live on, and their memory is shared with later stages
 
     return features
@@ -278,21 +287,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows that stay, one of each component, with all their columns; texts without words stay."""
-    key = {"__id": F.xxhash64(id_col), "__null": F.col(id_col).isNull()}  # never null, so join and window share one exchange
-    kept = _near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept").withColumns(key).withColumnRenamed("tkey", "__text").select("__id", "__null", "__text").distinct()
-    names = ["__id", "__null", "__text"]
-    chosen = docs.withColumns(key).withColumn("__text", F.xxhash64(text_col)).join(kept, names, "left_semi")
-    repeats = Window.partitionBy(*names).orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
-    return chosen.withColumn("__row", F.row_number().over(repeats)).where("__row = 1").select(*docs.columns)
+    names = ["by_id", "no_id", "by_text"]  # never null, so join and window share one exchange
+    key = lambda x, t: [F.xxhash64(x).alias("by_id"), x.isNull().alias("no_id"), t.alias("by_text")]
+    kept = _near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept")
+    kept = kept.select(*key(F.col(f"`{id_col}`"), F.col("tkey"))).distinct()
+    # rows move whole in one column, so no name of theirs can clash
+    whole = docs.select(*key(F.col(f"`{id_col}`").cast("long"), F.xxhash64(f"`{text_col}`")), F.struct("*").alias("row"))
+    chosen = whole.join(kept.hint("merge"), names, "left_semi")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    repeats = Window.partitionBy(*names).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    return chosen.withColumn("place", F.row_number().over(repeats)).where("place = 1").select("row.*")
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
     depth, smallest, _ = _fitted(threshold)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
-    rows = materialize(source.mapInArrow(_features(shingle), "id long, tkey long, n long, node long, labels binary"), "features")
-    reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "tkey", "n", "labels")).alias("r"), F.min("id").alias("name"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("tkey"), F.col(f"`{text_col}`").alias("text"))
+    rows = materialize(source.mapInArrow(_features(shingle), "id long, tkey long, n long, name binary, labels binary"), "features")
+    reps = rows.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "tkey", "n", "labels")).alias("r"), F.min("id").alias("least_id"))
     low_bytes = F.concat(*[F.substring("labels", 4 * k + 4, 1) for k in range(HASHES)])
-    reps = materialize(reps.select("node", "name", "r.id", "r.tkey", "r.n", "r.labels").withColumn("sketch", low_bytes), "classes")
+    # a number of its own for each class; it is fixed once the table is written
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "name", "least_id", "r.id", "r.tkey", "r.n", "r.labels").withColumn("sketch", low_bytes), "classes")
     trees = reps.where(F.col("n") >= smallest).select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     at = F.col("tree") * (4 * DEPTH)
     trees = trees.select(F.xxhash64("tree", F.substring("labels", at + 1, F.lit(4 * depth))).alias("key"), F.substring("labels", at + 4 * depth + 1, F.lit(4 * (DEPTH - depth))).alias("rest"), "node")
@@ -303,12 +317,14 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     near = likely.unionByName(_pairs_in_groups(members, connected_components(likely), reps, threshold))
     texts = _texts_of(near, reps, source)
     links = _confirmed_links(likely, texts, shingle, threshold)
-    links = links.unionByName(_links_in_regions(connected_components(near), connected_components(links), texts, shingle, threshold))
+    missed = _links_in_regions(connected_components(near), connected_components(links), texts, shingle, threshold)
+    links = links.unionByName(_confirmed_links(missed, texts, shingle, threshold))
     components = connected_components(links)
-    found = reps.select("node", "name").join(components, "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
-    named = materialize(found.join(found.groupBy("root").agg(F.min("name").alias("component_id")), "root").select("node", "component_id"), "components")
-    out = rows.select("id", "tkey", "n", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    found = reps.select("node", "name", "least_id").join(components.hint("merge"), "node", "left").select("name", "least_id", F.coalesce("root", "node").alias("root"))
+    least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = materialize(found.join(least.hint("merge"), "root").select("name", "component_id"), "components")
+    out = rows.select("id", "tkey", "n", "name").join(named.hint("merge"), "name", "left")
+    component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "tkey")
 
 
@@ -321,7 +337,7 @@ def _over_ends(members: DataFrame) -> DataFrame:
 def _likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs that the estimate from the signatures does not exclude."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     return materialize(both.mapInArrow(_estimated(_fitted(threshold)[2], threshold), "a long, b long"), "likely")
 
 
@@ -330,38 +346,67 @@ def _pairs_in_groups(members: DataFrame, regions: DataFrame, reps: DataFrame, th
 
     A group of two has its only pair among the neighbours; one of a single region has nothing to connect.
     """
-    placed = members.select("key", "node").join(regions, "node", "left").select("key", "node", F.coalesce("root", "node").alias("region"))
+    placed = members.select("key", "node").join(regions.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("region"))
     open_groups = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("region").alias("low"), F.max("region").alias("high")).where("rows > 2 AND low <> high")
     open_groups = open_groups.select("key", F.ceil(F.col("rows") / GROUP_BLOCK).alias("k"))
-    rows = members.select("key", "node").join(open_groups, "key").join(reps.select("node", "n", "sketch"), "node")
+    rows = members.select("key", "node").join(open_groups.hint("merge"), "key").join(reps.select("node", "n", "sketch").hint("merge"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 OR own <> other")
     dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return materialize(dealt.mapInArrow(_grouped(_fitted(threshold)[2], threshold), "a long, b long"), "near")
 
 
+def _bit(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(BITMAP_BITS))
+
+
+def _may_be_in(rows: DataFrame, bits: str) -> Column:
+    """A filter for whether a column of bit numbers hits one of those of rows.
+
+    The map has BITMAP_BITS bits whatever the input: the driver combines at most a word for each 64 of them.
+    """
+    words = rows.groupBy(F.shiftright(bits, 6).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({bits}, 64) AS INT)))").alias("held"))
+    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+    held = words.toArrow()
+    bitmap[held["word"].to_numpy()] = held["held"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def hits(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy().astype(np.int64)
+        return pd.Series((shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return hits(F.col(bits))
+
+
 def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
     """(node, text) of the nodes with a likely pair."""
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(needed.join(reps.select("node", "id", "tkey"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey")), "wanted")
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
+    wanted = needed.join(reps.select("node", "id", "tkey").hint("merge"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey"), _bit("id", "tkey").alias("bit"))
+    wanted = materialize(wanted, "wanted")
+    candidates = source.withColumn("bit", _bit("id", "tkey"))
+    candidates = candidates.where(_may_be_in(wanted, "bit"))
+    texts = candidates.join(wanted.drop("bit").hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
     return materialize(texts.dropDuplicates(["node"]), "texts")
 
 
 def _confirmed_links(likely: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    both = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")).hint("merge")
+    both = likely.join(side("a"), "a").join(side("b"), "b")
     checked = both.select("a", "b", "t_a", "t_b").mapInArrow(_confirmed(shingle, threshold), "a long, b long, linked boolean")
     return materialize(checked.where("linked").select("a", "b"), "links")
 
 
 def _links_in_regions(regions: DataFrame, components: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The links between components of a region that its sorted neighbours missed."""
-    placed = regions.withColumnRenamed("root", "region").join(components, "node", "left").select("node", "region", F.coalesce("root", "node").alias("comp"))
-    parts = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    open_regions = parts.groupBy("region").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("largest")).where("rows > largest.n")
-    open_regions = open_regions.select("region", F.col("largest.comp").alias("main"), F.ceil((F.col("rows") - F.col("largest.n")) / REGION_BLOCK).alias("i"), F.ceil(F.col("rows") / REGION_BLOCK).alias("j"))
-    rows = placed.join(open_regions, "region").join(texts, "node")
+    placed = regions.withColumnRenamed("root", "region").join(components.hint("merge"), "node", "left").select("node", "region", F.coalesce("root", "node").alias("comp"))
+    placed = placed.join(texts.select("node", F.octet_length("text").alias("bytes")).hint("merge"), "node")
+    parts = placed.groupBy("region", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    open_regions = parts.groupBy("region").agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp", "bytes")).alias("largest")).where("rows > largest.n")
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / REGION_BLOCK, size / REGION_BYTES, F.lit(1.0)))
+    open_regions = open_regions.select("region", F.col("largest.comp").alias("main"), blocks(F.col("rows") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes")).alias("i"), blocks(F.col("rows"), F.col("bytes")).alias("j"))
+    rows = placed.drop("bytes").join(open_regions.hint("merge"), "region").join(texts.hint("merge"), "node")
     every, own = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)), lambda k: F.pmod(F.xxhash64("node"), F.col(k))
     members = rows.select("region", every("i").alias("bi"), own("j").alias("bj"), F.lit(0).alias("query"), "node", "comp", "text")
     queries = rows.where("comp <> main").select("region", own("i").alias("bi"), every("j").alias("bj"), F.lit(1).alias("query"), "node", "comp", "text")
     dealt = members.unionByName(queries).repartition("region", "bi", "bj").sortWithinPartitions("region", "bi", "bj")
-    return materialize(dealt.mapInArrow(_region_links(shingle, threshold), "a long, b long"), "links")
+    return materialize(dealt.mapInArrow(_region_links(shingle, threshold), "a long, b long"), "missed")

@@ -399,6 +399,28 @@ def test_thresholds_below_the_registered_one(spark):
     assert near_dedup._fitted(0.8)[:2] == (3, 4) and near_dedup._fitted(0.75)[:2] == (2, 3) and near_dedup._fitted(0.5)[:2] == (1, 1)
 
 
+def test_regions_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.035 else f"y{rng.randrange(10**6)}" for w in base)) for i in range(90)]
+    monkeypatch.setattr(near_dedup, "REGION_BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "REGION_BYTES", 4000)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, [(i, t, None, None) for i, t in rows]), shingle=4).collect())
+    assert got == _components(rows, 4)
+
+
+def test_near_duplicates_with_few_or_clashing_columns(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "k l m n o p"), (None, None)]
+    bare = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, "a b c d e f"), (3, None), (None, "k l m n o p"), (None, None)]
+    assert Counter(map(tuple, near_dedup.one_of_each_group(bare).collect())) == Counter(want)
+    clashing = bare.selectExpr("*", "map('k', doc_id) AS place", "1 AS by_id", "2 AS no_id", "3 AS by_text", "4 AS node", "5 AS row", "6 AS tkey", "7 AS component_id", "8 AS kept", "9 AS labels")
+    out = near_dedup.one_of_each_group(clashing)
+    assert out.columns == clashing.columns and Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(clashing).collect())
+    assert got == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (None, None, True), (None, None, True)])
+
+
 def test_forest_connects_as_all_pairs_do():
     rng = np.random.default_rng(4)
     sketches = np.repeat(rng.integers(0, 256, (12, near_dedup.HASHES), np.uint8), 8, axis=0)
@@ -418,6 +440,12 @@ def test_forest_connects_as_all_pairs_do():
     assert parts(found) == parts((int(nodes[i]), int(nodes[j])) for i, j in pairs) and len(found) == 96 - len(set(parts(found).values()))
 
 
+def test_components_of_links_with_nulls_and_repeats(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (None, 3), (4, None), (7, 7)], "a long, b long")
+    assert {r["node"]: r["root"] for r in graph.connected_components(links).collect()} == {1: 1, 2: 1}
+    assert graph.connected_components(links.where("false")).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long").repartition(7)
     got = {r["node"]: r["root"] for r in graph.connected_components(links).collect()}
