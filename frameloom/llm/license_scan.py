@@ -1,10 +1,11 @@
 """Licence scans with a positional rare-token index.
 
-Templates of licence notices are indexed by their words of the highest IDF (document frequencies are
-counted over all documents): postings (template, position). A file's words are looked up there;
-postings that agree on the relative position vote for an alignment; an alignment with enough votes is
-a match only if the template's mandatory key phrase stands where the alignment puts it. Plain phrases with
-labels of their own (``base``) are found at every place they stand.
+Templates of licence notices are indexed by word: postings (template, positions), ranked by IDF (document
+frequencies are counted over all documents). Of a file that has all words of a template's mandatory key phrase,
+the words of the highest IDF among those that the file shares with the template are looked up; postings that
+agree on the relative position vote for an alignment; an alignment with enough votes is a match only if
+the key phrase stands where the alignment puts it. Words that a file lacks take no part, however rare. Plain
+phrases with labels of their own (``base``) are found at every place they stand.
 
 Words: A-Z is lower-cased, words are runs of letters a-z, digits and all code points from U+0080.
 
@@ -20,6 +21,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,20 +32,41 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 0x20 for b
 
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label, notice, key phrase that has to stand in the match
+# Notices of public licences as (label, notice, mandatory key phrase that stands in it).
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "permission is hereby granted free of charge"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4"),
+    ("lgpl-2.1", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", "either version 2 1 of the license"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "affero general public license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work under cc0 1 0 universal", "cc0 1 0"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4"),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", "cc by nc nd 4"),
+    ("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("eupl-1.2", "licensed under the european union public licence version 1 2", "european union public licence"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("artistic-2.0", "licensed under the artistic license 2 0", "artistic license 2 0"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
 ]
 
 
@@ -53,11 +76,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class LicenseIndex:
-    """Postings of the templates' words, and the IDF that says which of them are rare."""
+    """Postings of the templates' words in order of IDF."""
 
     templates: list[tuple[str, str, str]] = field(default_factory=lambda: list(TEMPLATES))
     base: dict[str, str] = field(default_factory=lambda: dict(BASE_PHRASES))
-    rare_words: int = 4  # of each template, the ones of the highest IDF
+    rare_words: int = 4  # that a file shares with a template, of the highest IDF
     least_votes: int = 2
 
     def __post_init__(self):
@@ -68,18 +91,19 @@ class LicenseIndex:
             key = words_of(phrase)
             at = next(i for i in range(len(ws)) if ws[i : i + len(key)] == key)
             self.keys.append((key, at))
+        self.by_key: dict[bytes, list[int]] = defaultdict(list)
+        for k, (key, _) in enumerate(self.keys):
+            self.by_key[max(key, key=lambda w: (len(w), w))].append(k)
+        self.places = [defaultdict(list) for _ in self.words]
+        for ws, places in zip(self.words, self.places, strict=True):
+            for i, w in enumerate(ws):
+                places[w].append(i)
         self.vocabulary = {w for ws in self.words for w in ws} | {w for ws, _ in self.phrases for w in ws}
-
         self.weigh({})
 
     def weigh(self, idf: dict[bytes, float]) -> None:
-        """Indexes each template by its rarest words; words that no document has are the rarest."""
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, ws in enumerate(self.words):
-            rare = sorted(set(ws), key=lambda w: (-idf.get(w, math.inf), ws.index(w)))[: self.rare_words]
-            for i, w in enumerate(ws):
-                if w in rare:
-                    self.postings[w].append((k, i))
+        """Ranks each template's words by IDF, rarest first; ties and words that no document has by the words themselves."""
+        self.ranked = [sorted(places, key=lambda w: (-idf.get(w, math.inf), w)) for places in self.places]
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
@@ -103,20 +127,19 @@ class LicenseIndex:
                 spots += here
                 base |= {label} if here else set()
         labels, score, matches = set(base), 1.0 if base else 0.0, []
-        votes: Counter = Counter()
-        for w in found & self.postings.keys():
-            for p in at(w):
-                for k, i in self.postings[w]:
-                    votes[k, p - i] += 1
-        for (k, offset), n in votes.items():
+        for k in (k for w in found & self.by_key.keys() for k in self.by_key[w] if found.issuperset(self.keys[k][0])):
+            votes: Counter = Counter()
+            for w in islice((w for w in self.ranked[k] if w in found), self.rare_words):
+                votes.update(p - i for p in at(w) for i in self.places[k][w])
             key, i = self.keys[k]
-            if n < self.least_votes or offset + i < 0 or words[offset + i : offset + i + len(key)] != key:
-                continue
             template = self.words[k]
-            share = sum(offset + j >= 0 and words[offset + j : offset + j + 1] == [w] for j, w in enumerate(template)) / len(template)
-            labels.add(self.templates[k][0])
-            score = max(score, share)
-            matches.append((self.templates[k][0], offset, share))
+            for offset, n in votes.items():
+                if n < self.least_votes or offset + i < 0 or words[offset + i : offset + i + len(key)] != key:
+                    continue
+                share = sum(offset + j >= 0 and words[offset + j : offset + j + 1] == [w] for j, w in enumerate(template)) / len(template)
+                labels.add(self.templates[k][0])
+                score = max(score, share)
+                matches.append((self.templates[k][0], offset, share))
         return {"n_words": len(words), "n_base": len(spots), "first_word": min(spots, default=None), "last_word": max(spots, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "matches": [dict(zip(("label", "word", "share"), m, strict=True)) for m in sorted(matches)]}
 
 

@@ -307,8 +307,38 @@ def _base_places(text):
     return len(ws), sorted(found)
 
 
+def _noisy_notices():
+    """Notices with words lost, changed or added, alone and two to a text."""
+    rng = random.Random(8)
+    rows = []
+    for i, (_, notice, _) in enumerate(license_scan.TEMPLATES * 4):
+        words = [w for w in notice.split() if rng.random() > 0.05]
+        words = [w if rng.random() > 0.03 else "changed" for w in words]
+        other = rng.choice(license_scan.TEMPLATES)[1].split() if i % 3 == 0 else []
+        rows.append((100 + i, " ".join(["before", *words, *["filler"] * rng.randint(0, 3), *other]), None, None))
+    return rows
+
+
+def _licences(text, index):
+    """Every template at every offset of a text, word by word."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    labels = {label for p, label in license_scan.BASE_PHRASES.items() if any(words[i : i + len(p.split())] == p.encode().split() for i in range(len(words)))}
+    score = float(bool(labels))
+    for (label, notice, phrase), ranked in zip(license_scan.TEMPLATES, index.ranked, strict=True):
+        notice, phrase = notice.encode().split(), phrase.encode().split()
+        rare = [w for w in ranked if w in words][:4]
+        starts = [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+        at = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
+        for start in starts:
+            there = [(w, words[start - at + i]) for i, w in enumerate(notice) if 0 <= start - at + i < len(words)]
+            if sum(a == b and a in rare for a, b in there) >= 2:
+                labels.add(label)
+                score = max(score, sum(a == b for a, b in there) / len(notice))
+    return ",".join(sorted(labels)), score
+
+
 def test_licence_scan_equals_brute_force(spark, real, hard):
-    more = docs(spark, [(20, "x All rights reserved, all RIGHTS reserved cc by cc by", None, None), (21, "Licensed under the Apache License, Version 2.0.", None, None), (22, "apache licence only license", None, None), (23, "Released under the MIT License. Licensed under CC BY-NC 4.0.", None, None), (24, "the GNU General Public License, version 3", None, None)])
+    more = docs(spark, [(20, "x All rights reserved, all RIGHTS reserved cc by cc by", None, None), (21, "Licensed under the Apache License, Version 2.0.", None, None), (22, "apache licence only license", None, None), (23, "Released under the MIT License. Licensed under CC BY-NC 4.0.", None, None), (24, "the GNU General Public License, version 3", None, None), *_noisy_notices()])
     for df in (real, hard, more):
         index = license_scan.fit_license_index(df)
         got = license_scan.scan_licenses(df, index).collect()
@@ -319,7 +349,8 @@ def test_licence_scan_equals_brute_force(spark, real, hard):
             places = [i for i, _ in found]
             assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n, len(found), min(places, default=None), max(places, default=None))
             assert r["base_labels"] == ",".join(sorted({x for _, x in found})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    labels = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(more, license_scan.fit_license_index(more)).collect()}
+            assert (r["labels"], r["score"]) == _licences(texts[r["doc_id"]], index), r["doc_id"]
+    labels = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(more, license_scan.fit_license_index(more)).collect() if r["doc_id"] < 100}
     assert labels == {20: "cc-by,reserved", 21: "apache-2.0", 22: "", 23: "cc-by,cc-by-nc-4.0,mit", 24: "gpl,gpl-3.0"}
     assert license_scan.scan_licenses(hard.where("false"), license_scan.fit_license_index(hard.where("false"))).count() == 0
 
