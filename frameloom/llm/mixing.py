@@ -5,14 +5,16 @@ equal length. A target of r times the source draws every block floor(r) times an
 part once more, cut at the exact word. The source's block draws are the colours of an urn: a binary
 tree over the output shards splits the urn recursively, each node's left side by a multivariate
 hypergeometric draw, so quotas stay exact. Each shard then takes the next blocks of each source's
-permuted draws (disjoint by construction), and rows get a hash for the local shuffle in their shard.
+permuted draws (disjoint by construction), and rows get a hash for the local shuffle in their shard. Quotas are exact
+in blocks; in words, up to the last block of the partial draw, which is cut, and the row at the cut, which is whole.
 
 Targets: weights share 100 % of all words; a target stops at ``cap`` times its source and the excess
 is shared anew by weight until none is above.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; null
-ids and repeated rows are kept, ties in text-hash order; sources without words get target 0; an
-empty table gives an empty table. Extra columns are neither read nor returned.
+ids and repeated rows are kept, ties in text-hash order; rows of one id and text in several sources are drawn
+for each by its own target; sources without words get target 0; an empty table gives an empty table.
+`plan_mix` neither reads nor returns extra columns; `deal` and `mix` carry them, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
-HASH_BUCKETS = 4096
+#: Words of a shard, and how many shards there are at most, as the driver holds a quota for each of them and source.
+SHARD_WORDS, MAX_SHARDS = 1 << 21, 1 << 17
 
 
 def mix_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> dict[str | None, float]:
@@ -66,29 +71,44 @@ def words(text: Column) -> Column:
 
 def row_key(id_col: str, text_col: str, seed: int) -> Column:
     """The hash that orders a source's line."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).cast("binary"))
+    identity, text = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), identity, F.md5(text.cast("binary"))).cast("binary"))
+
 
+def line_key(key: Column, source: Column) -> Column:
+    """The key of a row among those of all sources."""
+    return F.md5(F.concat_ws("|", key, source.isNull().cast("string"), source).cast("binary"))
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 64, seed: int = 0, block_words: int = 65_536, max_blocks: int = 1 << 18) -> DataFrame:
-    """(id, source, size, source_size, target, draws) of every row; draws: array<struct<pass,shard,place>>, one for each time it is taken.
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 0, block_words: int = 65_536, max_blocks: int = 1 << 18) -> DataFrame:
+    """(id, source, size, source_size, target, key, draws) of every row; draws: array<struct<pass,shard,place>>, one for each time it is taken.
 
     Only ids, sources, sizes and hashes move. The running sum over a source's line is the sum over its
     hash buckets before (a row per source and bucket) plus a window within the bucket, so a hot
     source is spread over many tasks. The driver holds a row per source and per block; blocks grow
-    with the input, so that there are at most max_blocks and one to four per source.
+    with the input, so that there are at most max_blocks and one for each source. Shards, where their number
+    is not given, hold about SHARD_WORDS words each, more where there would be over MAX_SHARDS of them.
     """
+    return _planned(docs, id_col, text_col, source_col, weights, cap, shards, seed, block_words, max_blocks)[0].drop("line")
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, shards: int | None, seed: int, block_words: int, max_blocks: int) -> tuple[DataFrame, int]:
+    """(plan_mix with the key of the row within its source, number of shards)."""
     spark = docs.sparkSession
+    source = F.col(f"`{source_col}`").cast("string")
     key = row_key(id_col, text_col, seed)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"))
-    rows = _kept(rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), words(F.col(f"`{text_col}`")).alias("size"), key.alias("key"), line_key(key, source).alias("line"))
+    rows = materialize(rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "mix")  # sizes and hashes are needed three times; the texts are read once
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    line = Window.partitionBy("source").orderBy("bucket")  # a row per bucket
-    buckets = buckets.select("source", "bucket", (F.sum("words").over(line) - F.col("words")).alias("before"))
+    before = Window.partitionBy("source").orderBy("bucket")  # a row per bucket
+    buckets = buckets.select("source", "bucket", (F.sum("words").over(before) - F.col("words")).alias("before"))
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     targets = mix_targets(sizes, weights, cap) if sizes else {}
-    length = max(block_words, -(-sum(sizes.values()) // max_blocks))
+    total = sum(sizes.values())
+    shards = shards or min(MAX_SHARDS, max(1, -(-total // SHARD_WORDS)))
+    length = max(block_words, -(-total // max_blocks))
     order = list(targets)
-    n_blocks = {s: max(4, -(-sizes[s] // length)) for s in order}
+    n_blocks = {s: max(1, -(-sizes[s] // length)) for s in order}
     whole = {s: int(targets[s] // sizes[s]) if sizes[s] else 0 for s in order}
     part = {s: (targets[s] - whole[s] * sizes[s]) / sizes[s] if sizes[s] else 0.0 for s in order}
     drawn = {s: whole[s] * n_blocks[s] + int(np.ceil(part[s] * n_blocks[s])) for s in order}
@@ -109,23 +129,30 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     dealt = placed.withColumn("at", at).join(blocks.select("s", "block", "deal"), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("block")))
     taken = F.filter("deal", lambda d: (d["pass"] < F.col("whole")) | (F.col("middle") < F.col("cut")))
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64("key", d["pass"], d["shard"], F.lit(seed)).alias("place")))
-    return dealt.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "key", draws.alias("draws"))
-
+    out = dealt.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "key", "line", draws.alias("draws"))
+    return out, shards
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Sizes and hashes are needed three times; the texts are read once."""
-    from ._shared import materialize
 
-    return materialize(rows, "mix")
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 0, block_words: int = 65_536, max_blocks: int = 1 << 18) -> tuple[DataFrame, int]:
+    """((row, draw) of each draw, number of shards); row: struct of all columns of docs, draw: struct<pass,shard,place>.
 
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, shards: int = 64, **options) -> DataFrame:
-    """The mixture itself: rows of docs, once for each draw, grouped by shard and shuffled within it."""
-    draws = plan_mix(docs, id_col, text_col, seed=seed, shards=shards, **options).where(F.size("draws") > 0).select(F.col("key").alias("__drawn"), "draws")
-    same = Window.partitionBy("__key")  # repeated rows are interchangeable; they are told apart by number
-    draws = draws.withColumn("__number", F.row_number().over(Window.partitionBy("__drawn").orderBy(F.xxhash64("draws"))))
-    keyed = docs.withColumn("__key", row_key(id_col, text_col, seed))
-    keyed = keyed.withColumn("__row", F.row_number().over(same.orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])))
-    # a difference, not an equality, so that the join keeps the windows' partitioning by key
-    drawn = keyed.join(draws, (F.col("__key") == F.col("__drawn")) & (F.col("__row") - F.col("__number") == 0)).withColumn("__draw", F.explode("draws"))
-    return drawn.repartition(shards, "__draw.shard").sortWithinPartitions("__draw.shard", "__draw.place").select(*docs.columns)
+    Draws are decided on narrow rows; the texts move once to meet them. Rows with one key and source are told
+    apart by number, of docs in the order of the JSON of their other columns.
+    """
+    plan, shards = _planned(docs, id_col, text_col, source_col, weights, cap, shards, seed, block_words, max_blocks)
+    draws = plan.where(F.size("draws") > 0).select(F.col("line").alias("drawn"), "draws")
+    draws = draws.withColumn("number", F.row_number().over(Window.partitionBy("drawn").orderBy(F.xxhash64("draws"))))
+    # rows move whole in one column, so no name of theirs can clash
+    whole = docs.select(line_key(row_key(id_col, text_col, seed), F.col(f"`{source_col}`").cast("string")).alias("line"), F.struct("*").alias("row"))
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (id_col, text_col, source_col)]
+    same = Window.partitionBy("line").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    whole = whole.withColumn("place", F.row_number().over(same))
+    # a difference, not an equality, so that the join keeps the windows' partitioning
+    drawn = whole.join(draws, (F.col("line") == F.col("drawn")) & (F.col("place") - F.col("number") == 0))
+    return drawn.select("row", F.explode("draws").alias("draw")), shards
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, shards: int | None = None, **options) -> DataFrame:
+    """The mixture itself: rows of docs, once for each draw; a partition for each shard, shuffled within it."""
+    drawn, shards = deal(docs, id_col, text_col, source_col, seed=seed, shards=shards, **options)
+    return drawn.repartitionById(shards, F.col("draw.shard")).sortWithinPartitions("draw.place").select("row.*")

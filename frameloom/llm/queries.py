@@ -61,8 +61,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the splitting tree deals of each document: its words, counted once for each shard place it got."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, draw: total + F.when(draw["shard"] >= 0, F.col("size")).otherwise(0))
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -510,11 +510,32 @@ def test_mix_takes_whole_documents_near_the_targets(spark, real, hard):
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     assert all(abs(by[r["source"]] - r["target"]) <= largest[r["source"]] for r in plan)
     assert sorted(map(str, mixing.plan_mix(real, shards=8).collect())) == sorted(map(str, plan))
+    rows, n = mixing.deal(real, shards=8)
+    dealt = rows.select("row.doc_id", "row.source", "draw.*").collect()
+    assert n == 8 and Counter((r["doc_id"], r["pass"], r["shard"], r["place"]) for r in dealt) == Counter((r["doc_id"], *d) for r in plan for d in r["draws"])
+    shards = [[r["doc_id"] for r in part] for part in mixing.mix(real, shards=8).rdd.glom().collect()]
+    want = defaultdict(list)
+    for r in sorted(dealt, key=lambda r: r["place"]):
+        want[r["shard"]].append(r["doc_id"])
+    assert shards == [want[k] for k in range(8)]
     again = mixing.plan_mix(hard).collect()
     assert len(again) == len(HARD) and mixing.mix(hard).columns == hard.columns
     assert mixing.plan_mix(hard.where("false")).count() == 0 and mixing.mix(hard.where("false")).count() == 0
 
 
+def test_mix_keeps_sources_and_clashing_columns_apart(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "y"), (2, None, None), (None, "d e", None), (3, "f g h i", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "7 AS draws", "map('a', 1) AS line", "1 AS place", "2 AS number", "3 AS drawn", "4 AS row", "5 AS draw", "6 AS key", "8 AS size", "9 AS bucket")
+    for seed in range(4):
+        want = Counter()
+        for r in mixing.plan_mix(df, seed=seed).collect():
+            want[r["doc_id"], r["source"]] += len(r["draws"])
+        out = mixing.mix(df, seed=seed)
+        assert out.columns == df.columns and Counter((r["doc_id"], r["source"]) for r in out.collect()) == +want
+    bare = df.select("doc_id", "text", "source")
+    assert mixing.mix(bare).columns == bare.columns
+
+
 # 10 decontamination
 
 
