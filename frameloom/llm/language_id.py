@@ -1,7 +1,9 @@
 """Language identification of mixed-language text.
 
-Script ranges narrow the candidate languages of each word; a Viterbi pass over per-word scores with
-a switching penalty then labels spans.
+Script ranges narrow the candidate languages of each word: those that do not use its script are removed. A
+Viterbi pass over per-word scores with a switching penalty then labels spans. The document's language is the one
+with the most letters; its score is the share of those letters, less the more the closer the runner-up is per word:
+share * (1 - exp(-margin)), margin being how much better the language scores a word of its spans, in nats.
 
 Defined results: a null, empty or letterless text gives ``und``, score 0 and no spans; a null id is
 kept; repeated rows are labelled one by one; with no labelled row every text is ``und``; an empty
@@ -19,12 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+#: Score of a language that does not use a word's script: no text is long enough to outweigh it.
+REMOVED = -1e6
 
 # First code points of script ranges (Unicode blocks), joined where a script spans several.
 SCRIPTS = [
@@ -90,15 +95,19 @@ class LanguageModel:
             starts[i] = len(flat)
             flat += [get(g, unknown) for g in grams(w)]
         out = np.add.reduceat(self.weights[np.array(flat, np.int64)], starts, axis=0)
-        for i, w in enumerate(words):
-            if not w.isascii():
-                allowed = self.by_script.get(script_of(w))
-                if allowed is None:
-                    out[i] = 0  # a script that no learned language uses tells nothing
-                elif len(allowed) < len(self.languages):
-                    out[i, [k for k in range(len(self.languages)) if k not in allowed]] -= 2 * self.clip
+        removed = np.zeros(out.shape, bool)
+        ascii_words = np.fromiter(map(str.isascii, words), bool, len(words))
+        for script, rows in [("latin", ascii_words), *((script_of(words[i]), [i]) for i in np.flatnonzero(~ascii_words))]:
+            allowed = self.by_script.get(script)
+            if allowed is None:
+                out[rows] = 0  # a script that no learned language uses tells nothing
+            elif len(allowed) < len(self.languages):
+                others = np.ones(len(self.languages), bool)
+                others[allowed] = False
+                removed[rows] = others
+        out[removed] = -np.inf
         out -= out.max(axis=1, keepdims=True)
-        return np.maximum(out, -self.clip)
+        return np.where(removed, np.float32(REMOVED), np.maximum(out, -self.clip))
 
     def path(self, scores: np.ndarray) -> np.ndarray | int:
         """The best language of every word: one number if it is the same for all.
@@ -133,30 +142,37 @@ class LanguageModel:
                 now = tops[i]
         return out
 
+    def _sure(self, scores: np.ndarray, best: int) -> float:
+        """1 - exp(-mean margin of a language over the runner-up) on these words."""
+        total = np.maximum(scores, -self.clip).sum(axis=0, dtype=np.float64)
+        margin = (total[best] - np.delete(total, best).max()) / len(scores) if len(total) > 1 else self.clip
+        return float(-np.expm1(-max(margin, 0.0)))
+
     def label(self, text: str | None) -> tuple[str, float, list[dict]]:
-        """(language, share of the letters in its spans, spans by code point) of a text."""
+        """(language, score, spans by code point) of a text."""
         words = WORD.findall(text) if text and self.languages else []
         if text and self.languages and not text.isascii():
             words = [w for w in words if any(map(str.isalpha, w))]
         if not words:
             return UNKNOWN, 0.0, []
-        path = self.path(self.word_scores(words))
+        scores = self.word_scores(words)
+        path = self.path(scores)
         if isinstance(path, int):
             first = WORD.search(text).start()
-            return self.languages[path], 1.0, [{"start": first, "end": text.rfind(words[-1]) + len(words[-1]), "lang": self.languages[path]}]
+            return self.languages[path], self._sure(scores, path), [{"start": first, "end": text.rfind(words[-1]) + len(words[-1]), "lang": self.languages[path]}]
         letters = np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(self.languages))
         where = [m.span() for m in WORD.finditer(text) if any(map(str.isalpha, m[0]))]
         cuts = np.flatnonzero(np.diff(path)) + 1
         runs = zip([0, *cuts], [*cuts, len(words)], strict=True)
         best = int(letters.argmax())
-        return self.languages[best], float(letters[best] / letters.sum()), [{"start": where[a][0], "end": where[b - 1][1], "lang": self.languages[int(path[a])]} for a, b in runs]
+        return self.languages[best], float(letters[best] / letters.sum()) * self._sure(scores[path == best], best), [{"start": where[a][0], "end": where[b - 1][1], "lang": self.languages[int(path[a])]} for a, b in runs]
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, min_count: int = 2, **options) -> LanguageModel:
     """Learns trigram weights from labelled rows.
 
-    rows_per_language: expected number of labelled rows sampled of each language (the documented bound
-    of this fit); rows are drawn by a hash of the text, so reruns learn alike.
+    rows_per_language: the most texts that are expected to be sampled of each language (the documented bound of
+    this fit); texts are drawn by their hash, so reruns learn alike, and copies of a text count once.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -181,7 +197,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
             cols = list(zip(*flat[at : at + 20_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["lang", "kind", "item", "n"])
 
-    parts = rows.where(keep).mapInArrow(count, "lang string, kind string, item string, n long")
+    parts = rows.where(keep).dropDuplicates(["l", "t"]).mapInArrow(count, "lang string, kind string, item string, n long")
     found = parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where(f"kind = 's' OR n >= {int(min_count)}").collect() if counts else []
     return build_model([tuple(r) for r in found], sorted(counts), **options)
 
@@ -226,13 +242,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return rows.mapInArrow(label, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "__lang_pred") -> DataFrame:
-    """The table with the predicted language of its text as a further column, whatever other columns it has; each text is labelled once."""
-    at, columns = docs.columns.index(text_col), docs.columns
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text is of a learned language, which replaces lang_col; all other columns stay as they are.
+
+    No column is added, so none can clash; each text is labelled once. Null, empty and letterless texts go.
+    """
+    text_at, lang_at, columns = docs.columns.index(text_col), docs.columns.index(lang_col), docs.columns
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([model.label(text.as_py())[0] for text in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*columns, name])
+            found = pa.array([model.label(text.as_py())[0] for text in batch.column(text_at)], pa.string())
+            arrays = [found if k == lang_at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pc.not_equal(found, UNKNOWN))
 
-    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return docs.mapInArrow(label, T.StructType([T.StructField(lang_col, T.StringType()) if k == lang_at else f for k, f in enumerate(docs.schema.fields)]))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on hard rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -79,10 +80,39 @@ def test_path_equals_full_viterbi():
         assert abs(total(path) - total(list(model._viterbi(scores)))) < 1e-3
 
 
+def test_path_equals_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    model = language_id.LanguageModel(list("abc"), {}, np.zeros((1, 3), np.float32), {}, switch_penalty=4.0)
+    for _ in range(120):
+        scores = -rng.exponential(3, (rng.integers(1, 7), 3)).astype(np.float32)
+        scores -= scores.max(axis=1, keepdims=True)
+        scores[rng.random(scores.shape) < 0.05] = language_id.REMOVED
+        total = lambda p: sum(float(scores[i, k]) for i, k in enumerate(p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(map(total, itertools.product(range(3), repeat=len(scores))))
+        path = model.path(scores)
+        assert abs(total([path] * len(scores) if isinstance(path, int) else list(path)) - best) < 1e-3 * max(1, abs(best) / 1e4)
+
+
+def test_scores_tell_sure_from_unsure(spark, real):
+    model = language_id.fit_language_model(real)
+    sure, unsure = model.label("the weather and the question that they have with this")[1], model.label("zzq")[1]
+    assert 0 <= unsure < sure <= 1
+    copies = real.where("lang = 'en'").limit(1).select("text", "lang").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("n")
+    assert language_id.fit_language_model(copies).languages == ["en"]
+
+
+def test_identified_rows_keep_their_columns(spark, real):
+    model = language_id.fit_language_model(real)
+    df = spark.createDataFrame([(1, "the cat and the dog are with you", "xx"), (2, None, "xx"), (3, "12 34", "xx")], "doc_id long, text string, lang string").selectExpr("*", "map('k', 1) AS lang_pred", "1 AS __lang_pred", "2 AS score")
+    out = language_id.keep_identified(df, model)
+    assert out.columns == df.columns and [(r["doc_id"], r["lang"], r["lang_pred"]) for r in out.collect()] == [(1, "en", {"k": 1})]
+
+
 def test_scripts_narrow_languages():
     counts = [("ru", "g", "^да", 5), ("ru", "g", "да$", 5), ("ru", "s", "cyrillic", 50), ("en", "g", "^ye", 5), ("en", "s", "latin", 50)]
     model = language_id.build_model(counts, ["en", "ru"])
     assert model.label("да нет")[0] == "ru" and model.label("yes")[0] == "en"
+    assert [s["lang"] for s in model.label("да нет yes да")[2]] == ["ru", "en", "ru"]  # no penalty outweighs a script
 
 
 # 2 fingerprints
