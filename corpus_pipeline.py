@@ -13,8 +13,7 @@ from frameloom.llm.queries import TOKENIZER
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any letter of a language; the rest get the predicted language as ``lang``."""
     model = language_id.fit_language_model(docs)
-    found = language_id.with_language(docs, model).where(F.col("__lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.col("__lang_pred")).select(*docs.columns)
+    return language_id.keep_identified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
