@@ -2,7 +2,9 @@
 
 Detected entities are replaced by a keyed permutation of the strings of their own format: digits stay
 digits, letters stay letters of the same case and script (vowels vowels in names, whose last letter, the
-carrier of gender, stays as it is), separators stay. A permutation maps different entities of a format
+carrier of gender, stays as it is), separators stay. Given names of the lists below become others of the same list,
+so of the same gender and script; an IBAN keeps its country and gets valid check digits; a secret keeps its
+form (hexadecimal, a known prefix). A permutation maps different entities of a format
 to different surrogates and the same entity always to the same one, so distinctness and coreference
 hold over the whole corpus without a table of entities. Collision checks: a surrogate never equals
 its entity (the permutation has no fixed point); results that a type does not allow (a card number whose
@@ -10,11 +12,13 @@ checksum is valid where the entity's is not, an address octet above 255) are wal
 entities of a text would share a surrogate, the later one walks on to the next free one. Addresses of
 equal numbers, as 10.0.0.1 and 10.0.0.01, are one entity and share theirs.
 
-Types: email, ip, phone, card, ssn, iban, secret, name. A name is any number of words behind a title:
+Types: email, ip, phone, card (13 to 19 digits, as a mistyped card number is one, too), ssn, iban, secret, name. A name is any
+number of words behind a title, or behind a given name of the lists:
 initials, words that begin with a capital or with a letter of a script without case, and particles (von,
 de la) between them, which stay. Its words are replaced one by one, and so is every other mention of one
 of them in the same document that begins with a capital, so all mentions agree. Defined results: null stays
-null and has no entities; of overlapping finds the earliest, then the longest, wins; null ids and
+null and has no entities, an empty text stays empty; the time for an entity is linear in its length beyond
+NUMBER_PLACES letters; of overlapping finds the earliest, then the longest, wins; null ids and
 repeated rows are kept; an empty table gives an empty table. Only the id and the text are read.
 """
 
@@ -27,10 +31,13 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Up to this many changeable characters, an entity is permuted as one number.
+NUMBER_PLACES = 32
 _DIGITS = "0123456789"
 _HEX = "0123456789abcdef"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -39,7 +46,16 @@ _NAME_CLASSES = [
     "aeiou", "bcdfghjklmnprstvwz", "xqy", "àáâãäåèéêëìíîïòóôõöùúûü", "çñý",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуэюя", "бвгджзклмнпрстфхцчшщ",
 ]
-
+# Common given names by gender and script, no name in two lists. They name a person without a title.
+GIVEN_NAMES = [
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony steven andrew paul joshua kenneth kevin brian george edward jürgen wolfgang klaus günter stefan andreas matthias hans karl friedrich pierre jean jacques michel françois philippe julien antoine josé juan carlos luis antonio manuel miguel javier fernando diego".split(),
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda ursula monika petra sabine renate helga gisela ingrid brigitte katharina marie anne françoise catherine sylvie nathalie isabelle claire sophie camille maría carmen josefa isabel dolores pilar teresa lucía elena rosa".split(),
+    "иван пётр сергей алексей андрей дмитрий николай михаил владимир александр павел юрий виктор олег игорь".split(),
+    "мария анна елена ольга наталья екатерина татьяна ирина светлана людмила галина надежда вера юлия оксана".split(),
+    "γιώργος γιάννης κώστας δημήτρης νίκος παναγιώτης βασίλης χρήστος".split(),
+    "μαρία ελένη κατερίνα βασιλική σοφία αγγελική γεωργία ιωάννα".split(),
+]
+_GIVEN_LIST = {name: names for names in GIVEN_NAMES for name in names}
 
 
 def _characters(*categories: str) -> str:
@@ -64,6 +80,7 @@ _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Señora Señor Sra Sr Madame M
 _TITLES = "|".join(_TITLES + sorted({t.upper() for t in _TITLES}))
 _PART = rf"(?!(?:{_TITLES})\b)(?:{_INITIAL}|{_WORD})"
 _NAME = rf"{_PARTICLES}{_PART}(?:(?:(?<=\.)(?:{_GAP})?|{_GAP}){_PARTICLES}{_PART})*"
+_GIVEN = "|".join(sorted({form for name in _GIVEN_LIST for form in (name.capitalize(), name.upper())}))
 _ANY_WORD = re.compile(rf"(?<![\w{_MARKS}]){_WORD}")
 PATTERNS: list[tuple[str, str, Callable[[str], bool], re.Pattern]] = [
     ("email", "", lambda t: "@" in t, re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+")),
@@ -75,6 +92,7 @@ PATTERNS: list[tuple[str, str, Callable[[str], bool], re.Pattern]] = [
     ("ssn", "1", lambda t: "-" in t, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", "1", lambda t: True, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("name", "", lambda t: True, re.compile(rf"\b(?:{_TITLES})\b\.?(?:{_GAP}|[ \t]*\r?\n[ \t]*)(?:(?:{_TITLES})\b\.?{_GAP})*({_NAME})")),
+    ("name", "", lambda t: not _GIVEN_LIST.keys().isdisjoint(re.findall(r"\w+", t.lower())), re.compile(rf"(?<![\w{_MARKS}])((?:{_GIVEN})(?:(?:-(?:{_GIVEN}))?{_GAP}{_PARTICLES}{_PART})+)(?![\w{_MARKS}])")),
 ]
 _HAS_DIGIT = re.compile(r"\d")
 
@@ -136,6 +154,25 @@ def luhn_digit(digits: str) -> int:
     return -total % 10
 
 
+def _has_given(word: str) -> bool:
+    return any(part in _GIVEN_LIST for part in word.casefold().split("-"))
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(ch, 36)) for ch in account + country + '00')) % 97:02d}"
+
+
+def secret_form(text: str) -> tuple[str, int, list[str]]:
+    """(form, length of its prefix, classes of the characters behind it) of a secret; a surrogate has its secret's form."""
+    known = re.match(r"AKIA|gh[pousr]_", text)
+    if known:
+        return known[0], known.end(), [_DIGITS, _LOWER]
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and not text.isdecimal():
+        return "hex" if text == text.lower() else "HEX", 0, [_HEX]
+    return "any", 0, [_DIGITS, _LOWER]
+
+
 class Surrogates:
     """Keyed replacements; the same key gives the same ones."""
 
@@ -178,6 +215,18 @@ class Surrogates:
 
         return walk((walk(value, True) + 1) % size, False)
 
+    def _wide(self, tag: bytes, values: list[int], sizes: list[int]) -> list[int]:
+        """A keyed permutation of strings of any length, in time linear in it: a Feistel network over the halves' characters."""
+        half = len(values) // 2
+        v, size = np.array(values, np.int64), np.array(sizes, np.int64)
+        sides = (slice(0, half), slice(half, None))
+        for r in range(8):
+            mine, other = sides[r % 2], sides[1 - r % 2]
+            seed = self.key + tag + bytes([r]) + v[other].astype("<u4").tobytes()
+            stream = np.frombuffer(hashlib.shake_256(seed).digest(4 * len(v[mine])), "<u4")
+            v[mine] = (v[mine] + stream) % size[mine]
+        return v.tolist()
+
     def mapped(self, tag: str, text: str, classes: list[str], fixed: frozenset[int] = frozenset()) -> str:
         """Permutes the strings that have text's characters of the classes replaced by others of the same class and case."""
         places = []
@@ -189,18 +238,53 @@ class Surrogates:
                 if low in c:
                     places.append((i, c, low != ch))
                     break
-        value, size = 0, 1
-        for i, c, _ in places:
-            value, size = value * len(c) + c.index(text[i].lower()), size * len(c)
-        kept = "".join("\0" if any(i == p for p, _, _ in places) else ch for i, ch in enumerate(text))
+        kept = list(text)
+        for i, _, _ in places:
+            kept[i] = "\0"
+        kept = "".join(kept)
         kept = kept.lower() if tag == "name" else kept  # SMITH as Smith
-        value = self.permute(tag + kept + "|".join(c for _, c, _ in places), value, size)
+        tag += kept + "|".join(c for _, c, _ in places)
+        values, sizes = [c.index(text[i].lower()) for i, c, _ in places], [len(c) for _, c, _ in places]
+        if len(places) > NUMBER_PLACES:
+            values = self._wide(hashlib.blake2b(tag.encode(), digest_size=16).digest(), values, sizes)
+        else:
+            value, size = 0, 1
+            for v, n in zip(values, sizes, strict=True):
+                value, size = value * n + v, size * n
+            value = self.permute(tag, value, size)
+            for k in range(len(sizes) - 1, -1, -1):
+                value, values[k] = divmod(value, sizes[k])
         out = list(text)
-        for i, c, upper in reversed(places):
-            value, at = divmod(value, len(c))
-            out[i] = c[at].upper() if upper else c[at]
+        for v, (i, c, upper) in zip(values, places, strict=True):
+            out[i] = c[v].upper() if upper else c[v]
         return "".join(out)
 
+    def _walked(self, text: str, step: Callable[[str], str], allowed: Callable[[str], bool]) -> str:
+        """step again until the result is allowed: step restricted to the allowed strings, of which text is one."""
+        new = step(text)
+        while not allowed(new):
+            new = step(new)
+        return new
+
+    def _word_of_name(self, word: str) -> str:
+        if "-" in word and _has_given(word):
+            return "-".join(map(self._word_of_name, word.split("-")))
+        low = word.casefold()
+        names = _GIVEN_LIST.get(low)
+        if names:
+            new = names[self.permute("given " + names[0], names.index(low), len(names))]
+            return new.upper() if word == word.upper() and len(word) > 1 else new.capitalize()
+        fixed = frozenset([len(word) - 1]) if len(word) > 2 and _cased(word[-1]) else frozenset()
+        return self._walked(word, lambda w: self.mapped("name", w, _NAME_CLASSES, fixed), lambda w: not _has_given(w))
+
+    def _iban(self, text: str) -> str:
+        country, check, account = text[:2], text[2:4], text[4:]
+        if iban_check(country, account) == check:
+            new = self.mapped("iban" + country, account, [_DIGITS, _LOWER])
+            return country + iban_check(country, new) + new
+        step = lambda x: self.mapped("number" + country, x, [_DIGITS, _LOWER])
+        return country + self._walked(check + account, step, lambda x: iban_check(country, x[2:]) != x[:2])
+
     def _of(self, kind: str, text: str) -> str:
         if kind == "email":
             user, _, domain = text.rpartition("@")
@@ -209,6 +293,9 @@ class Surrogates:
         if kind == "ip":
             value = int.from_bytes(bytes(map(int, text.split("."))), "big")
             return ".".join(map(str, self.permute("ip", value, 1 << 32).to_bytes(4, "big")))
+        if kind == "iban":
+            rest = iter(self._iban(text.replace(" ", "")))
+            return "".join(ch if ch == " " else next(rest) for ch in text)
         digits = "".join(ch for ch in text if ch in _DIGITS)
         if kind in ("phone", "card", "ssn"):
             keep = len(re.match(r"\+(\d{1,3})(?=\D)|", text)[1] or "") if kind == "phone" else 0
@@ -216,20 +303,17 @@ class Surrogates:
                 new = self.mapped("card", digits[:-1], [_DIGITS])
                 new += str(luhn_digit(new))
             elif kind == "card":
-                new = self.mapped("number", digits, [_DIGITS])
-                while luhn_digit(new[:-1]) == int(new[-1]):
-                    new = self.mapped("number", new, [_DIGITS])
+                new = self._walked(digits, lambda d: self.mapped("number", d, [_DIGITS]), lambda d: luhn_digit(d[:-1]) != int(d[-1]))
             else:
                 new = digits[:keep] + self.mapped(kind + digits[:keep], digits[keep:], [_DIGITS])
             rest = iter(new)
             return "".join(next(rest) if ch in _DIGITS else ch for ch in text)
         if kind == "name":
-            return _ANY_WORD.sub(lambda m: self.mapped("name", m[0], _NAME_CLASSES, frozenset([len(m[0]) - 1]) if len(m[0]) > 2 and _cased(m[0][-1]) else frozenset()), text)
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and not text.isdecimal():
-            upper = text != text.lower()
-            new = self.mapped("hex", text.lower(), [_HEX])
-            return new.upper() if upper else new
-        return self.mapped(kind, text, [_DIGITS, _LOWER])
+            return _ANY_WORD.sub(lambda m: self._word_of_name(m[0]), text)
+        # all secrets share one set of strings, cut into forms that are mapped to themselves
+        form, prefix, classes = secret_form(text)
+        step = lambda x: self.mapped("secret" + form, x, classes, frozenset(range(prefix)))
+        return self._walked(text, (lambda x: step(x.lower()).upper()) if form == "HEX" else step, lambda x: secret_form(x)[0] == form)
 
     def replace(self, text: str) -> tuple[str, list[dict]]:
         """The text with its entities replaced, and the replacements by code point of the old text."""

@@ -225,6 +225,55 @@ def test_equal_addresses_and_shared_surrogates_do_not_end_the_run(spark):
     assert x == z == "token11" != y and y not in ("secret1", "secret2")
 
 
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [("yesterday John Smith said", "John Smith"), ("что Иван Петров сказал", "Иван Петров"), ("here MARIA LOPEZ signed", "MARIA LOPEZ"), ("with Jean-Pierre de la Cour there", "Jean-Pierre de la Cour"), ("by Γιώργος Παπαδόπουλος there", "Γιώργος Παπαδόπουλος")],
+)
+def test_names_without_titles_get_names_of_their_list(text, hidden):
+    new, spans = surrogates.Surrogates(b"k").replace(text.replace("MARIA", "MARY"))
+    hidden = hidden.replace("MARIA", "MARY")
+    assert [s["type"] for s in spans] == ["name"] and spans[0]["end"] - spans[0]["start"] == len(hidden)
+    first, other = re.match(r"\w+", hidden)[0], re.match(r"\w+", spans[0]["surrogate"])[0]
+    mine = next(names for names in surrogates.GIVEN_NAMES if first.casefold() in names)
+    assert other.casefold() in mine and other != first and other.isupper() == first.isupper()
+    every = [n for names in surrogates.GIVEN_NAMES for n in names]
+    assert len(every) == len(set(every)) and not any(n in surrogates.Surrogates(b"k").replace("The Mark On it. John is here. Rose And thorn")[0] for n in ["Jon"])
+
+
+def test_surrogates_of_every_short_secret_are_distinct():
+    s = surrogates.Surrogates(b"k")
+    texts = ["".join(x) for x in itertools.product("ab12Z", repeat=4)] + ["".join(x) for x in itertools.product("0123456789abcdef", repeat=3)] + ["AKIA" + x for x in "AB01"]
+    image = [s.of("secret", t) for t in texts]
+    assert len(set(image)) == len(set(texts)) and all(surrogates.secret_form(a)[0] == surrogates.secret_form(b)[0] for a, b in zip(texts, image))
+
+
+def test_ibans_keep_country_and_validity():
+    s, rng = surrogates.Surrogates(b"k"), random.Random(4)
+    assert surrogates.iban_check("DE", "370400440532013000") == "89"
+    seen = {}
+    for k in range(200):
+        account = "".join(rng.choices("0123456789", k=18))
+        text = "DE" + (surrogates.iban_check("DE", account) if k % 2 else f"{rng.randrange(100):02d}") + account
+        new = s.of("iban", text)
+        valid = lambda t: surrogates.iban_check(t[:2], t[4:]) == t[2:4]
+        assert new[:2] == "DE" and valid(new) == valid(text) and seen.setdefault(new, text) == text
+        spaced = " ".join(text[i : i + 4] for i in range(0, len(text), 4))
+        assert s.of("iban", spaced).replace(" ", "") == new
+
+
+def test_long_entities_and_wide_permutations():
+    s = surrogates.Surrogates(b"k")
+    for sizes in ([2, 3, 2], [3, 2, 2, 2], [5, 4]):
+        every = [list(x) for x in itertools.product(*map(range, sizes))]
+        image = [tuple(s._wide(b"t", x, sizes)) for x in every]
+        assert sorted(image) == sorted(map(tuple, every))
+    for n in (33, 4_000, 300_000):
+        text = "token=" + "".join(random.Random(n).choices("abcXYZ019", k=n))
+        new, spans = s.replace(text)
+        assert len(new) == len(text) and new != text and [x["type"] for x in spans] == ["secret"]
+        assert [(a.isdigit(), a.isupper()) for a in text[6:]] == [(a.isdigit(), a.isupper()) for a in new[6:]]
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
 def test_permutation_is_a_bijection_without_fixed_points(size):
     s = surrogates.Surrogates(b"key")
