@@ -155,7 +155,7 @@ def luhn_digit(digits: str) -> int:
 
 
 def _has_given(word: str) -> bool:
-    return any(part in _GIVEN_LIST for part in word.casefold().split("-"))
+    return any(part in _GIVEN_LIST for part in word.lower().split("-"))
 
 
 def iban_check(country: str, account: str) -> str:
@@ -269,7 +269,7 @@ class Surrogates:
     def _word_of_name(self, word: str) -> str:
         if "-" in word and _has_given(word):
             return "-".join(map(self._word_of_name, word.split("-")))
-        low = word.casefold()
+        low = word.lower()
         names = _GIVEN_LIST.get(low)
         if names:
             new = names[self.permute("given " + names[0], names.index(low), len(names))]
