@@ -28,11 +28,28 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def chat_events(rows: DataFrame) -> DataFrame:
+    """An event log that leaves these rows (conv_id, turn, role, text).
+
+    An assistant's turn is streamed: it opens empty, gets a delta, is followed by a message that its regeneration
+    drops, and gets its text as deltas. Another turn opens with a draft and is edited. Each row is a message of its own.
+    """
+    text = F.coalesce("text", F.lit(""))
+    of = lambda late, part, kind, value, role=None: F.struct(F.lit(late).alias("late"), part.cast("long").alias("part"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), value.alias("text"))
+    at = lambda k: F.lit(k)
+    start = [of(False, at(0), "message", F.lit(""), F.col("role")), of(False, at(1), "delta", F.lit("first try")), of(True, at(2), "message", F.lit("what then?"), F.lit("user")), of(False, at(3), "regenerate", F.lit(""))]
+    pieces = F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,200}"), F.lit(0)), lambda piece, k: of(False, k + 4, "delta", piece))
+    edited = [of(False, at(0), "message", F.lit("draft"), F.col("role")), of(False, at(1), "edit", text)]
+    log = F.when(F.col("role") == "assistant", F.concat(F.array(*start), pieces)).otherwise(F.array(*edited))
+    events = rows.withColumn("row", F.monotonically_increasing_id()).select("conv_id", "turn", "row", F.inline(log))
+    return events.select("conv_id", F.struct("row", "late").alias("message_id"), F.col("turn").alias("seq"), "part", "kind", "role", "text")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows written as an event log, folded back, rendered and read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", CHAT_PROBE), (-7, 1, "assistant", CHAT_PROBE)], "conv_id long, turn long, role string, text string")
-    events = rows.unionByName(probe).select("conv_id", F.col("turn").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    out = chat_format.render(chat_format.reconstruct(events))
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
+    out = chat_format.render(chat_format.reconstruct(chat_events(rows.unionByName(probe)), part="part"))
     turns, texts = chat_format.parse(F.col("formatted")), chat_format.masked_texts(F.col("formatted"), F.col("loss_spans"))
     read = out.select("conv_id", turns.alias("turns"), F.array_join(texts, "").alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

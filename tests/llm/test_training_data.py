@@ -157,6 +157,57 @@ def test_events_fold_into_messages(spark):
     assert chat_format.reconstruct(df.where("false")).count() == 0
 
 
+def _fold(events):
+    """Messages of one conversation, event by event: [(seq, part, role, text)]."""
+    by, cuts = defaultdict(list), []
+    first = lambda x: (x is not None, x or 0)
+    for m, seq, part, kind, role, text in sorted(events, key=lambda e: (first(e[1]), e[2], e[3], e[4] or "", e[5] or "")):
+        done, text = by[m], text or ""
+        if kind == "message" or not done:
+            done.append([(first(seq), part), seq, role or "", "" if kind in ("regenerate", "delete") else text, kind != "delete"])
+        else:
+            last = done[-1]
+            last[3] = {"delta": last[3] + text, "edit": text, "regenerate": ""}.get(kind, last[3])
+            last[4] = kind != "delete"
+        if kind == "regenerate":
+            cuts.append((done[0][0], (first(seq), part)))
+    left = [m for done in by.values() for m in done if m[4] and not any(a < m[0] < b for a, b in cuts)]
+    return [(m[1], m[2], m[3]) for m in sorted(left, key=lambda m: (m[0], m[2], m[3]))]
+
+
+def test_random_event_logs_fold_as_a_loop_does(spark):
+    rng = random.Random(6)
+    rows = []
+    for c in range(60):
+        for _ in range(rng.randint(1, 25)):
+            rows.append((rng.choice([c, None]) if c == 7 else c, rng.randint(0, 4), rng.choice([None, *range(12)]), rng.randint(0, 2), rng.choice(["message", "delta", "delta", "edit", "regenerate", "delete"]), rng.choice(["user", "assistant", None]), rng.choice(["x", "yy", "", None])))
+    df = spark.createDataFrame(rows, "conv_id long, message_id long, seq long, part long, kind string, role string, text string").selectExpr("*", "map('k', 1) AS c", "1 AS es", "2 AS ms")
+    got = {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in chat_format.reconstruct(df, part="part").collect()}
+    want = defaultdict(list)
+    for c, *event in rows:
+        want[c].append(event)
+    assert got == {c: _fold(events) for c, events in want.items()}
+
+
+def test_spans_of_many_turns(spark):
+    df = spark.range(3).selectExpr("id AS conv_id", "transform(sequence(1, CAST(id * 700 + 1 AS INT)), i -> named_struct('seq', CAST(i AS BIGINT), 'role', IF(i % 3 = 0, 'assistant', 'user'), 'text', repeat('é<turn', i % 5))) AS messages")
+    out = chat_format.render(df.unionByName(spark.sql("SELECT 9L AS conv_id, CAST(array() AS array<struct<seq:bigint,role:string,text:string>>) AS messages")))
+    for r in out.select("conv_id", "formatted", chat_format.masked_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        n = r["conv_id"] * 700 + 1 if r["conv_id"] < 9 else 0
+        assert r["loss"] == ["é<turn" * (i % 5) for i in range(1, n + 1) if i % 3 == 0] and r["formatted"].count("</turn>\n") == n
+
+
+def test_event_log_of_conversations_leaves_them(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "word " * 300), (1, 1, "assistant", "word " * 300), (1, None, None, None), (1, 2, "assistant", None), (None, 5, "assistant", "é🙂" * 250), (1, -3, "user", "")]
+    events = queries.chat_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in events.select("kind").collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r["conv_id"]: [(m["seq"], m["role"], m["text"]) for m in r["messages"]] for r in chat_format.reconstruct(events, part="part").collect()}
+    want = defaultdict(list)
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        want[c].append((turn, role or "", text or ""))
+    assert got == want
+
+
 def test_formatting_round_trips_any_text(spark):
     pieces = ["<turn>", "</turn>\n", "\\", "\\\\", "<\\turn", "%0A", "\n", "é🙂", "</turn", "a", "<", "", "\\n"]
     rng = random.Random(1)
