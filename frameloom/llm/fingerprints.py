@@ -93,7 +93,8 @@ def with_next(rows: DataFrame, derive, rows_per_block: int = 4_000, max_blocks:
 
     The ids are cut at quantiles into blocks that are sorted on their own; each block's first row also
     stands at the end of the block before it, so no row is moved twice. A block holds rows_per_block rows,
-    or more where there would be over max_blocks of them, as their bounds stand in the plan.
+    or more where there would be over max_blocks of them, as their bounds stand in the plan. Rows of one id, null
+    included, share a block, as ids are meant to tell rows apart.
     """
     n = rows.count()
     blocks = min(n // rows_per_block + 1, max_blocks)
@@ -103,7 +104,7 @@ def with_next(rows: DataFrame, derive, rows_per_block: int = 4_000, max_blocks:
     first = heads.agg(F.min("block")).first()[0]
     before = Window.orderBy("block")  # a row per block
     heads = heads.select("id", F.col("block").alias("own"), F.coalesce(F.lag("block").over(before), F.max("block").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("block"))
-    ends = rows.select(F.col("id").alias("own_id"), "text").join(heads, F.col("own_id").eqNullSafe(heads["id"]))
+    ends = rows.select(F.col("id").alias("own_id"), "text").join(F.broadcast(heads), F.col("own_id").eqNullSafe(heads["id"]))  # max_blocks rows at most
     both = derive(placed.select("id", "text", "block", F.lit(False).alias("end")).unionByName(ends.select("id", "text", "block", F.lit(True).alias("end"))))
     other = [c for c in both.columns if c not in ("id", "block", "end")]
     order = Window.partitionBy("block").orderBy("end", F.col("id").desc_nulls_last(), F.col("text").desc_nulls_last())
