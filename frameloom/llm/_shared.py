@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/frameloom"
@@ -32,6 +35,60 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap: 8 MB at any size of the input.
+BITMAP_BITS = 1 << 26
+
+
+def bit(*names: str) -> Column:
+    """The number of a row's bit."""
+    return F.pmod(F.xxhash64(*names), F.lit(BITMAP_BITS))
+
+
+class Bitmap:
+    """Whether a number may be among those that the bitmap was made of; it may err by yes alone."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def hit(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers & (BITMAP_BITS - 1)
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+class SharedBitmap:
+    """A bitmap that is broadcast; tasks get it when they first ask."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def hit(self, numbers: np.ndarray) -> np.ndarray:
+        return Bitmap(self.shared.value).hit(numbers)
+
+
+def bitmap_of(rows: DataFrame, column: str, numbered: bool = False) -> SharedBitmap:
+    """A bitmap of the hashes in a column (or bit numbers, if numbered), for a filter before rows move.
+
+    It has BITMAP_BITS bits whatever the input: the executors combine bits, the driver gets at most a word for
+    each 64 of them. Where it fills up, it excludes fewer rows.
+    """
+    at = F.col(column) if numbered else F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    bits = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) AS INT)))").alias("held"))
+    words = np.zeros(BITMAP_BITS // 64, np.int64)
+    held = bits.toArrow()
+    words[held["word"].to_numpy()] = held["held"].to_numpy()
+    return SharedBitmap(rows.sparkSession.sparkContext.broadcast(words.view(np.uint64)))
+
+
+def may_hit(bitmap: SharedBitmap):
+    """A function of a column of bit numbers."""
+
+    @F.pandas_udf("boolean")
+    def hits(numbers: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.hit(numbers.to_numpy().astype(np.int64)))
+
+    return hits
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path in it) of a uri such as file:///x or hdfs://host/x."""
     from pyarrow import fs

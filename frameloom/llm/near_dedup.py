@@ -39,23 +39,19 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
-from .decontaminate import _mixed, rolling
+from ._hashing import WordHashes, mixed, rolling
+from ._shared import bit, bitmap_of, materialize, may_hit
 from .graph import connected_components
 
 TREES, DEPTH = 20, 6
 HASHES = TREES * DEPTH
-_MULTIPLIERS = _mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
+_MULTIPLIERS = mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
 #: Rows of a region, and bytes of their texts, that one task intersects with as many others at a time.
 REGION_BLOCK, REGION_BYTES = 2000, 16 << 20
-#: Bits of the map of the rows whose texts move; 8 MB at any size of the input.
-BITMAP_BITS = 1 << 26
 #: Rows of a prefix group in one block; each pair of blocks is compared by one task.
 GROUP_BLOCK = 4000
 
@@ -70,17 +66,7 @@ def _fitted(threshold: float) -> tuple[int, int, float]:
     return depth, smallest, threshold - 4.5 * (threshold * (1 - threshold) / HASHES) ** 0.5
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept within a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _WordHashes()
+_hashes = WordHashes()
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -92,10 +78,10 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     words = split_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    ids = _hashes.of(words)
     if len(ids) < n:
-        return _mixed(rolling(ids, len(ids)) + np.uint64(len(ids)))
-    return np.unique(_mixed(rolling(ids, n)))
+        return mixed(rolling(ids, len(ids)) + np.uint64(len(ids)))
+    return np.unique(mixed(rolling(ids, n)))
 
 
 def shingle_set(text: str | None, n: int) -> set[tuple[bytes, ...]]:
@@ -355,36 +341,12 @@ def _pairs_in_groups(members: DataFrame, regions: DataFrame, reps: DataFrame, th
     return materialize(dealt.mapInArrow(_grouped(_fitted(threshold)[2], threshold), "a long, b long"), "near")
 
 
-def _bit(*names: str) -> Column:
-    return F.pmod(F.xxhash64(*names), F.lit(BITMAP_BITS))
-
-
-def _may_be_in(rows: DataFrame, bits: str) -> Column:
-    """A filter for whether a column of bit numbers hits one of those of rows.
-
-    The map has BITMAP_BITS bits whatever the input: the driver combines at most a word for each 64 of them.
-    """
-    words = rows.groupBy(F.shiftright(bits, 6).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({bits}, 64) AS INT)))").alias("held"))
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    held = words.toArrow()
-    bitmap[held["word"].to_numpy()] = held["held"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def hits(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy().astype(np.int64)
-        return pd.Series((shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return hits(F.col(bits))
-
-
 def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
     """(node, text) of the nodes with a likely pair."""
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = needed.join(reps.select("node", "id", "tkey").hint("merge"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey"), _bit("id", "tkey").alias("bit"))
+    wanted = needed.join(reps.select("node", "id", "tkey").hint("merge"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey"), bit("id", "tkey").alias("bit"))
     wanted = materialize(wanted, "wanted")
-    candidates = source.withColumn("bit", _bit("id", "tkey"))
-    candidates = candidates.where(_may_be_in(wanted, "bit"))
+    candidates = source.where(may_hit(bitmap_of(wanted, "bit", numbered=True))(bit("id", "tkey")))
     texts = candidates.join(wanted.drop("bit").hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
     return materialize(texts.dropDuplicates(["node"]), "texts")
 

@@ -697,8 +697,47 @@ def test_tiling_equals_brute_force():
         for _ in range(rng.randint(0, 3)):
             a = rng.randrange(len(item))
             doc[rng.randint(0, len(doc)) :] = item[a : a + rng.randint(1, 12)] + rng.choices(vocab, k=2)
-        got = decontaminate.Tiler([(7, " ".join(item))], 4).coverage(" ".join(doc)).get(7, (0.0, 0))
-        assert abs(got[0] - _tiles(doc, item, 4)[0]) < 1e-9
+        for at_once in (1 << 20, 3):
+            decontaminate.PAIRS_AT_ONCE = at_once
+            got = decontaminate.Tiler(" ".join(item), 4).coverage(decontaminate.split_words(" ".join(doc)))
+            share, n_tiles = _tiles(doc, item, 4)
+            assert abs(got[0] - share) < 1e-9 and got[1] == n_tiles
+    decontaminate.PAIRS_AT_ONCE = 1 << 20
+
+
+def test_repetitive_texts_are_tiled_in_bounded_time():
+    tiler = decontaminate.Tiler("word " * 300)
+    assert tiler.coverage([b"word"] * 200_000) == (1.0, 1) and tiler.coverage([b"word"] * 299) == (299 / 300, 1)
+    assert decontaminate.Tiler("a b " * 100).coverage(b"a b b a ".split() * 5_000)[0] == 0.0
+
+
+def test_contamination_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i % 25 if i else None, " ".join(rng.choices([f"v{k}" for k in range(60)], k=rng.randint(1, 40)))) for i in range(30)]
+    rows = []
+    for i in range(120):
+        words = rng.choices([f"v{k}" for k in range(60)], k=rng.randint(0, 30))
+        for _ in range(rng.randint(0, 3)):
+            item = rng.choice(items)[1].split()
+            a = rng.randrange(len(item))
+            words[rng.randint(0, len(words)) :] = item[a : a + rng.randint(1, 25)]
+        rows += [(i, " ".join(words))] * rng.choice([1, 1, 2])
+    want = Counter()
+    for i, text in rows:
+        best = {}
+        for name, item in items:
+            share, n = _tiles(text.split(), item.split(), 5)
+            if n:
+                best[name] = max(best.get(name, (0.0, 0)), (share, n))
+        found = tuple(sorted(n for n, (share, _) in best.items() if n is not None and share >= 0.5))
+        top = max([share for share, _ in best.values()], default=0.0)
+        want[i, top >= 0.5, round(top, 9), sum(n for _, n in best.values()), found] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).selectExpr("*", "1 AS key", "map('a', 1) AS row", "2 AS coverage", "3 AS bit", "4 AS items")
+    got = decontaminate.find_contamination(df, bench).collect()
+    assert Counter((r["doc_id"], r["contaminated"], round(r["coverage"], 9), r["n_tiles"], tuple(r["items"])) for r in got) == want
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for (i, bad, *_), n in want.items() for _ in range(n) if not bad)
 
 
 def test_reordered_passages_are_caught_and_clean_rows_left(spark, hard):
@@ -706,11 +745,9 @@ def test_reordered_passages_are_caught_and_clean_rows_left(spark, hard):
     words = item.split()
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short one")], "item_id long, text string")
     df = docs(spark, [(1, "x y " + " ".join(words[20:] + words[:10] + ["z"] + words[10:20]), None, None), (2, " ".join(words[:12]), None, None), (3, item.upper() + " tail", None, None), (4, "a short one", None, None)])
-    for block in (16 << 20, 1):
-        got = {r["doc_id"]: (r["contaminated"], r["items"], round(r["coverage"], 3)) for r in decontaminate.find_contamination(df, bench, block_bytes=block).collect()}
-        assert got == {1: (True, [1], 1.0), 2: (False, [], 0.4), 3: (True, [1], 1.0), 4: (True, [4], 1.0)}
-        kept = df.where(~decontaminate.contaminated_column(bench, F.col("text"), block_bytes=block)).collect()
-        assert [r["doc_id"] for r in kept] == [2]
+    got = {r["doc_id"]: (r["contaminated"], r["items"], round(r["coverage"], 3)) for r in decontaminate.find_contamination(df, bench).collect()}
+    assert got == {1: (True, [1], 1.0), 2: (False, [], 0.4), 3: (True, [1], 1.0), 4: (True, [4], 1.0)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()] == [2]
     assert not any(r["contaminated"] for r in decontaminate.find_contamination(hard, bench).collect())
     assert decontaminate.find_contamination(hard, bench.where("false")).count() == len(HARD) and decontaminate.find_contamination(hard.where("false"), bench).count() == 0
 
