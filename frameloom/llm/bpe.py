@@ -3,11 +3,13 @@
 The library's pre-tokenizer always starts a new piece at a single space between two non-space
 characters and around a single newline between two, and merges never cross pieces. So a text is cut
 there, and the ids of each distinct word are asked from the library once. Texts that hold the string of
-an added token, which the library finds before it splits, are left to the library whole.
+an added token, which the library finds before it splits, are left to the library whole, and so are all
+texts where the file has a normalizer, another pre-tokenizer or a model whose pieces depend on their neighbours.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -56,21 +58,29 @@ class _Cache(dict):
         return got
 
 
+def _splits_as_assumed(settings: dict) -> bool:
+    """Whether a tokenizer file asks for byte-level BPE as the cuts above assume it."""
+    split, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return not settings.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and model.get("type") == "BPE" and plain
+
+
 class CachedEncoder:
     """Encodes whole texts as the library does by default (special tokens not added, but found where a text holds their strings)."""
 
-    def __init__(self, path: str, max_cached: int = 200_000):
+    def __init__(self, path: str, max_cached: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.known = _splits_as_assumed(json.loads(self.tokenizer.to_str()))
         self.vocab_size = self.tokenizer.get_vocab_size()
         self._tokenize = self.tokenizer.model.tokenize
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self._pieces = _Cache(self._piece, max_cached)
         self._words = _Cache(self._behind_space, max_cached)
-        self._newline = self._ids("\n")
+        self._newline = self._ids("\n") if self.known else b""
 
     def forget(self) -> None:
         """Empties the caches: workers live on, and their memory is shared with later stages."""
@@ -94,9 +104,9 @@ class CachedEncoder:
         """Ids of a word that stood behind a space, or of a newline and the word behind it."""
         if chunk.isascii():  # a word of letters, or one with a mark behind it
             if chunk.isalpha():
-                return self._pieces["Ġ" + chunk]
+                return self._piece("Ġ" + chunk)  # kept by this cache alone
             if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
-                return self._pieces["Ġ" + chunk[:-1]] + self._pieces[chunk[-1]]
+                return self._words[chunk[:-1]] + self._pieces[chunk[-1]]
         word = chunk[1:] if chunk.startswith("\n") else chunk
         if not word or word[0].isspace() or word[-1].isspace():
             raise _UnsafeError
@@ -106,7 +116,7 @@ class CachedEncoder:
         """The ids of a text."""
         if not text:
             return np.empty(0, "<u4")
-        if self._added(text):
+        if not self.known or self._added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         first, *chunks = text.replace("\n", " \n").split(" ")
         if first and not first[0].isspace() and not first[-1].isspace():

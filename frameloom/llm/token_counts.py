@@ -25,6 +25,8 @@ from .bpe import CachedEncoder, encoder
 def token_bytes(enc: CachedEncoder) -> np.ndarray:
     """The number of bytes of each id's token (a byte-level token has a character per byte, an added one stands for its own text)."""
     if not hasattr(enc, "_token_bytes"):
+        if not enc.known:
+            raise ValueError("the tokens of this file are not byte-level, so their lengths in a text are not known from their ids")
         out = np.zeros(enc.vocab_size, np.int64)
         for token, i in enc.tokenizer.get_vocab().items():
             out[i] = len(token)

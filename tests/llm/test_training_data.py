@@ -354,6 +354,29 @@ def test_cached_encoder_equals_the_library(real):
         assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_encoder_of_another_kind_is_left_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, plain = CachedEncoder(path), Tokenizer.from_file(path)
+    for t in ("Hello  World\n it's <|endoftext|> É", "", "a b\tc"):
+        assert enc.encode(t).tolist() == (plain.encode(t, add_special_tokens=False).ids if t else [])
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.token_bytes(enc)
+
+
+def test_encoder_equals_an_unmodified_tokenizer(real):
+    from tokenizers import Tokenizer
+
+    enc, plain = CachedEncoder(queries.TOKENIZER, 500), Tokenizer.from_file(queries.TOKENIZER)
+    rng = random.Random(13)
+    pieces = ["<|endoftext|>", "<|endof", "a", " ", "  ", "\n", "\n\n", "\t", "word", "Word.", "é", "中", "🙂", "'s", "12", "...", "\u00a0", "²"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)] + [r["text"] or "" for r in real.select("text").collect()]
+    for t in texts:
+        assert enc.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t[:80]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(3)
     for n, top in ((1, 1), (5, 3), (1000, 300), (4001, 70_000), (200_000, 17_000_000)):
