@@ -15,8 +15,11 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/frameloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
+    """The folder that driver and executors share (``spark.checkpoint.dir``); only a local master may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    return (named or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -32,7 +35,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more; other tables stay."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bits of a bitmap: 8 MB at any size of the input.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import WordHashes, rolling
-from ._shared import bit, bitmap_of, materialize, may_hit
+from ._shared import bit, bitmap_of, materialize, may_hit, release
 from .license_scan import words_of
 
 #: Seed pairs of a document and an item that are looked at together.
@@ -195,7 +195,9 @@ def _found(texts: DataFrame, benchmark: DataFrame, threshold: float, least_match
     paired = pairs.join(items.hint("merge"), "item").select("key", F.lit(1).alias("kind"), "name", "text")
     alone = texts.select("key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("name"), "text")
     dealt = alone.unionByName(paired).repartition("key").sortWithinPartitions("key", "kind", "name")
-    return materialize(dealt.mapInArrow(_tiled(threshold, least_match), "key string, coverage double, n_tiles long, items array<bigint>"), "tiled")
+    tiled = materialize(dealt.mapInArrow(_tiled(threshold, least_match), "key string, coverage double, n_tiles long, items array<bigint>"), "tiled")
+    release(items, seeds, texts)
+    return tiled
 
 
 def _key(text_col: str):

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._hashing import WordHashes, mixed, rolling
-from ._shared import bit, bitmap_of, materialize, may_hit
+from ._shared import bit, bitmap_of, materialize, may_hit, release
 from .graph import connected_components
 
 TREES, DEPTH = 20, 6
@@ -300,16 +300,18 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     members = materialize(sorted_trees.mapInArrow(_neighbours, "key long, rest binary, node long, next long, part int, end int"), "members")
     pairs = members.where("next IS NOT NULL").select("node", "next").unionByName(_over_ends(members)).select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
     likely = _likely_pairs(pairs, reps, threshold)
-    near = likely.unionByName(_pairs_in_groups(members, connected_components(likely), reps, threshold))
+    in_groups = _pairs_in_groups(members, connected_components(likely), reps, threshold)
+    near = likely.unionByName(in_groups)
     texts = _texts_of(near, reps, source)
     links = _confirmed_links(likely, texts, shingle, threshold)
     missed = _links_in_regions(connected_components(near), connected_components(links), texts, shingle, threshold)
-    links = links.unionByName(_confirmed_links(missed, texts, shingle, threshold))
-    components = connected_components(links)
+    more = _confirmed_links(missed, texts, shingle, threshold)
+    components = connected_components(links.unionByName(more))
     found = reps.select("node", "name", "least_id").join(components.hint("merge"), "node", "left").select("name", "least_id", F.coalesce("root", "node").alias("root"))
     least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(found.join(least.hint("merge"), "root").select("name", "component_id"), "components")
     out = rows.select("id", "tkey", "n", "name").join(named.hint("merge"), "name", "left")
+    release(reps, members, likely, in_groups, texts, links, missed, more)
     component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "tkey")
 
@@ -348,7 +350,9 @@ def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFram
     wanted = materialize(wanted, "wanted")
     candidates = source.where(may_hit(bitmap_of(wanted, "bit", numbered=True))(bit("id", "tkey")))
     texts = candidates.join(wanted.drop("bit").hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
-    return materialize(texts.dropDuplicates(["node"]), "texts")
+    texts = materialize(texts.dropDuplicates(["node"]), "texts")
+    release(wanted)
+    return texts
 
 
 def _confirmed_links(likely: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
