@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
@@ -54,21 +54,22 @@ def release(*tables: DataFrame) -> None:
 BITMAP_BITS = 1 << 26
 
 
-def bit(*names: str) -> Column:
-    """The number of a row's bit."""
-    return F.pmod(F.xxhash64(*names), F.lit(BITMAP_BITS))
-
-
 class Bitmap:
-    """Whether a number may be among those that the bitmap was made of; it may err by yes alone."""
+    """Whether a 64-bit hash may be among those that the bitmap was made of, by two bits of each; it may err by yes alone."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
-    def hit(self, numbers: np.ndarray) -> np.ndarray:
-        at = numbers & (BITMAP_BITS - 1)
+    def _held(self, at: np.ndarray) -> np.ndarray:
+        at = at & (BITMAP_BITS - 1)
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
+    def hit(self, hashes: np.ndarray) -> np.ndarray:
+        out = self._held(hashes)
+        likely = np.flatnonzero(out)
+        out[likely] = self._held(hashes[likely] >> 32)
+        return out
+
 
 class SharedBitmap:
     """A bitmap that is broadcast; tasks get it when they first ask."""
@@ -76,18 +77,19 @@ class SharedBitmap:
     def __init__(self, shared):
         self.shared = shared
 
-    def hit(self, numbers: np.ndarray) -> np.ndarray:
-        return Bitmap(self.shared.value).hit(numbers)
+    def hit(self, hashes: np.ndarray) -> np.ndarray:
+        return Bitmap(self.shared.value).hit(hashes)
 
 
-def bitmap_of(rows: DataFrame, column: str, numbered: bool = False) -> SharedBitmap:
-    """A bitmap of the hashes in a column (or bit numbers, if numbered), for a filter before rows move.
+def bitmap_of(rows: DataFrame, column: str) -> SharedBitmap:
+    """A bitmap of the 64-bit hashes in a column, for a filter before rows move.
 
     It has BITMAP_BITS bits whatever the input: the executors combine bits, the driver gets at most a word for
     each 64 of them. Where it fills up, it excludes fewer rows.
     """
-    at = F.col(column) if numbered else F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
-    bits = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) AS INT)))").alias("held"))
+    low = lambda h: h.bitwiseAND(F.lit(BITMAP_BITS - 1))
+    at = rows.select(F.explode(F.array(low(F.col(column)), low(F.shiftright(column, 32)))).alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) AS INT)))").alias("held"))
     words = np.zeros(BITMAP_BITS // 64, np.int64)
     held = bits.toArrow()
     words[held["word"].to_numpy()] = held["held"].to_numpy()
@@ -95,11 +97,11 @@ def bitmap_of(rows: DataFrame, column: str, numbered: bool = False) -> SharedBit
 
 
 def may_hit(bitmap: SharedBitmap):
-    """A function of a column of bit numbers."""
+    """A function of a column of 64-bit hashes."""
 
     @F.pandas_udf("boolean")
-    def hits(numbers: pd.Series) -> pd.Series:
-        return pd.Series(bitmap.hit(numbers.to_numpy().astype(np.int64)))
+    def hits(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.hit(hashes.to_numpy().astype(np.int64)))
 
     return hits
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import WordHashes, rolling
-from ._shared import bit, bitmap_of, materialize, may_hit, release
+from ._shared import bitmap_of, materialize, may_hit, release
 from .license_scan import words_of
 
 #: Seed pairs of a document and an item that are looked at together.
@@ -218,9 +218,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows whose text reaches the threshold for no item. Rows that a bitmap of the contaminated texts excludes do not move."""
     texts = docs.select(_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("text"))
     found = _found(texts, benchmark, threshold, least_match, item_col, item_text_col).where(F.col("coverage") >= threshold)
-    found = found.select("key", bit("key").alias("bit"))
+    found = found.select("key", F.xxhash64("key").alias("h"))
     whole = docs.select(_key(text_col).alias("key"), F.struct("*").alias("row"))
-    may = may_hit(bitmap_of(found, "bit", numbered=True))(bit("key"))
+    may = may_hit(bitmap_of(found, "h"))(F.xxhash64("key"))
     clean = whole.where(~may).select("row")
     checked = whole.where(may).join(found.select("key").hint("merge"), "key", "left_anti").select("row")
     return clean.unionByName(checked).select("row.*")

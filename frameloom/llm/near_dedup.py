@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._hashing import WordHashes, mixed, rolling
-from ._shared import bit, bitmap_of, materialize, may_hit, release
+from ._shared import bitmap_of, materialize, may_hit, release
 from .graph import connected_components
 
 TREES, DEPTH = 20, 6
@@ -346,10 +346,10 @@ def _pairs_in_groups(members: DataFrame, regions: DataFrame, reps: DataFrame, th
 def _texts_of(likely: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
     """(node, text) of the nodes with a likely pair."""
     needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    wanted = needed.join(reps.select("node", "id", "tkey").hint("merge"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey"), bit("id", "tkey").alias("bit"))
+    wanted = needed.join(reps.select("node", "id", "tkey").hint("merge"), "node").select("node", F.col("id").alias("r_id"), F.col("tkey").alias("r_tkey"), F.xxhash64("id", "tkey").alias("h"))
     wanted = materialize(wanted, "wanted")
-    candidates = source.where(may_hit(bitmap_of(wanted, "bit", numbered=True))(bit("id", "tkey")))
-    texts = candidates.join(wanted.drop("bit").hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
+    candidates = source.where(may_hit(bitmap_of(wanted, "h"))(F.xxhash64("id", "tkey")))
+    texts = candidates.join(wanted.drop("h").hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
     texts = materialize(texts.dropDuplicates(["node"]), "texts")
     release(wanted)
     return texts

@@ -728,6 +728,17 @@ def test_tiling_equals_brute_force():
     decontaminate.PAIRS_AT_ONCE = 1 << 20
 
 
+def test_bitmaps_never_miss(spark):
+    from frameloom.llm import _shared
+
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bitmap = _shared.bitmap_of(rows, "h")
+    held = np.array([r["h"] for r in rows.collect()])
+    others = np.array([r["h"] for r in spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id").alias("h")).collect()])
+    assert bitmap.hit(held).all() and bitmap.hit(others).mean() < 0.001 and len(bitmap.hit(held[:0])) == 0
+    assert rows.where(_shared.may_hit(bitmap)(F.col("h"))).count() == 3000
+
+
 def test_repetitive_texts_are_tiled_in_bounded_time():
     tiler = decontaminate.Tiler("word " * 300)
     assert tiler.coverage([b"word"] * 200_000) == (1.0, 1) and tiler.coverage([b"word"] * 299) == (299 / 300, 1)
