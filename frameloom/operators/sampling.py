@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed_hash, keyed_int
+from .ordering import numbered
 
 
 def strided_clips(scenes: DataFrame, scene: str, n: str, length: int, low: int, high: int, seed: int = 0) -> DataFrame:
@@ -34,8 +35,10 @@ def train_val_split(shots: DataFrame, shot: str, ratio: float) -> DataFrame:
     """Adds ``split``: int(n * ratio) shots of the smallest hash are ``val``."""
     if not 0 < ratio < 1:
         raise ValueError("the ratio must lie between 0 and 1")
-    ranked = shots.withColumn("r", F.row_number().over(Window.orderBy(keyed_hash(shot), shot))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return ranked.withColumn("split", F.when(F.col("r") <= F.floor(F.col("n") * ratio), "val").otherwise("train")).drop("r", "n")
+    ranked = numbered(shots.withColumn("__hash", keyed_hash(shot)), ["__hash", shot], "__place")
+    n = shots.agg(F.floor(F.count("*") * ratio).alias("__n"))  # one row
+    split = F.when(F.col("__place") <= F.col("__n"), "val").otherwise("train")
+    return ranked.crossJoin(F.broadcast(n)).select(*shots.columns, split.alias("split"))
 
 
 def weighted_choice(weights: list[float], *key: Column | str) -> Column:

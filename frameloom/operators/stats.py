@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import six_stats
+from .ordering import numbered
 
 QUANTILE_MODES = ("linear", "lower", "higher", "nearest", "midpoint")
 
@@ -31,6 +32,14 @@ def index_quartiles(values: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.groupBy(by).agg(pick(1).alias("p25"), pick(2).alias("median"), pick(3).alias("p75"))
 
 
+def index_cuts(values: DataFrame, value: str) -> DataFrame:
+    """One row (p25, median, p75) of all values, picked by index without interpolation and without a global window."""
+    n = values.agg(F.count("*").alias("n"))  # one row
+    ranked = numbered(values.select(value), [value], "place").crossJoin(F.broadcast(n))
+    pick = lambda k: F.max(F.when(F.col("place") - 1 == F.floor(F.col("n") * k / 4), F.col(value)))
+    return ranked.agg(pick(1).alias("p25"), pick(2).alias("median"), pick(3).alias("p75"))
+
+
 def quantile_in_modes(values: DataFrame, by: str, value: str, q: float) -> DataFrame:
     """The q-quantile in the five interpolation modes."""
     every = Window.partitionBy(by)
@@ -46,12 +55,6 @@ def strided_quantile(values: DataFrame, by: str, order: str, value: str, q: floa
     return placed.where((F.col("pos") >= offset) & ((F.col("pos") - offset) % stride == 0)).groupBy(by).agg(F.percentile(F.col(value), q).alias("q"), F.count("*").alias("n_used"))
 
 
-def consecutive_groups(rows: DataFrame, order: list[str], key: Column) -> DataFrame:
-    """Runs of equal keys in an order: adds ``run``, numbered from 0."""
-    order_by = Window.orderBy(*order)
-    return rows.withColumn("key", key).withColumn("run", F.sum(F.when(F.col("key").eqNullSafe(F.lag("key").over(order_by)), 0).otherwise(1)).over(order_by) - 1)
-
-
 def running_mean(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     """Weighted mean by key, as an accumulator of (value, n) updates gives it."""
     return rows.groupBy(key).agg(F.sum(F.col(value) * F.col(weight)).alias("total"), F.sum(weight).alias("counts"), (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("average"))

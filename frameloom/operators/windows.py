@@ -17,6 +17,17 @@ def windows(length: Column, size: int, overlap: int, tail: str = "snapped") -> C
     return F.when(length > 0, each).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
+def windows_at(place: Column, length: Column, size: int, overlap: int) -> Column:
+    """array<struct<i,start,end>> of the snapped windows that hold a place, found by arithmetic."""
+    stride, zero = size - overlap, F.lit(0).cast("long")
+    n = F.ceil(F.greatest(length - size, F.lit(0)) / stride).cast("long")
+    low, high = F.greatest(zero, F.floor((place - size) / stride).cast("long") + 1), F.least(n - 1, F.floor(place / stride).cast("long"))
+    none = F.array().cast("array<struct<i:bigint,start:bigint,end:bigint>>")
+    whole = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda i: F.struct(i.alias("i"), (i * stride).alias("start"), (i * stride + size).alias("end")))).otherwise(none)
+    start = F.greatest(zero, length - size)
+    return F.concat(whole, F.when(place >= start, F.array(F.struct(n.alias("i"), start.alias("start"), length.cast("long").alias("end")))).otherwise(none))
+
+
 def padded_windows(length: Column, size: int, stride: int) -> Column:
     """array<struct<start,first,last>>: windows over the padded sequence, and the range of each that is kept.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing_as_zero, natural_key
 from ..operators import joins
+from ..operators.ordering import numbered
 from ..sources.views import frames, table, with_views
 from .registry import query, rounded
 
@@ -101,11 +102,9 @@ t AS (SELECT c_custkey, name, array_to_string(list_transform(regexp_extract_all(
 SELECT c_custkey, name, row_number() OVER (ORDER BY key) AS place FROM t""")
 def natural_sort(spark, sf_dir):
     """File names in natural order: 2 before 10."""
-    from pyspark.sql import Window
-
     name = F.concat(F.lit("f"), (F.col("c_custkey") % 120).cast("string"), F.lit("_"), F.col("c_custkey").cast("string"))
     named = table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
-    return named.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("name")))).cast("long"))
+    return numbered(named.withColumn("key", natural_key(F.col("name"))), ["key"], "place").drop("key")
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'pred_' || p_partkey WHEN 1 THEN 'pred_' || split_part(p_brand, '#', 2) || '_' || p_partkey WHEN 2 THEN replace(p_name, ' ', '_') || '_depth' ELSE split_part(p_name, ' ', 1) || '.npy' END AS pred_name FROM part""")

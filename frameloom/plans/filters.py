@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keyed_hash, rgb_normalise, safe_div
 from ..functions.depth import denormalise, quantile_normalise
 from ..operators.joins import anti
+from ..operators.ordering import numbered
 from ..sources.views import frames, pixels, rasters, table, with_views
 from .registry import h, query, rounded
 
@@ -48,8 +49,9 @@ def concat_and_subset(spark, sf_dir):
     """Datasets concatenated under a global index, and a subset of it numbered anew."""
     side = lambda name, key, part: table(spark, sf_dir, name).select(F.lit(part).cast("long").alias("part"), F.col(key).alias("key"))
     both = side("customer", "c_custkey", 0).unionByName(side("supplier", "s_suppkey", 1))
-    indexed = both.withColumn("idx", (F.row_number().over(Window.orderBy("part", "key")) - 1).cast("long")).where("idx % 3 = 0")
-    return indexed.withColumn("sub_idx", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long"))
+    indexed = numbered(both, ["part", "key"], "place").select("part", "key", (F.col("place") - 1).alias("idx"))
+    # every third row of a numbering from 0 is numbered by its own place
+    return indexed.where("idx % 3 = 0").withColumn("sub_idx", F.floor(F.col("idx") / 3).cast("long"))
 
 
 @query(f"""SELECT doc_id, {h("doc_id")} % 12 // 4 AS rank, {h("doc_id")} % 12 % 4 AS worker FROM documents""")

@@ -133,10 +133,10 @@ w AS (SELECT scene, n, i, CASE WHEN i < m THEN i * 16 ELSE greatest(0, n - 21) E
 t AS (SELECT f.scene, f.frame_idx, f.depth + w.i AS v, least(1.0, CASE WHEN s > 0 THEN (frame_idx - s + 1) / 5.0 ELSE 1.0 END, CASE WHEN e < n THEN (e - frame_idx) / 5.0 ELSE 1.0 END) AS g FROM frames f JOIN w ON f.scene = w.scene AND frame_idx >= s AND frame_idx < e)
 SELECT scene, frame_idx, round(sum(v * g) / sum(g), 6) AS v, count(*) AS n_tiles FROM t GROUP BY scene, frame_idx""")
 def temporal_blend(spark, sf_dir):
-    """Overlapping windows in time blended with ramps: frames generate the windows that hold them."""
+    """Overlapping windows in time blended with ramps: frames generate the one or two windows that hold them."""
     f = frames(spark, sf_dir).select("scene", "frame_idx", "depth").withColumn("n", F.count("*").over(Window.partitionBy("scene")))
-    t = f.select("*", F.posexplode(windows.windows(F.col("n"), 21, 5)).alias("i", "w")).where("frame_idx >= w.start AND frame_idx < w.end")
-    t = t.select("scene", "frame_idx", (F.col("depth") + F.col("i")).alias("v"), fn.ramp(F.col("frame_idx"), F.col("w.start"), F.col("w.end"), F.col("n"), 5).alias("g"))
+    t = f.select("*", F.inline(windows.windows_at(F.col("frame_idx"), F.col("n"), 21, 5)))
+    t = t.select("scene", "frame_idx", (F.col("depth") + F.col("i")).alias("v"), fn.ramp(F.col("frame_idx"), F.col("start"), F.col("end"), F.col("n"), 5).alias("g"))
     return rounded(align.blend(t, ["scene", "frame_idx"], "v", "g"))
 
 

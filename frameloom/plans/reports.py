@@ -98,6 +98,6 @@ def depth_per_motion_ratio(spark, sf_dir):
 SELECT scene, motion, CASE WHEN motion <= p25 THEN 'low' WHEN motion >= p75 THEN 'high' ELSE 'mid' END AS band FROM scenes, q WHERE motion IS NOT NULL""")
 def motion_bands(spark, sf_dir):
     """Scenes of low and high motion, by index-picked quartiles."""
-    moving = scenes(spark, sf_dir).where("motion IS NOT NULL").select("scene", "motion", F.lit(0).alias("all"))
-    cut = stats.index_quartiles(moving, "all", "motion").select("p25", "p75")
+    moving = scenes(spark, sf_dir).where("motion IS NOT NULL").select("scene", "motion")
+    cut = stats.index_cuts(moving, "motion").select("p25", "p75")
     return moving.crossJoin(F.broadcast(cut)).select("scene", "motion", F.when(F.col("motion") <= F.col("p25"), "low").when(F.col("motion") >= F.col("p75"), "high").otherwise("mid").alias("band"))  # one row of quartiles

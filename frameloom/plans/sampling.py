@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fmod_key, keyed_hash
 from ..operators import sampling
+from ..operators.ordering import numbered
 from ..sources.views import frames, table, with_views
 from .registry import h, query
 
@@ -54,7 +55,7 @@ def weighted_mixture(spark, sf_dir):
 def rank_shard_split(spark, sf_dir):
     """Shards dealt to 3 ranks in turn."""
     shards = table(spark, sf_dir, "documents").select("source").distinct()
-    return shards.withColumn("rank", ((F.row_number().over(Window.orderBy("source")) - 1) % 3).cast("long"))
+    return numbered(shards, ["source"], "place").select("source", ((F.col("place") - 1) % 3).alias("rank"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
@@ -92,8 +93,8 @@ def keyed_side(spark, sf_dir):
 def train_ratio_prefix(spark, sf_dir):
     """The first 30 % of the sorted list."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    keep = F.floor(F.count("*").over(Window.partitionBy()) * 0.3)
-    return d.withColumn("keep", keep).withColumn("r", F.row_number().over(Window.orderBy("source", "doc_id"))).where("r <= keep").select("doc_id")
+    keep = d.agg(F.floor(F.count("*") * 0.3).alias("keep"))
+    return numbered(d, ["source", "doc_id"], "r").crossJoin(F.broadcast(keep)).where("r <= keep").select("doc_id")  # one row
 
 
 @query("""SELECT item_id, epoch FROM benchmark, (SELECT unnest(range(3)) AS epoch)""")

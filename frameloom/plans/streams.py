@@ -14,7 +14,10 @@ _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def _shared(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/frameloom"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: streams need a folder that all executors share")
+    base = base or "file:///tmp/checkpoints/frameloom"  # one machine, as in tests
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -43,9 +46,8 @@ def stream_cache_sink(spark, sf_dir):
 @query("SELECT user_id, count(*) // 8 AS clips, count(*) AS frames FROM events GROUP BY user_id")
 def stream_stateful_cursor(spark, sf_dir):
     """Clips emitted per scene, with the position as state."""
-    name = f"cursor_{uuid.uuid4().hex}"
+    place = _shared(spark, "cursor")
     stream = clips.read_stream(spark, f"{sf_dir}/events.parquet*", _SCHEMA).select("user_id", "event_id")
     out = clips.clip_cursor(stream, "user_id", 8)
-    running = out.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", _shared(spark, name)).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).groupBy("user_id").agg(F.max("clips").alias("clips"), F.max("frames").alias("frames"))
+    clips.update_sink(out, f"{place}/checkpoint", f"{place}/table")
+    return spark.read.schema(out.schema).parquet(f"{place}/table").groupBy("user_id").agg(F.max("clips").alias("clips"), F.max("frames").alias("frames"))

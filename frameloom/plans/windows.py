@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import next_4n_plus_1, pad_to_multiple
 from ..operators import windows
+from ..operators.ordering import running_total
 from ..sources.views import frames, table, with_views
 from .registry import query
 
@@ -79,10 +80,8 @@ def shot_slices(spark, sf_dir):
 @query("""WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n, CAST(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS first_index FROM s""")
 def shot_frame_index(spark, sf_dir):
     """Cumulative frame counts: the global index at which each shot begins."""
-    from pyspark.sql import Window
-
     s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return s.withColumn("first_index", F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    return running_total(s, ["conv_id"], F.col("n"), "upto").select("conv_id", "n", (F.col("upto") - F.col("n")).alias("first_index"))
 
 
 @query("""WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), f AS (SELECT conv_id, n, sum(n) OVER (ORDER BY conv_id) - n AS first FROM s), i AS (SELECT unnest(range((SELECT sum(n)::BIGINT FROM s))) AS idx)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered, running_total
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,14 +22,25 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 rasters, one array per frame: scene, frame, values of positive depth."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("scene"), (F.row_number().over(order) - 1).cast("long").alias("frame"), "vec_id",
+    """8 x 8 rasters, one array per frame: scene, frame, values of positive depth.
+
+    Rows are numbered over all scenes in ranges, and a scene's frames count from its first number, so a large scene is
+    no single task and arrays move once.
+    """
+    rows = numbered(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label", "vec_id"], "place")
+    firsts = numbered_firsts(table(spark, sf_dir, "embeddings").select("label"))
+    return rows.join(firsts, rows["label"].eqNullSafe(firsts["l"])).select(
+        F.col("label").cast("long").alias("scene"), (F.col("place") - F.col("before") - 1).cast("long").alias("frame"), "vec_id",
         F.transform("embedding", lambda e: F.abs(e.cast("double")) + 0.1).alias("values"),
     )
 
 
+def numbered_firsts(labels: DataFrame) -> DataFrame:
+    """(l, before): how many rows stand before each label in ascending order, from a row per label."""
+    counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+    return running_total(counts, ["label"], F.col("n"), "upto").select(F.col("label").alias("l"), (F.col("upto") - F.col("n")).alias("before"))
+
+
 def pixels(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
     """The rasters with a row per pixel: scene, frame, y, x, v."""
     flat = rasters(spark, sf_dir).select("scene", "frame", F.posexplode("values").alias("pos", "v"))

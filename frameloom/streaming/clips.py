@@ -41,6 +41,15 @@ def cache_sink(stream: DataFrame, checkpoint: str, target: str, key: list[str])
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def update_sink(stream: DataFrame, checkpoint: str, target: str) -> None:
+    """Appends the updates of each batch to a Parquet table; a batch that is run again writes its own folder anew."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def clip_cursor(stream: DataFrame, by: str, length: int) -> DataFrame:
     """(by, clips, frames): how many clips of ``length`` frames each key has given so far; the position is kept as state."""
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from frameloom import functions as fn
 from frameloom.operators import align, joins, metrics, reports, sampling, stats, windows
+from frameloom.operators.ordering import numbered, running_total
+from frameloom.plans import QUERIES
 
 
 def _windows(spark, lengths, size, overlap, tail):
@@ -141,3 +143,44 @@ def test_strided_clips_fit(spark, low, high):
     for r in sampling.strided_clips(scenes, "s", "n", 6, low, high).collect():
         steps = np.diff(r["clip"])
         assert r["clip"][0] >= 0 and r["clip"][-1] < 30 and set(steps) <= set(range(low, max(high, low + 1)))
+
+
+def test_running_totals_in_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 17 == 0 else f"s{int(x)}", int(y), i) for i, (x, y) in enumerate(zip(rng.integers(0, 9, 400), rng.integers(-50, 50, 400)))]
+    df = spark.createDataFrame(rows, "s string, k long, i long").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    want, total = {}, 0
+    for place, r in enumerate(order, 1):
+        total += r[2]
+        want[r[2]] = (place, total)
+    for size in (7, 60, 0):
+        place = numbered(df, ["s", "k", "i"], "place", size)
+        got = running_total(place, ["s", "k", "i"], F.col("i"), "total", size).collect()
+        assert {r["i"]: (r["place"], r["total"]) for r in got} == want
+    assert numbered(df.where("false"), ["s"], "place").count() == 0
+
+
+def test_windows_at_a_place_are_those_that_hold_it(spark):
+    rows = [(n, p) for n in (1, 5, 20, 21, 22, 37, 38, 100) for p in range(n)]
+    df = spark.createDataFrame(rows, "n long, p long").select("n", "p", windows.windows(F.col("n"), 21, 5).alias("every"), windows.windows_at(F.col("p"), F.col("n"), 21, 5).alias("here"))
+    for r in df.collect():
+        assert [tuple(w) for w in r["here"]] == [(i, *w) for i, w in enumerate(r["every"]) if w["start"] <= r["p"] < w["end"]]
+
+
+def test_a_zero_depth_has_no_disparity(spark, tmp_path):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(10 * s + i, at + datetime.timedelta(seconds=i), s, "view", v, '{"k": 1}') for s in (3, 4, 5) for i, v in enumerate([0.0, 2.0, 4.0, 8.0])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["scene"], r["frame_idx"]): r["n"] for r in QUERIES["norm_type_switch"](spark, str(tmp_path)).collect()}
+    assert got[3, 0] == got[4, 0] == 0.0 and got[3, 1] == pytest.approx(1, abs=1e-4) and got[3, 3] == 0.0
+
+
+@pytest.mark.parametrize("name", ["high", "medium", "low"])
+def test_curves_equal_a_search(spark, name):
+    xs, ys = fn.curve_points(name)
+    at = [-0.5, 0.0, 1e-9, 0.1, 0.5, xs[500], 0.999, 1.0, 1.5]
+    got = [r["y"] for r in spark.createDataFrame([(x,) for x in at], "x double").select(fn.lut(F.col("x"), xs, ys).alias("y")).collect()]
+    assert got == pytest.approx(list(np.interp(at, xs, ys)), abs=1e-9)
