@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from ..sources.views import with_views
 from ..streaming import clips
 from .registry import query, rounded
@@ -13,18 +12,10 @@ from .registry import query, rounded
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _shared(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: streams need a folder that all executors share")
-    base = base or "file:///tmp/checkpoints/frameloom"  # one machine, as in tests
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, round(1.0 / value, 9) AS disparity FROM events WHERE value > 5 AND value < 400")
 def stream_clip_ingest(spark, sf_dir):
     """One pass of the stateless sample pipeline over the files of a folder."""
-    out = _shared(spark, "ingest")
+    out = scratch(spark, "ingest")
     stream = clips.read_stream(spark, f"{sf_dir}/events.parquet*", _SCHEMA)
     kept = clips.select_valid(stream, 5.0, 400.0).select("event_id", F.round("disparity", 9).alias("disparity"))
     clips.run_once(kept, f"{out}/checkpoint", f"{out}/table")
@@ -34,7 +25,7 @@ def stream_clip_ingest(spark, sf_dir):
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_cache_sink(spark, sf_dir):
     """An idempotent cache sink, fed twice with the same keys."""
-    out = _shared(spark, "cache")
+    out = scratch(spark, "cache")
     latest = spark.read.schema(_SCHEMA).parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     latest.write.parquet(f"{out}/in")
     stream = clips.read_stream(spark, f"{out}/in", "user_id bigint, event_id bigint")
@@ -46,7 +37,7 @@ def stream_cache_sink(spark, sf_dir):
 @query("SELECT user_id, count(*) // 8 AS clips, count(*) AS frames FROM events GROUP BY user_id")
 def stream_stateful_cursor(spark, sf_dir):
     """Clips emitted per scene, with the position as state."""
-    place = _shared(spark, "cursor")
+    place = scratch(spark, "cursor")
     stream = clips.read_stream(spark, f"{sf_dir}/events.parquet*", _SCHEMA).select("user_id", "event_id")
     out = clips.clip_cursor(stream, "user_id", 8)
     clips.update_sink(out, f"{place}/checkpoint", f"{place}/table")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import images
+
 TAG = 202021.25  # fixed value: begins depth, flow and camera files
 
 
@@ -72,7 +74,22 @@ def decode_raw(content: bytes, h: int, w: int) -> np.ndarray:
     return a
 
 
-CODECS: dict[str, tuple[Callable, Callable]] = {"dpt": (encode_depth, decode_depth), "pfm": (encode_pfm, decode_pfm)}
+def raw_codec(h: int, w: int) -> tuple[Callable, Callable]:
+    return lambda a: a.astype("<f4").tobytes(), lambda content: decode_raw(content, h, w)
+
+
+#: Each codec works on (h, w) arrays: flow has its two components side by side, a camera is a row of 21 numbers, millimetres are stored as integers.
+CODECS: dict[str, tuple[Callable, Callable]] = {
+    "dpt": (encode_depth, decode_depth),
+    "pfm": (encode_pfm, decode_pfm),
+    "flo": (lambda a: encode_flow(a.reshape(len(a), -1, 2)), lambda content: (f := decode_flow(content)).reshape(len(f), -1)),
+    "cam": (lambda a: encode_camera(a.reshape(-1)[:9], a.reshape(-1)[9:21]), lambda content: np.concatenate([m.reshape(-1) for m in decode_camera(content)])[None]),
+    "npz": (lambda a: images.encode_npz(depth=np.floor(a * 1000 + 0.5).astype(np.uint16)), lambda content: images.decode_npz(content, "depth") / 1000.0),
+    "npy": (images.encode_npy, images.decode_npy),
+    "png8": (lambda a: images.encode_png(np.floor(a * 255 + 0.5).astype(np.uint8)), lambda content: images.decode_png(content).astype(float)),
+    "png16": (lambda a: images.encode_png(np.floor(a * 65535 + 0.5).astype(np.uint16)), lambda content: images.decode_png(content).astype(float)),
+    "unit_png": (lambda a: images.encode_png(np.floor(a * 255 + 0.5).astype(np.uint8)), lambda content: images.unit_image(images.decode_png(content))),
+}
 
 
 def unpack_disparity(r: Column, g: Column, b: Column) -> Column:
@@ -85,9 +102,9 @@ def unpack_segment(r: Column, g: Column, b: Column) -> Column:
     return (r * 256 + g) * 256 + b
 
 
-def decoded(files: DataFrame, codec: str, content: str = "content") -> DataFrame:
+def decoded(files: DataFrame, codec: str | tuple[Callable, Callable], content: str = "content") -> DataFrame:
     """Adds h, w, values (array<double>) to rows with binary content; content that does not decode gives nulls."""
-    decode, names = CODECS[codec][1], files.columns
+    decode, names = (CODECS[codec] if isinstance(codec, str) else codec)[1], files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +124,9 @@ def decoded(files: DataFrame, codec: str, content: str = "content") -> DataFrame
     return files.mapInArrow(run, f"{schema}, h long, w long, values array<double>").drop(content)
 
 
-def encoded(rasters: DataFrame, codec: str, h: int, w: int, values: str = "values") -> DataFrame:
+def encoded(rasters: DataFrame, codec: str | tuple[Callable, Callable], h: int, w: int, values: str = "values") -> DataFrame:
     """Replaces the values by ``content``, the file's bytes."""
-    encode, names = CODECS[codec][0], rasters.columns
+    encode, names = (CODECS[codec] if isinstance(codec, str) else codec)[0], rasters.columns
     others = [c for c in names if c != values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

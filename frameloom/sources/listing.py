@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import natural_key
@@ -36,3 +36,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     return rows.where(F.coalesce(F.lower("skipped"), F.lit("false")) != "true").where("error IS NULL OR error = ''")
+
+
+def focal_lines(spark: SparkSession, path: str, scene: str) -> DataFrame:
+    """(scene, frame, fx): a file per scene folder, a line per frame, the focal length in its first column."""
+    lines = spark.read.text(path, wholetext=True).select(scene, F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("frame", "line"))
+    return lines.where("trim(line) <> ''").select(scene, F.col("frame").cast("long").alias("frame"), F.split(F.trim("line"), r"\s+")[0].cast("double").alias("fx"))
+
+
+def scene_frames(spark: SparkSession, scenes: str, frames: str) -> DataFrame:
+    """(scene, idx, depth_path) of a two-level manifest: frames without an error, of scenes that are not skipped, numbered by ``place``."""
+    kept = manifest(spark, scenes).select("scene")
+    rows = manifest(spark, frames).join(kept, "scene", "left_semi")
+    order = Window.partitionBy("scene").orderBy(F.col("place").cast("long"))
+    return rows.select("scene", (F.row_number().over(order) - 1).cast("long").alias("idx"), "depth_path")
