@@ -22,6 +22,17 @@ def reports(scenes: DataFrame, scene: str, specs: list[tuple[str, Column, bool,
     return reduce(DataFrame.unionByName, [one(*s) for s in specs])
 
 
+def ranked(scenes: DataFrame, scene: str, specs: list[tuple[str, Column, bool, Column]], n: int, digits: int = 6) -> DataFrame:
+    """(category, rank, scene, value) of many top-n reports in one pass; a spec: (category, value, descending, condition).
+
+    Values are compared as rounded, so that engines agree; ties go by scene.
+    """
+    entries = [F.struct(F.lit(name).alias("category"), F.round(value.cast("double"), digits).alias("value"), F.lit(down).alias("down"), F.coalesce(keep, F.lit(False)).alias("keep")) for name, value, down, keep in specs]
+    long = scenes.select(scene, F.inline(F.array(*entries))).where("keep")
+    best = Window.partitionBy("category").orderBy(F.when(F.col("down"), -F.col("value")).otherwise(F.col("value")), scene)
+    return long.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n).select("category", "rank", scene, "value")
+
+
 def purity(scenes: DataFrame, axes: list[str], eps: float = 1e-6) -> DataFrame:
     """Adds purity_<axis>: an axis over the sum of the others, each over its maximum (1 if that is 0)."""
     tops = scenes.agg(*[F.max(F.coalesce(F.col(a), F.lit(0.0))).alias(f"top_{a}") for a in axes])

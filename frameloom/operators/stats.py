@@ -18,6 +18,16 @@ def motion_stats(frames: DataFrame, by: str, order: str, position: str) -> DataF
     return moved.groupBy(by).agg(F.count("*").alias("n_frames"), *six_stats("pos", F.col(position)), *six_stats("delta", F.col("step")), F.sum("step").alias("delta_total"))
 
 
+def camera_stats(cameras: DataFrame, by: str, order: str, positions: list[str], rotations: list[str]) -> DataFrame:
+    """Per scene: the six statistics of each coordinate, of the length of steps between frames and of the size of each rotation's change, and the path's length; a single camera has no steps."""
+    steps = Window.partitionBy(by).orderBy(order)
+    moved = cameras.withColumns({f"d_{c}": F.col(c) - F.lag(c).over(steps) for c in (*positions, *rotations)})
+    length = F.sqrt(sum((F.col(f"d_{c}") * F.col(f"d_{c}") for c in positions), F.lit(0.0)))
+    out = [F.count("*").alias("num_valid_cameras"), *[s for c in (*positions, *rotations) for s in six_stats(c, F.col(c))]]
+    out += [*six_stats("delta_pos", length), F.sum(length).alias("delta_pos_total")]
+    return moved.groupBy(by).agg(*out, *[s for c in rotations for s in six_stats(f"delta_{c}", F.abs(F.col(f"d_{c}")))])
+
+
 def two_level_stats(values: DataFrame, scene: str, frame: str, value: str, prefix: str) -> DataFrame:
     """Statistics of each frame, then the six statistics of those over a scene's frames."""
     x = F.col(value)

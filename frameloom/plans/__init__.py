@@ -1,6 +1,6 @@
 """Registered queries: each applies operators of this library to the standard tables, with equivalent SQL."""
 
-from . import catalog, codecs, depth, filters, layouts, metrics, raster, reports, sampling, sources, stats, streams, windows  # noqa: F401
+from . import catalog, codecs, depth, filters, layouts, metrics, motion, raster, reports, sampling, sources, stats, streams, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
