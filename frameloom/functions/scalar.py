@@ -86,3 +86,29 @@ def pad_to_multiple(n: Column, k: int) -> tuple[Column, Column]:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+# Wordings of allocators that have run dry.
+OUT_OF_MEMORY = ("out of memory", "can't allocate memory", "cannot allocate memory", "not enough memory")
+PREFETCH_SAMPLES = 256  # fixed value: samples that all workers together may hold
+
+
+def is_out_of_memory(message: Column) -> Column:
+    text = F.lower(message)
+    return F.coalesce(reduce(lambda a, b: a | b, [text.contains(m) for m in OUT_OF_MEMORY]), F.lit(False))
+
+
+def prefetch_for(batch: Column, workers: Column, requested: int) -> Column:
+    """Batches to prefetch per worker: as requested, but within the budget of samples, and one at least."""
+    share = F.floor(F.lit(PREFETCH_SAMPLES) / (F.greatest(workers, F.lit(1)) * F.greatest(batch, F.lit(1))))
+    return F.when(workers <= 0, F.lit(requested)).otherwise(F.greatest(F.lit(1), F.least(F.lit(requested), share)))
+
+
+def crop_box(height: Column, width: Column, to_height: int, to_width: int) -> Column:
+    """struct<top,left,height,width>: the largest centred box of the target's shape."""
+    wide = height * to_width < width * to_height
+    w = F.floor(height / F.lit(float(to_height)) * to_width).cast("long")
+    h = F.floor(width / F.lit(float(to_width)) * to_height).cast("long")
+    half = lambda n: F.floor(n / 2).cast("long")
+    zero = F.lit(0).cast("long")
+    return F.struct(F.when(wide, zero).otherwise(half(height - h)).alias("top"), F.when(wide, half(width - w)).otherwise(zero).alias("left"), F.when(wide, height).otherwise(h).alias("height"), F.when(wide, w).otherwise(width).alias("width"))

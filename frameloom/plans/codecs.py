@@ -46,25 +46,37 @@ def _mapped(spark, sf_dir, f, n=1):
     return rounded(r.select("vec_id", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
-@query()
+def _taps(n: int, m: int, name: str) -> str:
+    """How much each of n values counts in all m values of a bilinear resize along an axis."""
+    at = f"greatest(0.0, least({n - 1}.0, (i + 0.5) * {n} / {m}.0 - 0.5))::DOUBLE"
+    return f"""{name} AS (SELECT CAST(p AS BIGINT) AS p, sum(w) AS w FROM (SELECT floor({at}) AS p, 1 - ({at} - floor({at})) AS w FROM range({m}) AS r(i) UNION ALL SELECT least(floor({at}) + 1, {n - 1}), {at} - floor({at}) FROM range({m}) AS r(i)) GROUP BY p)"""
+
+
+_PIXELS = f"px AS (SELECT vec_id, CAST((pos - 1) // 8 AS BIGINT) AS y, CAST((pos - 1) % 8 AS BIGINT) AS x, v FROM (SELECT vec_id, unnest(vs) AS v, generate_subscripts(vs, 1) AS pos FROM ({_VALUES})))"
+
+
+@query(f"WITH {_PIXELS}, {_taps(8, 13, 'ty')}, {_taps(8, 5, 'tx')} SELECT vec_id, CAST(65 AS BIGINT) AS n, round(sum(v * ty.w * tx.w), 6) AS total FROM px JOIN ty ON ty.p = y JOIN tx ON tx.p = x GROUP BY vec_id")
 def bilinear_resize(spark, sf_dir):
     """Rasters resized to 13 x 5."""
     return _mapped(spark, sf_dir, lambda a: tensors.bilinear(a, 13, 5))
 
 
-@query()
+@query(f"""WITH {_PIXELS}, {_taps(4, 8, 't')}, b AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM px GROUP BY ALL), low AS (SELECT vec_id, sum(v * ty.w * tx.w) AS low FROM b JOIN t ty ON ty.p = y JOIN t tx ON tx.p = x GROUP BY vec_id)
+SELECT vec_id, CAST(64 AS BIGINT) AS n, round(2 * sum(v) - any_value(low), 6) AS total FROM px JOIN low USING (vec_id) GROUP BY vec_id""")
 def band_merge(spark, sf_dir):
     """A raster's detail on its mirror image's low band."""
     return _mapped(spark, sf_dir, lambda a: tensors.band_merge(a[:, ::-1], a, 2))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PIXELS}, m AS (SELECT vec_id, y, x FROM px WHERE v > 0.2), r(vec_id, y, x, py, qx) AS (SELECT vec_id, y, x, y, x FROM m UNION SELECT r.vec_id, r.y, r.x, m.y, m.x FROM r JOIN m ON m.vec_id = r.vec_id AND abs(m.y - r.py) <= 1 AND abs(m.x - r.qx) <= 1),
+a AS (SELECT vec_id, y, x, count(*) AS area FROM r GROUP BY ALL) SELECT e.vec_id, CAST(64 AS BIGINT) AS n, CAST(count(*) FILTER (area >= 4) AS DOUBLE) AS total FROM embeddings e LEFT JOIN a USING (vec_id) GROUP BY e.vec_id""")
 def component_filter(spark, sf_dir):
     """Connected components of at least four pixels."""
     return _mapped(spark, sf_dir, lambda a: tensors.keep_large_components(a > 0.2, 4))
 
 
-@query()
+@query(f"""WITH {_PIXELS}, o AS (SELECT dy, dx FROM range(-2, 3) AS a(dy), range(-2, 3) AS b(dx)), c AS (SELECT vec_id, y, x, greatest(0, least(7, y + dy)) AS yy, greatest(0, least(7, x + dx)) AS xx FROM px, o),
+m AS (SELECT c.vec_id, c.y, c.x, quantile_cont(px.v, 0.5) AS v FROM c JOIN px ON px.vec_id = c.vec_id AND px.y = yy AND px.x = xx GROUP BY ALL) SELECT vec_id, CAST(64 AS BIGINT) AS n, round(sum(v), 6) AS total FROM m GROUP BY vec_id""")
 def median_filter(spark, sf_dir):
     """5 x 5 medians."""
     return _mapped(spark, sf_dir, tensors.median_filter)

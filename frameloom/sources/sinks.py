@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import filesystem
+
 
 def write_shards(rows: DataFrame, path: str, shard: str = "shard") -> None:
     """One folder per shard, rows of a shard written by one task; the commit protocol makes it atomic."""
@@ -26,6 +33,26 @@ def write_summary(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def copy_files(files: DataFrame) -> DataFrame:
+    """Copies the files of rows (path, target) as they are, streaming; (target, size) of each, lazily, so act on it once."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for path, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (source, a), (sink, b) = filesystem(path), filesystem(target)
+                sink.create_dir(os.path.dirname(b), recursive=True)
+                temporary = f"{b}.{uuid.uuid4().hex}.part"
+                with source.open_input_stream(a) as read, sink.open_output_stream(temporary) as write:
+                    while chunk := read.read(1 << 20):
+                        write.write(chunk)
+                sink.move(temporary, b)
+                sizes.append(sink.get_file_info(b).size)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64())], ["target", "size"])
+
+    return files.select("path", "target").mapInArrow(copy, "target string, size long")
+
+
 def fresh_folder(spark: SparkSession, path: str) -> str:
     """The path, or with the first suffix _1, _2 and so on that does not exist."""
     jvm, n, name = spark.sparkContext._jvm, 0, path
