@@ -34,6 +34,12 @@ _BYTE_LETTERS = _byte_letters()
 
 
 _MARKS = frozenset(".,;:!?")
+_WORD = re.compile(f"[{_LETTERS}]+")
+
+
+def _shown(piece: str) -> str:
+    """A piece in the vocabulary's characters."""
+    return piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
 class _UnsafeError(Exception):
@@ -68,7 +74,7 @@ def _splits_as_assumed(settings: dict) -> bool:
 class CachedEncoder:
     """Encodes whole texts as the library does by default (special tokens not added, but found where a text holds their strings)."""
 
-    def __init__(self, path: str, max_cached: int = 300_000):
+    def __init__(self, path: str, max_cached: int = 450_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,7 +101,7 @@ class CachedEncoder:
     def _ids(self, chunk: str) -> bytes:
         """Ids of a chunk that may begin with a space."""
         if _PLAIN.fullmatch(chunk, 1 if chunk[0] == " " else 0):
-            pieces = [p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in _PIECES.findall(chunk)]
+            pieces = [_shown(p) for p in _PIECES.findall(chunk)]
         else:
             pieces = [p for p, _ in self._split(chunk)]
         return b"".join(map(self._pieces.__getitem__, pieces))
@@ -107,6 +113,10 @@ class CachedEncoder:
                 return self._piece("Ġ" + chunk)  # kept by this cache alone
             if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
                 return self._words[chunk[:-1]] + self._pieces[chunk[-1]]
+        elif _WORD.fullmatch(chunk):
+            return self._piece("Ġ" + _shown(chunk))
+        elif chunk[-1] in _MARKS and _WORD.fullmatch(chunk, 0, len(chunk) - 1):
+            return self._words[chunk[:-1]] + self._pieces[chunk[-1]]
         word = chunk[1:] if chunk.startswith("\n") else chunk
         if not word or word[0].isspace() or word[-1].isspace():
             raise _UnsafeError
