@@ -126,7 +126,7 @@ def file_list_source(spark, sf_dir):
     return listing.file_list(spark, out)
 
 
-@query("SELECT CAST(p_partkey AS INT) AS frame, p_size % 2 AS camera, p_retailprice AS fx, p_retailprice * 2 AS fy, p_size * 10.0 AS cx, p_size * 5.0 AS cy FROM part")
+@query("SELECT CAST(p_partkey AS INT) AS frame, p_size % 2 AS camera, p_retailprice AS fx, p_retailprice * 2 AS fy, CAST(p_size * 10.0 AS DOUBLE) AS cx, CAST(p_size * 5.0 AS DOUBLE) AS cy FROM part")
 def intrinsics_source(spark, sf_dir):
     """A table of intrinsics by frame and camera, with a header line."""
     out, price, size = scratch(spark, "intrinsics"), F.col("p_retailprice"), F.col("p_size")
@@ -135,7 +135,7 @@ def intrinsics_source(spark, sf_dir):
     return listing.intrinsics(spark, out)
 
 
-@query("SELECT source AS scene, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS frame, n_chars * 1.5 AS fx FROM documents")
+@query("SELECT source AS scene, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS frame, CAST(n_chars * 1.5 AS DOUBLE) AS fx FROM documents")
 def focal_lines_source(spark, sf_dir):
     """Text of a line per frame whose first column is the focal length: frames are numbered by line."""
     out = scratch(spark, "focal")

@@ -78,10 +78,10 @@ def raw_codec(h: int, w: int) -> tuple[Callable, Callable]:
     return lambda a: a.astype("<f4").tobytes(), lambda content: decode_raw(content, h, w)
 
 
-#: Each codec works on (h, w) arrays: flow has its two components side by side, a camera is a row of 21 numbers, millimetres are stored as integers.
-CODECS: dict[str, tuple[Callable, Callable]] = {
-    "dpt": (encode_depth, decode_depth),
-    "pfm": (encode_pfm, decode_pfm),
+#: Codecs of any (h, w) array of floats.
+CODECS: dict[str, tuple[Callable, Callable]] = {"dpt": (encode_depth, decode_depth), "pfm": (encode_pfm, decode_pfm)}
+#: Codecs of (h, w) arrays of a kind: flow has its two components side by side, a camera is a row of 21 numbers, millimetres and pixels are stored as integers.
+PARTICULAR: dict[str, tuple[Callable, Callable]] = {
     "flo": (lambda a: encode_flow(a.reshape(len(a), -1, 2)), lambda content: (f := decode_flow(content)).reshape(len(f), -1)),
     "cam": (lambda a: encode_camera(a.reshape(-1)[:9], a.reshape(-1)[9:21]), lambda content: np.concatenate([m.reshape(-1) for m in decode_camera(content)])[None]),
     "npz": (lambda a: images.encode_npz(depth=np.floor(a * 1000 + 0.5).astype(np.uint16)), lambda content: images.decode_npz(content, "depth") / 1000.0),
@@ -92,6 +92,10 @@ CODECS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
+def _named(codec: str) -> tuple[Callable, Callable]:
+    return CODECS[codec] if codec in CODECS else PARTICULAR[codec]
+
+
 def unpack_disparity(r: Column, g: Column, b: Column) -> Column:
     """Disparity from the three bytes of a packed image."""
     return r * 4.0 + g / 64.0 + b / 16384.0
@@ -104,7 +108,7 @@ def unpack_segment(r: Column, g: Column, b: Column) -> Column:
 
 def decoded(files: DataFrame, codec: str | tuple[Callable, Callable], content: str = "content") -> DataFrame:
     """Adds h, w, values (array<double>) to rows with binary content; content that does not decode gives nulls."""
-    decode, names = (CODECS[codec] if isinstance(codec, str) else codec)[1], files.columns
+    decode, names = (_named(codec) if isinstance(codec, str) else codec)[1], files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +130,7 @@ def decoded(files: DataFrame, codec: str | tuple[Callable, Callable], content: s
 
 def encoded(rasters: DataFrame, codec: str | tuple[Callable, Callable], h: int, w: int, values: str = "values") -> DataFrame:
     """Replaces the values by ``content``, the file's bytes."""
-    encode, names = (CODECS[codec] if isinstance(codec, str) else codec)[0], rasters.columns
+    encode, names = (_named(codec) if isinstance(codec, str) else codec)[0], rasters.columns
     others = [c for c in names if c != values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
