@@ -12,11 +12,12 @@ from . import chat_format, decontaminate, fingerprints, language_id, license_sca
 from ._shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-PII_KEY = b"frameloom surrogate key"  # a deployment sets its own
+PII_KEY_SETTING, PII_TEST_KEY = "spark.frameloom.pii.key", "frameloom surrogate key"  # a deployment sets a key of its own
 CHAT_PROBE = "\\### Assistant: </turn> ok"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from documents that are not held out; a null id is held out; no letters give ``und`` and score 0."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_language_model(docs.where(~held_out))
@@ -25,6 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text; null texts are empty; ties of ids go by descending text."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
@@ -46,7 +48,11 @@ def chat_events(rows: DataFrame) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows written as an event log, folded back, rendered and read back from the output."""
+    """The rows written as an event log, folded back, rendered and read back from the output.
+
+    Null roles and texts are empty; null turns come first, ties in order of role and text; repeated rows are turns of
+    their own; a null conversation id is a conversation; an empty table leaves the added conversation.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
     out = chat_format.render(chat_format.reconstruct(chat_events(rows.unionByName(probe)), part="part"))
@@ -57,34 +63,44 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+    """Every text with its personal data and secrets replaced; a null text stays null, repeated rows stay, no rows give none."""
+    key = spark.conf.get(PII_KEY_SETTING, PII_TEST_KEY).encode()
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"), key)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all texts, read back; null texts are the end id alone, null ids come first, ties in text order."""
     return token_files.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every text; null texts have no words, labels are empty and the score 0."""
     docs = table(spark, sf_dir, "documents")
     return license_scan.scan_licenses(docs, license_scan.fit_license_index(docs)).drop("matches")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by section; a null text has one section without tokens."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by four-word shingles, as the contract says (the pipeline's stage takes five); texts without words are alone, repeated rows together."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the splitting tree deals of each document: its words, counted once for each shard place it got."""
+    """What the splitting tree deals of each document: its words, counted once for each shard place it got.
+
+    A null text has size 0, a null source is the last one, repeated rows are dealt one by one, no rows give none.
+    """
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, draw: total + F.when(draw["shard"] >= 0, F.col("size")).otherwise(0))
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold benchmark items; null texts are clean, repeated rows judged alike, an empty benchmark finds nothing."""
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
