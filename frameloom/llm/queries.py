@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, surrogates, token_counts, token_files
+from . import alignment, chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, sharding, surrogates, token_counts, token_files, whitening
 from ._shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PII_KEY_SETTING, PII_TEST_KEY = "spark.frameloom.pii.key", "frameloom surrogate key"  # a deployment sets a key of its own
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = 40
 CHAT_PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -104,6 +106,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 and slot, by the law ``rows``; null texts have size 16, null ids come first in the order that is shuffled."""
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite embedding in whitened coordinates of the four leading components of the distinct vectors; no variance gives no rows."""
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"), 4)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers overlap in every text; null and empty texts, and those not given back byte by byte, have none."""
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_fingerprints, op3_chat_format, op4_pii_surrogates, op5_token_files, op6_license_scan, op7_token_counts, op8_near_dedup, op9_mixing, op10_decontamination, pipeline]
+    found = [op1_language_id, op2_fingerprints, op3_chat_format, op4_pii_surrogates, op5_token_files, op6_license_scan, op7_token_counts, op8_near_dedup, op9_mixing, op10_decontamination, op11_sharding, op12_whitening, op13_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
