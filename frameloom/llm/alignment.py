@@ -29,21 +29,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize
-from .bpe import _BYTE_LETTERS, CachedEncoder
+from .bpe import _BYTE_LETTERS, CachedEncoder, _UnsafeError
 
 #: First-side ids are dealt to so many stripes; a matrix has (ids / STRIPES) x (ids of the other side) long counts.
 STRIPES = 197
 #: Bytes of text and documents of a chunk; pair counts held by a task before it passes them on.
-CHUNK_BYTES, CHUNK_DOCS, HELD_PAIRS = 1 << 20, 1 << 15, 1 << 21
+CHUNK_BYTES, DOC_BITS, HELD_PAIRS = 1 << 20, 15, 1 << 21
+CHUNK_DOCS = 1 << DOC_BITS
 #: Counts added by one task, and links scored by one.
 TASK_CELLS, TASK_LINKS = 1 << 25, 1 << 24
 
 
 class ByteLevel:
-    """A byte-level tokenizer file, whose tokens are taken of a space and the text."""
+    """A byte-level tokenizer file, whose tokens are taken of a space and the text; they always give its bytes back."""
 
     def __init__(self, path: str):
-        self.encoder = CachedEncoder(path, 200_000)
+        self.encoder = CachedEncoder(path)
         if not self.encoder.known:
             raise ValueError("the tokens of this file are not byte-level, so their bytes are not known from their ids")
         self.encoder.tokenizer.encode_special_tokens = True
@@ -54,22 +55,30 @@ class ByteLevel:
             self.tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.forget = self.encoder.forget
 
-    def ids(self, text: str) -> np.ndarray:
-        return self.encoder.encode(" " + text)
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        return list(map(self._ids, texts))
+
+    def _ids(self, text: str) -> np.ndarray:
+        try:  # every word stands behind a space
+            return np.frombuffer(b"".join(map(self.encoder._words.__getitem__, text.replace("\n", " \n").split(" "))), "<u4")
+        except _UnsafeError:
+            return self.encoder.encode(" " + text)
 
 
 class Pieces:
-    """A sentencepiece model, which adds the space itself."""
+    """A sentencepiece model, which adds the space itself; its pieces may not give a text's bytes back."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        piece = self.model.id_to_piece
-        self.tokens = [bytes([int(piece(i)[3:-1], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.tokens = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text), np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        token = self.tokens.__getitem__
+        encoded = self.model.encode(texts, num_threads=1)
+        return [np.array(ids, np.uint32) if b"".join(map(token, ids)) == b" " + text.encode() else None for text, ids in zip(texts, encoded, strict=True)]
 
     def forget(self) -> None:
         pass
@@ -82,19 +91,27 @@ class Sides:
         self.a, self.b = (Pieces(p) if p.endswith(".model") else ByteLevel(p) for p in (first, second))
         self.n_a, self.n_b, self.stripes = len(self.a.tokens), len(self.b.tokens), stripes
         self.cells = -(-self.n_a // stripes) * self.n_b  # of a stripe
-        if self.cells * stripes * CHUNK_DOCS >= 1 << 63 or self.cells >= 1 << 32:
+        self.bits = (self.cells - 1).bit_length()
+        if self.bits > 32 or self.bits + DOC_BITS + stripes.bit_length() > 63:
             raise ValueError("too many ids for a stripe: take more stripes")
-        self.lengths_a, self.lengths_b = (np.array([len(t) for t in side.tokens], np.int64) for side in (self.a, self.b))
+        ids = np.arange(self.n_a, dtype=np.int64)
+        #: the part of a key that a first-side id decides
+        self.places = (ids % stripes << self.bits + DOC_BITS) + ids // stripes * self.n_b
+        self.lengths_a, self.lengths_b = (np.array([len(t) for t in side.tokens], np.int32) for side in (self.a, self.b))
         #: an id and what follows it: a comma, or the end of its side of a group
-        self.shown = [f"{i}{end}" for i in range(self.n_a) for end in ",|"] + [f"{i}{end}" for i in range(self.n_b) for end in ",;"]
+        shown = [f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for i in range(n) for end in ends]
+        if max(map(len, shown)) > 8:
+            raise ValueError("ids have seven digits at most")
+        self.shown, self.widths = np.array(shown, "S8").view("<u8"), np.array([len(x) for x in shown], np.int8)
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        none = np.empty(0, np.uint32)
-        if not text:
-            return none, none
-        whole, found = b" " + text.encode(), (self.a.ids(text), self.b.ids(text))
-        same = all(b"".join(map(side.tokens.__getitem__, ids.tolist())) == whole for side, ids in zip((self.a, self.b), found, strict=True))
-        return found if same else (none, none)
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        none, held = np.empty(0, np.uint32), [i for i, text in enumerate(texts) if text]
+        out = [(none, none)] * len(texts)
+        found = [side.encode([texts[i] for i in held]) for side in (self.a, self.b)]
+        for i, *ids in zip(held, *found, strict=True):
+            if all(x is not None for x in ids):
+                out[i] = tuple(ids)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -106,44 +123,47 @@ def sides(first: str, second: str, stripes: int) -> Sides:
 def align_chunk(of: Sides, encoded: list[tuple[np.ndarray, np.ndarray]]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
     """(numbers of each document, sorted keys of its linked id pairs, how often each is linked).
 
-    A key is ((stripe * CHUNK_DOCS + document) * cells + cell), a cell being (id // stripes) * n_b + id of the other side.
+    A key has, from its upper bits down, the stripe, DOC_BITS of the document and ``bits`` of the cell, which is
+    (id // stripes) * n_b + id of the other side.
     """
     n = len(encoded)
     n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-    ids_a, ids_b = (np.concatenate([e[k] for e in encoded]).astype(np.int64) for k in (0, 1))
+    ids_a, ids_b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
     ends_a, ends_b = np.cumsum(of.lengths_a[ids_a]), np.cumsum(of.lengths_b[ids_b])  # both sides of a document have the same bytes
     size = int(ends_a[-1]) if len(ends_a) else 0
-    at_a, at_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
-    at_a[ends_a], at_b[ends_b] = True, True
-    cuts = np.flatnonzero(at_a | at_b)  # the ends of the links
-    token_a, token_b = (np.cumsum(at, dtype=np.int64)[cuts] - at[cuts] for at in (at_a, at_b))
-    last_a = np.cumsum(n_a)  # tokens of the documents up to this one
-    doc = np.searchsorted(last_a, token_a, "right")
-    both = at_a & at_b
-    group = np.cumsum(both, dtype=np.int64)
-    group_a, group_b = group[ends_a] - both[ends_a], group[ends_b] - both[ends_b]
-    n_links = np.bincount(doc, minlength=n)
-
-    side = np.concatenate([group_a * 2, group_b * 2 + 1])
-    order = np.argsort(side, kind="stable")
-    side = side[order]
-    closes = np.append(side[1:] != side[:-1], np.ones(min(1, len(side)), bool)).astype(np.int64)
-    codes = np.concatenate([ids_a * 2, (ids_b + of.n_a) * 2])[order] + closes
-    shown = list(map(of.shown.__getitem__, codes.tolist()))
-    stops = np.cumsum(n_a + n_b).tolist()
-    hashes = [hashlib.sha256("".join(shown[start:stop])[:-1].encode()).hexdigest() if stop > start else "" for start, stop in zip([0, *stops], stops, strict=False)]
-
-    a, b = ids_a[token_a], ids_b[token_b]
-    keys, times = np.unique(((a % of.stripes) * CHUNK_DOCS + doc) * of.cells + a // of.stripes * of.n_b + b, return_counts=True)
-    numbers = {"n_a": n_a, "n_b": n_b, "n_groups": n_a + n_b - n_links, "n_links": n_links, "groups_sha256": hashes}
-    return numbers, keys, times
+    at_a, at_b = np.zeros(size + 1, np.int8), np.zeros(size + 1, np.int8)
+    at_a[ends_a], at_b[ends_b] = 1, 1
+    either, both = at_a | at_b, at_a & at_b
+    cuts = np.flatnonzero(either)  # the ends of the links
+    # before each end, as many ends of its side as tokens stand before; a document ends where both sides do
+    linked_a, linked_b = (ids[np.cumsum(at[cuts], dtype=np.int64) - at[cuts]] for at, ids in ((at_a, ids_a), (at_b, ids_b)))
+    n_links = np.diff(np.searchsorted(cuts, np.append(0, ends_a)[np.cumsum(n_a)], "right"), prepend=0)
+    doc = np.repeat(np.arange(n), n_links)
+
+    # in the order of groups, first sides before second ones: a side's tokens are those up to the group's end
+    closes_a, closes_b = both[ends_a], both[ends_b]
+    shown_a, shown_b = ids_a.astype(np.int32) * 2 + closes_a, (ids_b.astype(np.int32) + of.n_a) * 2 + closes_b
+    group_a, group_b = np.cumsum(closes_a, dtype=np.int32) - closes_a, np.cumsum(closes_b, dtype=np.int32) - closes_b
+    upto_a, upto_b = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
+    codes = np.empty(len(ids_a) + len(ids_b), np.int32)
+    codes[np.arange(len(ids_a)) + np.concatenate([[0], upto_b])[group_a]] = shown_a
+    codes[np.arange(len(ids_b)) + upto_a[group_b] if size else []] = shown_b
+    text = of.shown[codes].tobytes().translate(None, b"\0")  # eight bytes for each token, zeros behind it
+    upto = np.concatenate([[0], np.cumsum(of.widths[codes], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+    hashes = [hashlib.sha256(text[start : stop - 1]).hexdigest() if stop > start else "" for start, stop in zip(upto, upto[1:], strict=False)]
+
+    keys = of.places[linked_a] + (doc << of.bits) + linked_b
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(keys)))
+    return {"n_a": n_a, "n_b": n_b, "n_groups": n_a + n_b - n_links, "n_links": n_links, "groups_sha256": hashes}, keys[first], times
 
 
 class PairCounts:
-    """How many documents hold each pair, held within a bound: keys are stripe * cells + cell."""
+    """How many documents hold each pair, held within a bound: keys have the stripe above ``bits`` of the cell."""
 
-    def __init__(self, cells: int):
-        self.cells, self.parts, self.held = cells, [], 0
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.held = bits, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
@@ -160,9 +180,8 @@ class PairCounts:
         """(stripe, cells, counts, number of cells) of what is held, which is dropped."""
         self.combine()
         for keys, counts in self.parts:
-            stripe = keys // self.cells
-            for s, start, stop in _runs(stripe):
-                yield s, (keys[start:stop] - s * self.cells).astype("<u4").tobytes(), counts[start:stop].astype("<i8").tobytes(), stop - start
+            for s, start, stop in _runs(keys >> self.bits):
+                yield s, (keys[start:stop] & (1 << self.bits) - 1).astype("<u4").tobytes(), counts[start:stop].astype("<i8").tobytes(), stop - start
         self.parts, self.held = [], 0
 
 
@@ -186,7 +205,7 @@ def encode_links(docs: DataFrame, first: str, second: str, id_col: str, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, task, chunks = sides(first, second, stripes), TaskContext.get().partitionId(), 0
-        counts, names, encoded, size, kind_of_id = PairCounts(of.cells), [], [], 0, None
+        counts, names, texts, size, kind_of_id = PairCounts(of.bits), [], [], 0, None
 
         def table(kind: int, length: int, **columns: object) -> pa.RecordBatch:
             get = lambda name, t: columns[name] if isinstance(columns[name], pa.Array) else pa.array(columns[name], t)
@@ -194,20 +213,19 @@ def encode_links(docs: DataFrame, first: str, second: str, id_col: str, text_col
             return pa.RecordBatch.from_arrays([pa.array(np.full(length, kind, np.int8)), *filled.values()], list(types))
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal chunks, names, encoded, size
-            chunk, m = (task << 32) + chunks, len(encoded)
-            numbers, keys, times = align_chunk(of, encoded)
+            nonlocal chunks, names, texts, size
+            chunk, m = (task << 32) + chunks, len(texts)
+            numbers, keys, times = align_chunk(of, of.encode(texts))
             yield table(_DOCUMENT, m, chunk=np.full(m, chunk, np.int64), idx=np.arange(m, dtype=np.int32), id=pa.array(names, kind_of_id), **numbers)
-            stripe, rest = np.divmod(keys, CHUNK_DOCS * of.cells)
-            doc, cell = np.divmod(rest, of.cells)
+            stripe, doc, cell = keys >> of.bits + DOC_BITS, keys >> of.bits & CHUNK_DOCS - 1, keys & (1 << of.bits) - 1
             blocks = [(s, doc[i:j].astype("<u2").tobytes(), cell[i:j].astype("<u4").tobytes(), times[i:j].astype("<u4").tobytes()) for s, i, j in _runs(stripe)]
             if blocks:
                 found, d, c, t = map(list, zip(*blocks, strict=True))
                 yield table(_LINKS, len(found), chunk=np.full(len(found), chunk, np.int64), stripe=found, docs=d, cells=c, times=t)
-                counts.add(*np.unique(stripe * of.cells + cell, return_counts=True))
+                counts.add(*np.unique((stripe << of.bits) + cell, return_counts=True))
                 if counts.held > HELD_PAIRS // 2:
                     yield from passed_on()
-            chunks, names, encoded, size = chunks + 1, [], [], 0
+            chunks, names, texts, size = chunks + 1, [], [], 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for s, cells, n, length in counts.flush():
@@ -218,7 +236,7 @@ def encode_links(docs: DataFrame, first: str, second: str, id_col: str, text_col
             for name, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
                 names.append(name.as_py())
-                encoded.append(of.encode(text))
+                texts.append(text)
                 size += len(text or "")
                 if size >= CHUNK_BYTES or len(names) == CHUNK_DOCS:
                     yield from close()

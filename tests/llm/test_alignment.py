@@ -100,14 +100,14 @@ def test_null_and_repeated_ids_and_no_rows(spark):
 
 def test_many_chunks_and_small_counts(spark, monkeypatch):
     of = alignment.Sides(TOKENIZER, PIECES, 197)
-    pairs = alignment.PairCounts(of.cells)
+    pairs = alignment.PairCounts(of.bits)
     monkeypatch.setattr(alignment, "HELD_PAIRS", 3)
     rng, want = np.random.default_rng(1), Counter()
     for _ in range(20):
-        keys, n = np.unique(rng.integers(0, 4 * of.cells, 5), return_counts=True)
+        keys, n = np.unique(rng.integers(0, 4 << of.bits, 5), return_counts=True)
         pairs.add(keys, n)
         want.update(dict(zip(keys.tolist(), n.tolist())))
     got = Counter()
     for s, cells, n, _ in pairs.flush():
-        got.update(dict(zip((np.frombuffer(cells, "<u4").astype(np.int64) + s * of.cells).tolist(), np.frombuffer(n, "<i8").tolist())))
+        got.update(dict(zip((np.frombuffer(cells, "<u4").astype(np.int64) + (s << of.bits)).tolist(), np.frombuffer(n, "<i8").tolist())))
     assert got == want and not pairs.parts
