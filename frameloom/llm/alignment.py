@@ -4,7 +4,7 @@ Both sides encode a space and the text, so their tokens cover the same bytes. Of
 them into groups, and a stretch between neighbouring ends of either side is a link of the one token of each side that holds
 it. Texts whose tokens do not give their bytes back have no tokens.
 
-Documents are encoded once, in chunks, into a written table of document rows, link blocks and pre-aggregated pair counts.
+Documents are encoded once, in chunks, and each distinct word of a chunk is aligned once, into a written table of document rows, link blocks and pre-aggregated pair counts.
 First-side ids are dealt to stripes by remainder, so frequent ids, which stand together, spread. The counts of a stripe meet
 in a dense matrix (its ids by the other side's), where ``np.add.at`` adds them and row maxima give the best partners; where
 the counts of a stripe are many, parts of them are added first. Links are then scored beside their stripe's matrix: a
@@ -17,10 +17,15 @@ only the id and the text are read. Strings of special tokens in a text are plain
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +34,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize
-from .bpe import _BYTE_LETTERS, CachedEncoder, _UnsafeError
+from .bpe import _BYTE_LETTERS, _splits_as_assumed
 
 #: First-side ids are dealt to so many stripes; a matrix has (ids / STRIPES) x (ids of the other side) long counts.
 STRIPES = 197
 #: Bytes of text and documents of a chunk; pair counts held by a task before it passes them on.
 CHUNK_BYTES, DOC_BITS, HELD_PAIRS = 1 << 20, 15, 1 << 21
 CHUNK_DOCS = 1 << DOC_BITS
+#: Words whose alignments a worker process keeps.
+MAX_WORDS = 600_000
 #: Counts added by one task, and links scored by one.
 TASK_CELLS, TASK_LINKS = 1 << 25, 1 << 24
 
 
+#: How a byte-level tokenizer file splits texts into pieces, which merges never leave.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel:
-    """A byte-level tokenizer file, whose tokens are taken of a space and the text; they always give its bytes back."""
+    """A byte-level tokenizer file, whose tokens are taken of a space and the text; they always give its bytes back.
+
+    Its merges are replayed by rank, so it has to rank tokens by their ids, as such files do.
+    """
 
     def __init__(self, path: str):
-        self.encoder = CachedEncoder(path)
-        if not self.encoder.known:
+        import tiktoken
+
+        settings = json.loads(Path(path).read_text())
+        if not _splits_as_assumed(settings):
             raise ValueError("the tokens of this file are not byte-level, so their bytes are not known from their ids")
-        self.encoder.tokenizer.encode_special_tokens = True
-        self.encoder._added = lambda text: None
+        vocab, merges = settings["model"]["vocab"], settings["model"]["merges"]
+        added = {t["content"] for t in settings.get("added_tokens", [])}
         byte_of = {letter: b for b, letter in _BYTE_LETTERS.items()}
-        self.tokens = [b""] * self.encoder.vocab_size
-        for token, i in self.encoder.tokenizer.get_vocab().items():
-            self.tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.forget = self.encoder.forget
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        return list(map(self._ids, texts))
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+        if merged != sorted(merged) or len(set(merged)) < len(merged) or any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != 256 + len(merges):
+            raise ValueError("the merges of this file are not in the order of their ids")
+        self.tokens = [b""] * (1 + max(vocab.values()))
+        for token, i in ranks.items():
+            self.tokens[i] = token
+        self.encode_one = tiktoken.Encoding(Path(path).name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _ids(self, text: str) -> np.ndarray:
-        try:  # every word stands behind a space
-            return np.frombuffer(b"".join(map(self.encoder._words.__getitem__, text.replace("\n", " \n").split(" "))), "<u4")
-        except _UnsafeError:
-            return self.encoder.encode(" " + text)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.encode_one(" " + text) for text in texts]
 
 
 class Pieces:
@@ -74,14 +88,11 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.tokens = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any("▁" in p.lstrip("▁") for p in pieces) or self.model.normalize("  a  ") != "▁▁▁a▁▁":
+            raise ValueError("pieces of this model go on behind the end of a word, or it changes white space")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        token = self.tokens.__getitem__
-        encoded = self.model.encode(texts, num_threads=1)
-        return [np.array(ids, np.uint32) if b"".join(map(token, ids)) == b" " + text.encode() else None for text, ids in zip(texts, encoded, strict=True)]
-
-    def forget(self) -> None:
-        pass
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 class Sides:
@@ -104,59 +115,130 @@ class Sides:
             raise ValueError("ids have seven digits at most")
         self.shown, self.widths = np.array(shown, "S8").view("<u8"), np.array([len(x) for x in shown], np.int8)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        none, held = np.empty(0, np.uint32), [i for i, text in enumerate(texts) if text]
-        out = [(none, none)] * len(texts)
-        found = [side.encode([texts[i] for i in held]) for side in (self.a, self.b)]
-        for i, *ids in zip(held, *found, strict=True):
-            if all(x is not None for x in ids):
-                out[i] = tuple(ids)
-        return out
-
-
-@lru_cache(maxsize=2)
-def sides(first: str, second: str, stripes: int) -> Sides:
-    """One pair of tokenizers per worker process."""
-    return Sides(first, second, stripes)
-
-
-def align_chunk(of: Sides, encoded: list[tuple[np.ndarray, np.ndarray]]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
-    """(numbers of each document, sorted keys of its linked id pairs, how often each is linked).
-
-    A key has, from its upper bits down, the stripe, DOC_BITS of the document and ``bits`` of the cell, which is
-    (id // stripes) * n_b + id of the other side.
-    """
-    n = len(encoded)
-    n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-    ids_a, ids_b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
-    ends_a, ends_b = np.cumsum(of.lengths_a[ids_a]), np.cumsum(of.lengths_b[ids_b])  # both sides of a document have the same bytes
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both sides of each text; none where either does not give its bytes back."""
+        wanted = [b" " + text.encode() for text in texts]
+        sides = []
+        for side in (self.a, self.b):
+            ids = side.encode(texts)
+            if b"".join(map(side.tokens.__getitem__, chain.from_iterable(ids))) != b"".join(wanted):
+                sides.append([x if b"".join(map(side.tokens.__getitem__, x)) == want else [] for x, want in zip(ids, wanted, strict=True)])
+            else:
+                sides.append(ids)
+        return tuple([x if y and z else [] for x, y, z in zip(side, *sides, strict=True)] for side in sides)
+
+
+@dataclass
+class Aligned:
+    """What links the tokens of some texts: numbers of each, its groups as text behind each other, and its links in order."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    shown: list[bytes]
+    links: np.ndarray  # places of first-side ids plus second-side ids
+    first: np.ndarray  # where each text's links begin
+
+    @classmethod
+    def none(cls) -> Aligned:
+        zero = np.zeros(0, np.int64)
+        return cls(zero, zero, zero, [], zero, zero)
+
+    def __add__(self, more: Aligned) -> Aligned:
+        both = [np.concatenate(pair) for pair in ((self.n_a, more.n_a), (self.n_b, more.n_b), (self.n_links, more.n_links), (self.links, more.links), (self.first, more.first + len(self.links)))]
+        return Aligned(*both[:3], self.shown + more.shown, *both[3:])
+
+
+def align(of: Sides, texts: list[str]) -> Aligned:
+    """The alignment of each text by itself."""
+    encoded = of.encode(texts)
+    n_a, n_b = (np.fromiter(map(len, side), np.int64, len(texts)) for side in encoded)
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(side), np.int32, int(n.sum())) for side, n in zip(encoded, (n_a, n_b), strict=True))
+    ends_a, ends_b = np.cumsum(of.lengths_a[ids_a]), np.cumsum(of.lengths_b[ids_b])  # both sides of a text have the same bytes
     size = int(ends_a[-1]) if len(ends_a) else 0
     at_a, at_b = np.zeros(size + 1, np.int8), np.zeros(size + 1, np.int8)
     at_a[ends_a], at_b[ends_b] = 1, 1
     either, both = at_a | at_b, at_a & at_b
     cuts = np.flatnonzero(either)  # the ends of the links
-    # before each end, as many ends of its side as tokens stand before; a document ends where both sides do
+    # before each end, as many ends of its side as tokens stand before; a text ends where both sides do
     linked_a, linked_b = (ids[np.cumsum(at[cuts], dtype=np.int64) - at[cuts]] for at, ids in ((at_a, ids_a), (at_b, ids_b)))
     n_links = np.diff(np.searchsorted(cuts, np.append(0, ends_a)[np.cumsum(n_a)], "right"), prepend=0)
-    doc = np.repeat(np.arange(n), n_links)
 
     # in the order of groups, first sides before second ones: a side's tokens are those up to the group's end
     closes_a, closes_b = both[ends_a], both[ends_b]
-    shown_a, shown_b = ids_a.astype(np.int32) * 2 + closes_a, (ids_b.astype(np.int32) + of.n_a) * 2 + closes_b
-    group_a, group_b = np.cumsum(closes_a, dtype=np.int32) - closes_a, np.cumsum(closes_b, dtype=np.int32) - closes_b
+    group_a, group_b = np.cumsum(closes_a, dtype=np.int64) - closes_a, np.cumsum(closes_b, dtype=np.int64) - closes_b
     upto_a, upto_b = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
     codes = np.empty(len(ids_a) + len(ids_b), np.int32)
-    codes[np.arange(len(ids_a)) + np.concatenate([[0], upto_b])[group_a]] = shown_a
-    codes[np.arange(len(ids_b)) + upto_a[group_b] if size else []] = shown_b
+    codes[np.arange(len(ids_a)) + np.append(0, upto_b)[group_a]] = ids_a * 2 + closes_a
+    codes[np.arange(len(ids_b)) + upto_a[group_b] if size else []] = (ids_b + of.n_a) * 2 + closes_b
     text = of.shown[codes].tobytes().translate(None, b"\0")  # eight bytes for each token, zeros behind it
-    upto = np.concatenate([[0], np.cumsum(of.widths[codes], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
-    hashes = [hashlib.sha256(text[start : stop - 1]).hexdigest() if stop > start else "" for start, stop in zip(upto, upto[1:], strict=False)]
+    upto = np.append(0, np.cumsum(of.widths[codes], dtype=np.int64))[np.append(0, np.cumsum(n_a + n_b))].tolist()
+    shown = [text[start:stop] for start, stop in zip(upto, upto[1:], strict=False)]
+    return Aligned(n_a, n_b, n_links, shown, of.places[linked_a] + linked_b, np.cumsum(n_links) - n_links)
+
+
+class Words:
+    """Alignments of words, each made once.
 
-    keys = of.places[linked_a] + (doc << of.bits) + linked_b
-    keys.sort()
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    times = np.diff(np.append(first, len(keys)))
-    return {"n_a": n_a, "n_b": n_b, "n_groups": n_a + n_b - n_links, "n_links": n_links, "groups_sha256": hashes}, keys[first], times
+    Neither side's tokens cross a single space between two other characters, so the alignment of a text is that of its words,
+    each with the space before it, one behind the other. A text with other spaces is aligned whole.
+    """
+
+    def __init__(self, of: Sides):
+        self.of, self.index, self.known = of, {}, Aligned.none()
+
+    def chunk(self, texts: list[str | None]) -> tuple[dict[str, object], np.ndarray, np.ndarray]:
+        """(numbers of each text, sorted keys of its linked id pairs, how often each is linked).
+
+        A key has, from its upper bits down, the stripe, DOC_BITS of the text's place and ``bits`` of the cell, which is
+        (id // stripes) * n_b + id of the other side.
+        """
+        if len(self.index) > MAX_WORDS:
+            self.index, self.known = {}, Aligned.none()
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small lists and no cycles
+        try:
+            split = [text.split(" ") if text else [] for text in texts]
+            new = set(chain.from_iterable(split)).difference(self.index)
+            new = [word for word in new if word and not word[0].isspace() and not word[-1].isspace()]
+            self.known += align(self.of, new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            places, whole = [], []
+            for text, words in zip(texts, split, strict=True):
+                try:
+                    places.append(list(map(self.index.__getitem__, words)))
+                except KeyError:
+                    places.append([len(self.index) + len(whole)])
+                    whole.append(text)
+            known = self.known + align(self.of, whole) if whole else self.known
+            return self._joined(known, places)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _joined(self, known: Aligned, places: list[list[int]]) -> tuple[dict[str, object], np.ndarray, np.ndarray]:
+        n, counts = len(places), np.fromiter(map(len, places), np.int64, len(places))
+        word, doc = np.fromiter(chain.from_iterable(places), np.int64, int(counts.sum())), np.repeat(np.arange(n), counts)
+        lost = np.bincount(doc, known.n_a[word] == 0, n) > 0  # a word that does not give its bytes back takes its text's tokens
+        if lost.any():
+            word, doc = word[~lost[doc]], doc[~lost[doc]]
+        total = lambda each: np.bincount(doc, each[word], n).astype(np.int64)
+        numbers = {"n_a": total(known.n_a), "n_b": total(known.n_b), "n_links": total(known.n_links)}
+        numbers["n_groups"] = numbers["n_a"] + numbers["n_b"] - numbers["n_links"]
+        shown = known.shown
+        numbers["groups_sha256"] = [hashlib.sha256(b"".join(map(shown.__getitem__, p))[:-1]).hexdigest() if p and not gone else "" for p, gone in zip(places, lost.tolist(), strict=True)]
+        length = known.n_links[word]
+        at = np.repeat(known.first[word] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        keys = known.links[at] + np.repeat(doc << self.of.bits, length)
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        return numbers, keys[first], np.diff(np.append(first, len(keys)))
+
+
+@lru_cache(maxsize=2)
+def words(first: str, second: str, stripes: int) -> Words:
+    """One pair of tokenizers, and its words, per worker process."""
+    return Words(Sides(first, second, stripes))
 
 
 class PairCounts:
@@ -204,7 +286,8 @@ def encode_links(docs: DataFrame, first: str, second: str, id_col: str, text_col
     types = {"kind": pa.int8(), "chunk": pa.int64(), "idx": pa.int32(), "id": None, "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "stripe": pa.int32(), "docs": pa.binary(), "cells": pa.binary(), "times": pa.binary(), "pair_cells": pa.binary(), "pair_counts": pa.binary(), "n_cells": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, task, chunks = sides(first, second, stripes), TaskContext.get().partitionId(), 0
+        aligned, task, chunks = words(first, second, stripes), TaskContext.get().partitionId(), 0
+        of = aligned.of
         counts, names, texts, size, kind_of_id = PairCounts(of.bits), [], [], 0, None
 
         def table(kind: int, length: int, **columns: object) -> pa.RecordBatch:
@@ -215,7 +298,7 @@ def encode_links(docs: DataFrame, first: str, second: str, id_col: str, text_col
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal chunks, names, texts, size
             chunk, m = (task << 32) + chunks, len(texts)
-            numbers, keys, times = align_chunk(of, of.encode(texts))
+            numbers, keys, times = aligned.chunk(texts)
             yield table(_DOCUMENT, m, chunk=np.full(m, chunk, np.int64), idx=np.arange(m, dtype=np.int32), id=pa.array(names, kind_of_id), **numbers)
             stripe, doc, cell = keys >> of.bits + DOC_BITS, keys >> of.bits & CHUNK_DOCS - 1, keys & (1 << of.bits) - 1
             blocks = [(s, doc[i:j].astype("<u2").tobytes(), cell[i:j].astype("<u4").tobytes(), times[i:j].astype("<u4").tobytes()) for s, i, j in _runs(stripe)]
@@ -243,8 +326,6 @@ def encode_links(docs: DataFrame, first: str, second: str, id_col: str, text_col
         if names:
             yield from close()
         yield from passed_on()
-        of.a.forget()
-        of.b.forget()
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"kind byte, chunk long, idx int, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, stripe int, docs binary, cells binary, times binary, pair_cells binary, pair_counts binary, n_cells long"
@@ -374,7 +455,7 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, id_col: str = "do
     for path in (first, second):
         if not os.path.exists(path):
             raise FileNotFoundError(path)
-    of = sides(first, second, stripes)
+    of = words(first, second, stripes).of
     encoded = encode_links(docs, first, second, id_col, text_col, stripes)
     scores = score_links(encoded, count_pairs(encoded, of.cells, task_cells), of.cells, of.n_b, task_links)
     found = encoded.where(F.col("kind") == _DOCUMENT).select("chunk", "idx", "id", *_NUMBERS)

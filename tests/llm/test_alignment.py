@@ -83,7 +83,7 @@ def test_hard_texts_in_small_stripes_and_parts(spark, monkeypatch):
     want, counts, best = _brute(docs)
     for partitions, cells, links in ((1, 1 << 25, 1 << 24), (7, 40, 100)):
         _same(alignment.align_tokenizers(df.repartition(partitions), TOKENIZER, PIECES, stripes=50, task_cells=cells, task_links=links).collect(), want)
-    of = alignment.sides(TOKENIZER, PIECES, 50)
+    of = alignment.words(TOKENIZER, PIECES, 50).of
     table = alignment.pair_table(alignment.count_pairs(alignment.encode_links(df, TOKENIZER, PIECES, "doc_id", "text", 50), of.cells), of.n_b, 50).collect()
     assert {(r["a"], r["b"]): r["n_docs"] for r in table} == dict(counts)
     assert all(r["best"] == (r["n_docs"] == best[r["a"]]) for r in table)
