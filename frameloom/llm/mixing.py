@@ -133,6 +133,26 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     return out, shards
 
 
+def manifest(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(shard, slot, place, pass, key, id, size) of what the tree deals: a row for each draw of a row of plan_mix, slots from 0 in each shard.
+
+    Slots follow the local shuffle; only these narrow columns move. A shard holds about SHARD_WORDS words.
+    """
+    drawn = plan.select("key", F.col(id_col), "source", "size", "number", F.inline("draws"))
+    order = Window.partitionBy("shard").orderBy("place", "key", "number", "pass")
+    return drawn.withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
+
+
+def taken_words(plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """plan_mix with ``taken``: the words that shards hold of each row, added up from the manifest."""
+    same = Window.partitionBy("key", source_col).orderBy(F.xxhash64("draws"))  # rows of one id, text and source
+    numbered = materialize(plan.withColumn("number", F.row_number().over(same)), "plan")
+    dealt = manifest(numbered.withColumnRenamed(source_col, "source"), id_col)
+    held = dealt.groupBy("key", "source", "number").agg(F.sum("size").alias("taken"), F.count("*").alias("n_slots")).withColumnsRenamed({"key": "k", "source": "s", "number": "m"})
+    joined = numbered.join(held, (F.col("key") == F.col("k")) & F.col(source_col).eqNullSafe(F.col("s")) & (F.col("number") == F.col("m")), "left")
+    return joined.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("k", "s", "m", "number")
+
+
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 0, block_words: int = 65_536, max_blocks: int = 1 << 18) -> tuple[DataFrame, int]:
     """((row, draw) of each draw, number of shards); row: struct of all columns of docs, draw: struct<pass,shard,place>.
 

@@ -92,13 +92,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the splitting tree deals of each document: its words, counted once for each shard place it got.
+    """The words that the shards of the splitting tree hold of each document, added up over their slots.
 
     A null text has size 0, a null source is the last one, repeated rows are dealt one by one, no rows give none.
     """
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda total, draw: total + F.when(draw["shard"] >= 0, F.col("size")).otherwise(0))
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixing.taken_words(plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

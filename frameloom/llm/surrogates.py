@@ -1,7 +1,7 @@
 """PII surrogates: keyed, type-consistent replacements that keep format, script and gender.
 
 Detected entities are replaced by a keyed permutation of the strings of their own format: digits stay
-digits, letters stay letters of the same case and script (vowels vowels in names, whose last letter, the
+digits of their script, letters stay letters of the same case and script (vowels vowels in names, whose last letter, the
 carrier of gender, stays as it is), separators stay. Given names of the lists below become others of the same list,
 so of the same gender and script; an IBAN keeps its country and gets valid check digits; a secret keeps its
 form (hexadecimal, a known prefix). A permutation maps different entities of a format
@@ -19,7 +19,8 @@ de la) between them, which stay. Its words are replaced one by one, and so is ev
 of them in the same document that begins with a capital, so all mentions agree. Defined results: null stays
 null and has no entities, an empty text stays empty; the time for an entity is linear in its length beyond
 NUMBER_PLACES letters; of overlapping finds the earliest, then the longest, wins; null ids and
-repeated rows are kept; an empty table gives an empty table. Only the id and the text are read.
+repeated rows are kept; an empty table gives an empty table. Only the id and the text are read. Decimal digits of every
+script count as digits, so one number has surrogates of equal digits in each script.
 """
 
 from __future__ import annotations
@@ -124,9 +125,8 @@ def _mentions(text: str, names: list[str]) -> Iterator[tuple[int, int, str]]:
     if cased:
         yield from ((*m.span(), "name") for m in _ANY_WORD.finditer(text) if m[0].casefold() in cased)
     if len(cased) < len(words):  # scripts without case often have no spaces either
-        for w in words:
-            if not _cased(w):
-                yield from ((*m.span(), "name") for m in re.finditer(re.escape(w), text))
+        others = sorted((w for w in words if not _cased(w)), key=lambda w: (-len(w), w))
+        yield from ((*m.span(), "name") for m in re.finditer("|".join(map(re.escape, others)), text))
 
 
 @lru_cache(maxsize=100_000)
@@ -148,6 +148,11 @@ def _identity(kind: str, text: str) -> object:
     return tuple(map(int, text.split("."))) if kind == "ip" else text
 
 
+def _ascii_digit(ch: str) -> str:
+    """The ASCII digit of a decimal digit of any script; other characters stay."""
+    return ch if ch.isascii() or not ch.isdecimal() else chr(48 + unicodedata.decimal(ch))
+
+
 def luhn_digit(digits: str) -> int:
     """The check digit behind these digits."""
     total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
@@ -286,6 +291,17 @@ class Surrogates:
         return country + self._walked(check + account, step, lambda x: iban_check(country, x[2:]) != x[:2])
 
     def _of(self, kind: str, text: str) -> str:
+        """Digits of other scripts are replaced as those of ASCII would be, and stand in their own script again."""
+        plain = "".join(_ascii_digit(ch) for ch in text) if kind != "name" and not text.isascii() else text
+        new = self._plain(kind, plain)
+        if plain == text:
+            return new
+        zeros = [ord(ch) - unicodedata.decimal(ch) if ch != p else 0 for ch, p in zip(text, plain, strict=True)]
+        if kind == "ip":  # its octets may have other lengths
+            zeros = [next(filter(None, zeros))] * len(new)
+        return "".join(chr(zero + ord(ch) - 48) if zero and ch in _DIGITS else ch for zero, ch in zip(zeros, new, strict=True))
+
+    def _plain(self, kind: str, text: str) -> str:
         if kind == "email":
             user, _, domain = text.rpartition("@")
             *labels, top = domain.split(".")

@@ -1,0 +1,90 @@
+"""Surrogates of numbers in the digits of every script, and mixing counted from its slots."""
+
+import re
+import sys
+import unicodedata
+from collections import Counter
+
+import pytest
+
+from frameloom.llm import mixing, surrogates
+
+ZEROS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decimal(c, None) == 0]
+NUMBERS = {"card": ["4111 1111 1111 1111", "1234567890123456", "4111-1111-1111-1112"], "phone": ["+12 345 6789 012", "(555) 123-4567", "555-123-4567"], "ssn": ["123-45-6789"], "ip": ["10.0.0.1", "192.168.1.255"]}
+
+
+def _in(zero, text):
+    return "".join(chr(ord(zero) + int(ch)) if ch in "0123456789" else ch for ch in text)
+
+
+def _plain(text):
+    return "".join(str(unicodedata.decimal(ch)) if ch.isdecimal() else ch for ch in text)
+
+
+@pytest.mark.parametrize("zero", [z for z in ZEROS if unicodedata.name(z).split(" DIGIT")[0] in ("ARABIC-INDIC", "EXTENDED ARABIC-INDIC", "DEVANAGARI", "BENGALI", "THAI", "FULLWIDTH", "KHMER", "MATHEMATICAL BOLD")])
+def test_numbers_of_a_script_become_what_ascii_becomes(zero):
+    s = surrogates.Surrogates(b"key")
+    for kind, texts in NUMBERS.items():
+        for text in texts:
+            new = s.of(kind, _in(zero, text))
+            assert _plain(new) == s.of(kind, text) and new != _in(zero, text)
+            assert all(ch in ".-+() " or unicodedata.name(ch).split(" DIGIT")[0] == unicodedata.name(zero).split(" DIGIT")[0] for ch in new)
+
+
+def test_no_digits_of_any_script_end_the_run(spark):
+    texts = [f"رقم {_in(z, '1234567890123456')} and {_in(z, '+12 345 6789 012')} x@{_in(z, '12')}.com {_in(z, '10.1.2.3')}" for z in ZEROS]
+    texts += ["４１１１ 1111 １１１１ 1111", "card ٤1٣1-1111-1111-1111", "²³²³ ²³²³ ²³²³ ²³²³", "password = ٣٤٥٦٧٨", "DE٤٤ 5001 0517 5407 3249 31", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in surrogates.replace_pii(df, b"key").collect()}
+    assert len(got) == len(texts)
+    for i, z in enumerate(ZEROS):
+        for part in ("1234567890123456", "345 6789 012"):
+            assert _in(z, part) not in got[i]["text"], unicodedata.name(z)
+        assert "card" in {e["type"] for e in got[i]["entities"]}
+    assert got[len(ZEROS)]["text"] != texts[len(ZEROS)] and got[len(ZEROS) + 2]["n_entities"] == 0
+    assert got[len(texts) - 2]["text"] is None and got[len(texts) - 1]["text"] == ""
+
+
+def test_numbers_found_equal_a_slow_search():
+    """Cards and dashed numbers by walking over every start and length."""
+    texts = ["a 4111 1111 1111 1111 b", "x-4111111111111111", "12345678901234567890", "1 2 3 4 5 6 7 8 9 0 1 2 3", "no 123-45-6789, 123-45-67890 or 1-123-45-6789", _in("٠", "4111 1111 1111 1111") + "!"]
+    for text in texts:
+        cards = []
+        i = 0
+        while i < len(text):
+            best = None
+            for j in range(i + 13, len(text) + 1):
+                piece = text[i:j]
+                digits = [ch for ch in piece if ch.isdecimal()]
+                ok = piece[0].isdecimal() and piece[-1].isdecimal() and all(ch.isdecimal() or ch in " -" for ch in piece) and not re.search("[ -]{2}", piece) and 13 <= len(digits) <= 19
+                alone = not (i and (text[i - 1].isalnum() or text[i - 1] in "_-")) and not (j < len(text) and (text[j].isalnum() or text[j] in "_-"))
+                best = (i, j) if ok and alone else best
+            if best:
+                cards.append(best)
+                i = best[1]
+            else:
+                i += 1
+        assert [(a, b) for a, b, kind in surrogates.find_entities(text) if kind == "card"] == cards, text
+
+
+def test_mentions_in_scripts_without_case_take_one_pass():
+    text = "Dr. 王小明 met Dr. 王小 and 王小明。王小!" + "王 小" * 3
+    found = [text[a:b] for a, b, kind in surrogates.find_entities(text) if kind == "name"]
+    assert found[:4] == ["王小明", "王小", "王小明", "王小"] and len(found) == 4
+
+
+def test_taken_words_are_those_of_the_slots(spark):
+    rows = [(i % 37, f"w{i % 11} " * (i % 9), ["a", "b", None][i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_shards = []
+    for shards in (1, 3, 7):
+        plan = mixing.plan_mix(df, shards=shards, block_words=20)
+        slots = mixing.manifest(plan.withColumn("number", plan["size"])).collect()
+        for s in range(shards):
+            own = sorted(r["slot"] for r in slots if r["shard"] == s)
+            assert own == list(range(len(own)))
+        taken = mixing.taken_words(plan).collect()
+        assert len(taken) == 200 and sum(r["taken"] for r in taken) == sum(r["size"] for r in slots)
+        assert all(r["taken"] == r["size"] * len(r["draws"]) for r in taken)
+        by_shards.append((Counter((r["doc_id"], r["taken"]) for r in taken), Counter(r["shard"] for r in slots)))
+    assert by_shards[0][0] == by_shards[1][0] == by_shards[2][0] and len({str(sorted(c.items())) for _, c in by_shards}) == 3
