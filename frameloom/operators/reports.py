@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +14,6 @@ def top_n(scenes: DataFrame, key: Column, tie: str, n: int = 3, descending: bool
     return best.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def reports(scenes: DataFrame, scene: str, specs: list[tuple[str, Column, bool, Column | None]], tie: str, n: int = 3) -> DataFrame:
-    """(category, rank, scene, value) of many top-n reports; a spec: (category, key, descending, filter)."""
-    one = lambda name, key, down, keep: top_n(scenes if keep is None else scenes.where(keep), key, tie, n, down).select(F.lit(name).alias("category"), "rank", scene, "value")
-    return reduce(DataFrame.unionByName, [one(*s) for s in specs])
-
-
 def ranked(scenes: DataFrame, scene: str, specs: list[tuple[str, Column, bool, Column]], n: int, digits: int = 6) -> DataFrame:
     """(category, rank, scene, value) of many top-n reports in one pass; a spec: (category, value, descending, condition).
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed_hash, keyed_int
 from .ordering import numbered
+from .packing import pack
+
+__all__ = ["clamped_clips", "pack", "strided_clips", "stride_limit", "train_val_split", "weighted_choice"]
 
 
 def strided_clips(scenes: DataFrame, scene: str, n: str, length: int, low: int, high: int, seed: int = 0) -> DataFrame:
@@ -54,30 +54,6 @@ def weighted_choice(weights: list[float], *key: Column | str) -> Column:
     return out
 
 
-def pack(items: DataFrame, by: str, order: list[str], size: str, limit: int) -> DataFrame:
-    """Adds ``shard``: in order, a new shard begins when a nonempty one would pass the limit; an item above the limit stands alone.
-
-    The reset makes it a fold, not a running sum: rows stream through sorted partitions, so a group is never held in memory.
-    """
-    columns = items.columns
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, shard, held = object(), 0, 0
-        for rows in batches:
-            out = []
-            for key, n in zip(rows[by], rows[size], strict=True):
-                if key != group:
-                    group, shard, held = key, 0, 0
-                if held > 0 and held + n > limit:
-                    shard, held = shard + 1, 0
-                held += n
-                out.append(shard)
-            yield rows.assign(shard=pd.Series(out, index=rows.index, dtype="int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return items.repartition(by).sortWithinPartitions(by, *order).mapInPandas(fold, f"{schema}, shard long").select(*columns, "shard")
-
-
 def stride_limit(shortest: Column, length: int, high: int) -> Column:
     """The largest stride that still fits a clip into the shortest scene."""
     return F.least(F.lit(high).cast("long"), F.floor((shortest - 1) / (length - 1)))

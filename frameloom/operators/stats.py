@@ -42,10 +42,10 @@ def index_quartiles(values: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.groupBy(by).agg(pick(1).alias("p25"), pick(2).alias("median"), pick(3).alias("p75"))
 
 
-def index_cuts(values: DataFrame, value: str) -> DataFrame:
-    """One row (p25, median, p75) of all values, picked by index without interpolation and without a global window."""
+def index_cuts(values: DataFrame, value: str, tie: str) -> DataFrame:
+    """One row (p25, median, p75) of all values, picked by index without interpolation and without a global window; ``tie`` tells rows of equal values apart."""
     n = values.agg(F.count("*").alias("n"))  # one row
-    ranked = numbered(values.select(value), [value], "place").crossJoin(F.broadcast(n))
+    ranked = numbered(values.select(value, tie), [value, tie], "place").crossJoin(F.broadcast(n))
     pick = lambda k: F.max(F.when(F.col("place") - 1 == F.floor(F.col("n") * k / 4), F.col(value)))
     return ranked.agg(pick(1).alias("p25"), pick(2).alias("median"), pick(3).alias("p75"))
 

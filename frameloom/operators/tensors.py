@@ -67,26 +67,6 @@ def median_filter(a: np.ndarray, k: int = 5) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(p, (k, k)), axis=(2, 3))
 
 
-def poisson_blend(source: np.ndarray, target: np.ndarray, mask: np.ndarray, steps: int = 2000, tolerance: float = 1e-9) -> np.ndarray:
-    """The target with the source's gradients inside the mask: Gauss-Seidel on red and black pixels; the border stays the target's."""
-    inside = mask.copy()
-    inside[0] = inside[-1] = inside[:, 0] = inside[:, -1] = False
-    out = np.where(inside, source, target).astype(float)
-    lap = np.zeros_like(out)
-    lap[1:-1, 1:-1] = 4 * source[1:-1, 1:-1] - source[:-2, 1:-1] - source[2:, 1:-1] - source[1:-1, :-2] - source[1:-1, 2:]
-    colour = np.indices(out.shape).sum(axis=0) % 2
-    for _ in range(steps):
-        before = out.copy()
-        for c in (0, 1):
-            near = np.zeros_like(out)
-            near[1:-1, 1:-1] = out[:-2, 1:-1] + out[2:, 1:-1] + out[1:-1, :-2] + out[1:-1, 2:]
-            at = inside & (colour == c)
-            out[at] = ((near + lap) / 4)[at]
-        if np.abs(out - before).max() < tolerance:
-            break
-    return out
-
-
 def plane_normals(depth: np.ndarray, f: float, k: int = 3, gamma: float = 0.05) -> np.ndarray:
     """(h, w, 3) unit normals: the least-variance direction of each k x k neighbourhood of similar depth, towards the camera."""
     h, w = depth.shape

@@ -82,16 +82,6 @@ def median_filter(spark, sf_dir):
     return _mapped(spark, sf_dir, tensors.median_filter)
 
 
-@query()
-def poisson_blend(spark, sf_dir):
-    """A mirrored raster blended in by gradients."""
-    def blend(a):
-        mask = a > 0.15
-        return tensors.poisson_blend(a[::-1], a, mask)
-
-    return _mapped(spark, sf_dir, blend)
-
-
 @query()
 def plane_normals(spark, sf_dir):
     """Normals from local planes."""

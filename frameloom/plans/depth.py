@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions.depth import power_curve
+from ..operators.quantiles import exact_quantiles
 from ..sources.views import frames, pixels, table, with_views
 from .registry import query, rounded
 
@@ -23,7 +24,7 @@ def depth_norm_percentile(spark, sf_dir):
     """Percentile normalisation with near and far planes, power curve and flipped sign."""
     f = frames(spark, sf_dir).select("scene", "frame_idx", "depth")
     inside = (F.col("depth") > _NEAR + 1e-6) & (F.col("depth") < _FAR - 1e-6)
-    q = f.where(inside).groupBy("scene").agg(F.percentile(power_curve(F.col("depth"), _K), F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    q = exact_quantiles(f.where(inside), ["scene"], power_curve(F.col("depth"), _K), [0.02, 0.98])
     n = fn.normalise_percentile(F.col("depth"), F.col("q")[0], F.col("q")[1], _NEAR, _FAR, _K, flip=True)
     return rounded(f.join(q, "scene", "left").select("scene", "frame_idx", n.alias("n")))
 
@@ -39,7 +40,7 @@ SELECT scene, frame, y, x, round(greatest(-1.0, least(1.0, (v - lo) / (hi - lo)
 def depth_norm_quantile(spark, sf_dir):
     """Quantile normalisation of each frame, clipped."""
     p = pixels(spark, sf_dir)
-    q = p.groupBy("scene", "frame").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    q = exact_quantiles(p, ["scene", "frame"], F.col("v"), [0.02, 0.98])
     return rounded(p.join(q, ["scene", "frame"]).select("scene", "frame", "y", "x", fn.quantile_normalise(F.col("v"), F.col("q")[0], F.col("q")[1]).alias("n")))
 
 
@@ -54,11 +55,8 @@ def norm_type_switch(spark, sf_dir):
     """
     f = frames(spark, sf_dir).select("scene", "frame_idx", "depth")
     disparity = F.when(F.col("depth") > 0, 1 / F.col("depth"))
-    ends = F.array(F.lit(0.02), F.lit(0.98))
-    q = f.groupBy("scene").agg(
-        F.percentile("depth", ends).alias("q"), F.percentile(disparity, ends).alias("d"),
-        F.min("depth").alias("lo"), F.max("depth").alias("hi"), F.min(disparity).alias("dlo"), F.max(disparity).alias("dhi"),
-    )
+    ends = lambda value, name, low, high: exact_quantiles(f, ["scene"], value, [0, 0.02, 0.98, 1]).select("scene", F.slice("q", 2, 2).alias(name), F.get("q", F.lit(0)).alias(low), F.get("q", F.lit(3)).alias(high))
+    q = ends(F.col("depth"), "q", "lo", "hi").join(ends(disparity, "d", "dlo", "dhi"), "scene")
     scaled = lambda x, lo, hi: (x - lo) / (hi - lo + 1e-5)
     forms = {
         "instnorm": scaled(F.col("depth"), F.col("lo"), F.col("hi")), "truncnorm": scaled(F.col("depth"), F.col("q")[0], F.col("q")[1]), "perscene_norm": F.col("depth") / 500.0,

@@ -169,12 +169,14 @@ def value_normalisers(spark, sf_dir):
     return rounded(table(spark, sf_dir, "part").select("p_partkey", rgb_normalise(x).alias("rgb"), denormalise(n, F.lit(5.0), F.lit(250.0)).alias("back")))
 
 
-@query("""WITH b AS (SELECT i, 0.00085 + i * (0.012 - 0.00085) / 999 AS beta FROM (SELECT unnest(range(1000)) AS i)) SELECT i AS step, round(exp(sum(ln(1 - beta)) OVER (ORDER BY i)), 9) AS alpha_bar FROM b""")
+@query("""WITH b AS (SELECT i, 0.00085 + i * (0.012 - 0.00085) / 999 AS beta FROM (SELECT unnest(range(1000)) AS i)), a AS (SELECT i AS step, round(exp(sum(ln(1 - beta)) OVER (ORDER BY i)), 9) AS alpha_bar FROM b)
+SELECT event_id, event_id % 1000 AS step, alpha_bar FROM events JOIN a ON step = event_id % 1000""")
 def noise_schedule(spark, sf_dir):
-    """The cumulative product of a linear schedule, as a running sum of logarithms."""
+    """Each event's level in a linear schedule of a thousand steps: cumulative products, as running sums of logarithms."""
     beta = 0.00085 + F.col("id") * (0.012 - 0.00085) / 999
     order = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(F.exp(F.sum(F.ln(1 - beta)).over(order)), 9).alias("alpha_bar"))
+    levels = spark.range(1000).select(F.col("id").alias("step"), F.round(F.exp(F.sum(F.ln(1 - beta)).over(order)), 9).alias("alpha_bar"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("step")).join(F.broadcast(levels), "step")  # a thousand rows
 
 
 @query(f"""{with_views("frames")} SELECT event_type, CAST(round(avg(depth), 6) AS DOUBLE) AS mean, count(*) AS n FROM frames GROUP BY ROLLUP (event_type)""")

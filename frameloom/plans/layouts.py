@@ -54,12 +54,12 @@ def layout_dated_drive(spark, sf_dir):
     return p.select("p_partkey", layouts.drive_date(F.col("path")).alias("date"), layouts.dated_drive(F.col("path")).alias("rgb"))
 
 
-@query("""WITH c AS (SELECT p_size AS s, p_partkey AS id FROM part WHERE p_partkey % 3 <> 0), d AS (SELECT p_size AS s, p_partkey AS id FROM part WHERE p_partkey % 4 <> 0)
+@query("""WITH c AS (SELECT c_nationkey AS s, c_custkey AS id FROM customer), d AS (SELECT s_nationkey AS s, s_suppkey AS id FROM supplier)
 SELECT 'scene' || c.s AS scene, c.id AS id, 'scene' || c.s || '/color/' || c.id || '.jpg' AS color, 'scene' || d.s || '/depth/' || d.id || '.png' AS depth FROM c JOIN d ON c.s = d.s AND c.id = d.id""")
 def layout_paired_folders(spark, sf_dir):
     """Colour and depth files of a scene with equal numbers."""
-    color = _paths(spark, sf_dir, "'scene' || p_size || '/color/' || p_partkey || '.jpg'").where("p_partkey % 3 <> 0")
-    depth = _paths(spark, sf_dir, "'scene' || p_size || '/depth/' || p_partkey || '.png'").where("p_partkey % 4 <> 0")
+    color = table(spark, sf_dir, "customer").selectExpr("'scene' || c_nationkey || '/color/' || c_custkey || '.jpg' AS path")
+    depth = table(spark, sf_dir, "supplier").selectExpr("'scene' || s_nationkey || '/depth/' || s_suppkey || '.png' AS path")
     return layouts.paired_folders(color.unionByName(depth), "color", "depth")
 
 

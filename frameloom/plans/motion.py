@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports, stats
+from ..sources.scratch import written
 from ..sources.views import frames, with_views
 from .registry import query, rounded
 from .stats import six_sql
@@ -12,15 +13,15 @@ from .stats import six_sql
 _POS, _ROT = ("x", "y", "z"), ("pitch", "yaw", "roll")
 #: A camera's place and rotation, put together from a frame's columns.
 _CAMERA = {"pos_x": "k", "pos_y": "depth / 10", "pos_z": "k * depth / 100", "rot_pitch": "k % 7", "rot_yaw": "depth % 90", "rot_roll": "CAST(event_id % 5 AS DOUBLE)"}
-_CAMERA_SQL = f"""cams AS (SELECT scene, frame_idx, {", ".join(f"{x} AS {n}" for n, x in _CAMERA.items())} FROM frames WHERE NOT err AND scene % 11 <> 0 OR frame_idx = 0),
+_CAMERA_SQL = f"""cams AS (SELECT scene, frame_idx, {", ".join(f"{x} AS {n}" for n, x in _CAMERA.items())} FROM frames WHERE NOT err OR frame_idx = 0),
 moved AS (SELECT *, {", ".join(f"{n} - lag({n}) OVER w AS d_{n}" for n in _CAMERA)} FROM cams WINDOW w AS (PARTITION BY scene ORDER BY frame_idx)),
 steps AS (SELECT *, sqrt(d_pos_x * d_pos_x + d_pos_y * d_pos_y + d_pos_z * d_pos_z) AS d_pos FROM moved),
 motion AS (SELECT scene, count(*) AS num_valid_cameras, {", ".join(six_sql(n, n) for n in _CAMERA)}, {six_sql("delta_pos", "d_pos")}, round(sum(d_pos), 6) AS delta_pos_total, {", ".join(six_sql(f"delta_rot_{r}", f"abs(d_rot_{r})") for r in _ROT)} FROM steps GROUP BY scene)"""
 
 
 def cameras(spark, sf_dir):
-    """A camera per frame; one scene in eleven has a single one."""
-    f = frames(spark, sf_dir).where("NOT err AND scene % 11 <> 0 OR frame_idx = 0")
+    """A camera per frame without an error, and for the first of each scene."""
+    f = frames(spark, sf_dir).where("NOT err OR frame_idx = 0")
     return f.select("scene", "frame_idx", *[F.expr(x).alias(n) for n, x in _CAMERA.items()])
 
 
@@ -90,13 +91,13 @@ _DEPTH_REPORTS = [
 
 @query(f"""{with_views("frames")}, {_CAMERA_SQL}, {_DEPTH_SQL} {_union_sql(_DEPTH_REPORTS, "banded")}""")
 def depth_motion_reports(spark, sf_dir):
-    """Fifteen top-3 reports on depth and its change, with and without the camera's motion, in one pass over a row per scene."""
+    """Fifteen top-3 reports on depth and its change, with and without the camera's motion, in one pass over a written row per scene."""
     f = frames(spark, sf_dir).select("scene", "depth", F.floor(F.col("frame_idx") / 4).alias("frame"), *[F.expr(x).alias(n) for n, x in _PLANES.items()])
     per_frame = f.groupBy("scene", "frame").agg(F.min("depth").alias("f_min"), F.max("depth").alias("f_max"), F.avg("depth").alias("f_mean"), *[F.avg(n).alias(n) for n in _PLANES])
     over = per_frame.groupBy("scene").agg(*[s for k in ("min", "max", "mean") for s in stats.six_stats(f"depth_frame_{k}", F.col(f"f_{k}"))], *[F.stddev_pop(n).alias(f"{n}_std") for n in _PLANES])
     pooled = f.groupBy("scene").agg(*stats.six_stats("depth_scene", F.col("depth")))
     moved = stats.camera_stats(cameras(spark, sf_dir), "scene", "frame_idx", [f"pos_{a}" for a in _POS], [f"rot_{a}" for a in _ROT]).select("scene", "delta_pos_total")
-    wide = rounded(pooled.join(over, "scene").join(moved, "scene")).withColumns({"cam": F.coalesce("delta_pos_total", F.lit(0.0)), "normal_var": F.col("nx_std") + F.col("ny_std") + F.col("nz_std")})
-    cut = stats.index_cuts(wide.select("cam"), "cam").select("p25", "p75")
+    wide = written(rounded(pooled.join(over, "scene").join(moved, "scene")), "wide").withColumns({"cam": F.coalesce("delta_pos_total", F.lit(0.0)), "normal_var": F.col("nx_std") + F.col("ny_std") + F.col("nz_std")})
+    cut = stats.index_cuts(wide.select("cam", "scene"), "cam", "scene").select("p25", "p75")
     banded = wide.crossJoin(F.broadcast(cut)).withColumns({"low": F.expr("cam <= p25"), "high": F.expr("cam >= p75")})  # one row
     return reports.ranked(banded, "scene", [(name, F.expr(value), down, F.expr(keep)) for name, value, keep, down in _DEPTH_REPORTS], 3)

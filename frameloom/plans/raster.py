@@ -140,13 +140,26 @@ def temporal_blend(spark, sf_dir):
     return rounded(align.blend(t, ["scene", "frame_idx"], "v", "g"))
 
 
-@query()
+_STITCH = f"""{with_views("frames").replace("WITH ", "WITH RECURSIVE ", 1)}, l AS (SELECT scene, count(*) AS n FROM frames GROUP BY scene), m AS (SELECT *, CAST(ceil(greatest(n - 21, 0) / 16.0) AS BIGINT) AS m FROM l), i AS (SELECT *, unnest(range(m + 1)) AS i FROM m),
+w AS (SELECT scene, n, i, CASE WHEN i < m THEN i * 16 ELSE greatest(0, n - 21) END AS s, CASE WHEN i < m THEN i * 16 + 21 ELSE n END AS e FROM i),
+v AS (SELECT w.scene, w.i, any_value(s) AS s, any_value(e) AS e, list(f.depth * (1 + w.i * 0.05::DOUBLE) + w.i ORDER BY frame_idx) AS vs FROM frames f JOIN w ON f.scene = w.scene AND frame_idx >= s AND frame_idx < e GROUP BY w.scene, w.i),
+c(scene, i, s, e, al) AS (SELECT scene, i, s, e, vs FROM v WHERE i = 0 UNION ALL
+SELECT scene, i, s, e, list_concat(list_transform(range(o), lambda k: (1 - k / greatest(o - 1, 1)::DOUBLE) * ref[k + 1] + k / greatest(o - 1, 1)::DOUBLE * al[k + 1]), al[o + 1:]) FROM (
+SELECT scene, i, s, e, o, ref, list_transform(vs, lambda x: greatest(x * scale + shift, 0)) AS al FROM (
+SELECT *, greatest(0.7, least(1.5, CASE WHEN det <> 0 THEN (o * sxy - sx * sy) / det ELSE 1.0 END)) AS scale, CASE WHEN det <> 0 THEN (sxx * sy - sx * sxy) / det ELSE 0.0 END AS shift FROM (
+SELECT *, sxx * o - sx * sx AS det FROM (
+SELECT *, list_sum(cur) AS sx, list_sum(ref) AS sy, list_sum(list_transform(cur, lambda x: x * x)) AS sxx, list_sum(list_transform(range(o), lambda k: cur[k + 1] * ref[k + 1])) AS sxy FROM (
+SELECT v.scene, v.i, v.s, v.e, v.vs, c.e - v.s AS o, c.al[len(c.al) - (c.e - v.s) + 1:] AS ref, v.vs[1:c.e - v.s] AS cur FROM c JOIN v ON v.scene = c.scene AND v.i = c.i + 1))))))
+SELECT scene, s + k AS pos, round(al[k + 1], 4) AS value FROM (SELECT *, unnest(range(coalesce(nxt, e) - s)) AS k FROM (SELECT *, lead(s) OVER (PARTITION BY scene ORDER BY i) AS nxt FROM c))"""
+
+
+@query(_STITCH)
 def window_stitch(spark, sf_dir):
-    """Windows aligned to the canvas stitched so far and cross-faded, a sequential fold per scene; tested against a plain loop."""
-    f = frames(spark, sf_dir).groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "depth"))).alias("fs"), F.count("*").alias("n"))
-    w = f.select("scene", "fs", F.posexplode(windows.windows(F.col("n"), 21, 5)).alias("i", "w"))
-    values = F.transform(F.slice("fs", F.col("w.start").cast("int") + 1, (F.col("w.end") - F.col("w.start")).cast("int")), lambda x: x["depth"] * (1 + F.col("i") * 0.05) + F.col("i"))
-    return rounded(align.stitch(w.select("scene", F.col("w.start").alias("start"), F.col("w.end").alias("end"), values.alias("values")), "scene"))
+    """Windows aligned to the canvas stitched so far and cross-faded: a scene streams, and its values are final once no later window covers them."""
+    f = frames(spark, sf_dir).select("scene", "frame_idx", "depth").withColumn("n", F.count("*").over(Window.partitionBy("scene")))
+    w = f.select("*", F.inline(windows.windows_at(F.col("frame_idx"), F.col("n"), 21, 5)))
+    values = w.select("scene", "start", "end", F.col("frame_idx").alias("pos"), (F.col("depth") * (1 + F.col("i") * 0.05) + F.col("i")).alias("value"))
+    return rounded(align.stitch(values, "scene"), 4)
 
 
 @query(f"""{_FIT} SELECT scene, round(avg(abs(pred * scale + shift - gt)), 6) AS mae, count(*) AS n FROM pairs JOIN f USING (scene) WHERE valid GROUP BY scene""")

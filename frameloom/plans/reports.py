@@ -52,22 +52,22 @@ _REPORTS = [("narrowest", "coalesce(depth_range, 0)", False), ("deepest", "coale
 
 
 def _specs():
-    return [(name, F.expr(key).cast("double"), down, None) for name, key, down in _REPORTS]
+    return [(name, F.expr(key), down, F.lit(True)) for name, key, down in _REPORTS]
 
 
-_TOP = " UNION ALL ".join(f"(SELECT '{name}' AS category, row_number() OVER (ORDER BY {key} {'DESC' if down else 'ASC'}, scene) AS rank, scene, CAST({key} AS DOUBLE) AS value FROM scenes WHERE NOT skipped QUALIFY rank <= {{n}})" for name, key, down in _REPORTS)
+_TOP = " UNION ALL ".join(f"(SELECT '{name}' AS category, row_number() OVER (ORDER BY round({key}, 6) {'DESC' if down else 'ASC'}, scene) AS rank, scene, round(CAST({key} AS DOUBLE), 6) AS value FROM scenes WHERE NOT skipped QUALIFY rank <= {{n}})" for name, key, down in _REPORTS)
 
 
 @query(f"{_SCENES} {_TOP.format(n=3)}")
 def topk_report_union(spark, sf_dir):
-    """Seven top-3 reports in one table; missing statistics count as 0."""
-    return reports.reports(scenes(spark, sf_dir).where("NOT skipped"), "scene", _specs(), "scene")
+    """Seven top-3 reports in one table, in one pass; missing statistics count as 0."""
+    return reports.ranked(scenes(spark, sf_dir).where("NOT skipped"), "scene", _specs(), 3)
 
 
 @query(f"{_SCENES} {_TOP.format(n=1)}")
 def summary_top1(spark, sf_dir):
     """The winner of each report."""
-    return reports.reports(scenes(spark, sf_dir).where("NOT skipped"), "scene", _specs(), "scene", 1)
+    return reports.ranked(scenes(spark, sf_dir).where("NOT skipped"), "scene", _specs(), 1)
 
 
 _AXES = ["click_range", "view_range", "purchase_range", "signup_range"]
@@ -99,5 +99,5 @@ SELECT scene, motion, CASE WHEN motion <= p25 THEN 'low' WHEN motion >= p75 THEN
 def motion_bands(spark, sf_dir):
     """Scenes of low and high motion, by index-picked quartiles."""
     moving = scenes(spark, sf_dir).where("motion IS NOT NULL").select("scene", "motion")
-    cut = stats.index_cuts(moving, "motion").select("p25", "p75")
+    cut = stats.index_cuts(moving, "motion", "scene").select("p25", "p75")
     return moving.crossJoin(F.broadcast(cut)).select("scene", "motion", F.when(F.col("motion") <= F.col("p25"), "low").when(F.col("motion") >= F.col("p75"), "high").otherwise("mid").alias("band"))  # one row of quartiles

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import sampling, tensors
-from ..sources import codecs, images, listing, sinks, tar
-from ..sources.scratch import scratch
+from ..sources import codecs, images, listing, sinks, tar, tar_source
+from ..sources.scratch import release, scratch, written
 from ..sources.views import rasters, table
 from .codecs import _VALUES, _sql, _through
 from .registry import query, rounded
@@ -216,14 +216,41 @@ _MEMBERS = "SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS member_name, CAST(st
 def tar_member_access(spark, sf_dir):
     """Members of tar shards, read by place and size from the index."""
     _, index = _shards(spark, sf_dir)
-    return tar.read_members(index).select("member_name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+    return _digests(tar.read_members(index))
+
+
+def _digests(members):
+    return members.select("member_name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@query(_MEMBERS)
+def tar_shard_ranges(spark, sf_dir):
+    """Whole tar shards in ranges of 64 KB, each beginning at the last header that the index knows before it."""
+    path, _ = _shards(spark, sf_dir)
+    return _digests(tar_source.register(spark).read.format("tarshards").option("splitBytes", 1 << 16).option("batchBytes", 1 << 18).option("index", f"{path}/index").load(path))
 
 
 @query(_MEMBERS)
 def tar_shard_stream(spark, sf_dir):
-    """Whole tar shards as a stream: each file's members, once."""
+    """Whole tar shards as a stream: each file's members, once, in ranges of bytes."""
     path, _ = _shards(spark, sf_dir)
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.tar").option("maxFilesPerTrigger", 64).load(path)
-    members = tar.expand(stream).select("member_name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+    members = _digests(tar_source.register(spark).readStream.format("tarshards").load(path))
     members.writeStream.format("parquet").option("path", f"{path}/members").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(members.schema).parquet(f"{path}/members")
+
+
+@query(f"WITH {_CLIP.format(by='label', top=255)} SELECT vec_id, round(list_sum(ps), 6) AS total, round(ps[9], 6) AS second_row, round(list_max(ps), 6) AS top FROM q")
+def tar_image_access(spark, sf_dir):
+    """PNG images of each clip packed into tar shards of at most 20,000 bytes, read from there and decoded."""
+    out = scratch(spark, "images")
+    clips = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    pngs = codecs.encoded(_normalised(spark, sf_dir, True), "png8", 8, 8).select("vec_id", "content").join(clips, "vec_id")
+    pngs = written(pngs.withColumn("bytes", F.octet_length("content").cast("long")), "png")
+    packed = sampling.pack(pngs, "label", ["vec_id"], "bytes", 20_000)
+    items = packed.select(F.concat_ws("-", F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lpad(F.col("shard").cast("string"), 6, "0")).alias("shard"), F.concat(F.lpad(F.col("vec_id").cast("string"), 12, "0"), F.lit(".png")).alias("member"), "content")
+    tar.write_shards(items, out).write.parquet(f"{out}/index")
+    release(pngs)
+    read = tar_source.register(spark).read.format("tarshards").load(out)
+    files = read.select(F.regexp_extract("member_name", "^0*([0-9]+)", 1).cast("long").alias("vec_id"), "content")
+    back = codecs.decoded(files, "png8")
+    return rounded(back.select("vec_id", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at("values", 9).alias("second_row"), F.array_max("values").alias("top")))

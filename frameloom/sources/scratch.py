@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -15,6 +15,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(base or 'file:///tmp/checkpoints/frameloom').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: df as a table in the shared folder, read again; ``release`` deletes it."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; other tables stay."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path in it) of a uri such as file:///x or hdfs://host/x."""
     from pyarrow import fs

@@ -1,4 +1,4 @@
-"""Tar shards: an atomic writer that gives an index, reads of members by place and size, and expansion of whole shards.
+"""Tar shards: an atomic writer that gives an index, and reads of members by place and size (``tar_source`` reads whole shards).
 
 Members of a shard are written in name order by one task, streaming, so a shard may be of any size. The index is
 (shard_path, member_name, offset, size), offset being where the member's content begins.
@@ -6,7 +6,6 @@ Members of a shard are written in name order by one task, streaming, so a shard
 
 from __future__ import annotations
 
-import io
 import os
 import tarfile
 import uuid
@@ -61,48 +60,56 @@ def write_shards(items: DataFrame, path: str) -> DataFrame:
     return dealt.mapInArrow(write, "shard_path string, member_name string, offset long, size long")
 
 
-def read_members(index: DataFrame) -> DataFrame:
+#: Contents of a batch of rows: at most so many bytes, or one member.
+BATCH_BYTES = 16 << 20
+_MEMBER = "member_name string, content binary"
+
+
+class _Batches:
+    """Rows (name, content), handed on whenever they hold so many bytes."""
+
+    def __init__(self, batch_bytes: int):
+        self.batch_bytes, self.names, self.contents, self.size = batch_bytes, [], [], 0
+
+    def add(self, name: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        if self.names and self.size + len(content) > self.batch_bytes:
+            yield from self.rest()
+        self.names.append(name)
+        self.contents.append(content)
+        self.size += len(content)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.names:
+            yield pa.RecordBatch.from_arrays([pa.array(self.names, pa.string()), pa.array(self.contents, pa.binary())], ["member_name", "content"])
+        self.names, self.contents, self.size = [], [], 0
+
+
+def read_members(index: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(member_name, content) of the rows of an index, by random access; a shard is opened once for rows that stand together."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = file = None
+        shard, file, out = None, None, _Batches(batch_bytes)
         for batch in batches:
-            out = []
-            for path, offset, size in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
-                if path != name:
+            for path, name, offset, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if path != shard:
                     system, place = filesystem(path)
-                    name, file = path, system.open_input_file(place)
+                    shard, file = path, system.open_input_file(place)
                 file.seek(offset)
-                out.append(file.read(size))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["member_name", "content"])
+                yield from out.add(name, file.read(size))
+        yield from out.rest()
 
     rows = index.select("shard_path", "member_name", "offset", "size").sortWithinPartitions("shard_path", "offset")
-    return rows.mapInArrow(read, "member_name string, content binary")
-
-
-def expand(files: DataFrame) -> DataFrame:
-    """(member_name, content) of all members of rows with binary ``content``, batch or stream."""
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                with tarfile.open(fileobj=io.BytesIO(raw.as_py())) as tar:
-                    for member in tar:
-                        if member.isfile():
-                            yield pa.RecordBatch.from_arrays([pa.array([member.name]), pa.array([tar.extractfile(member).read()], pa.binary())], ["member_name", "content"])
-
-    return files.select("content").mapInArrow(members, "member_name string, content binary")
+    return rows.mapInArrow(read, _MEMBER)
 
 
-def read_cached(index: DataFrame, cache_bytes: int = 256 << 20) -> DataFrame:
+def read_cached(index: DataFrame, cache_bytes: int = 256 << 20, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """As read_members, in the order of the rows: each task keeps the shards used last whole, up to cache_bytes together; larger ones are read by place."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[str, bytes] = OrderedDict()
-        total = 0
+        total, out = 0, _Batches(batch_bytes)
         for batch in batches:
-            out = []
-            for path, offset, size in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+            for path, name, offset, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if path in held:
                     held.move_to_end(path)
                 else:
@@ -110,13 +117,13 @@ def read_cached(index: DataFrame, cache_bytes: int = 256 << 20) -> DataFrame:
                     with system.open_input_file(place) as file:
                         if file.size() > cache_bytes:
                             file.seek(offset)
-                            out.append(file.read(size))
+                            yield from out.add(name, file.read(size))
                             continue
                         held[path] = file.read()
                     total += len(held[path])
                     while total > cache_bytes:
                         total -= len(held.popitem(last=False)[1])
-                out.append(held[path][offset : offset + size])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["member_name", "content"])
+                yield from out.add(name, held[path][offset : offset + size])
+        yield from out.rest()
 
-    return index.select("shard_path", "member_name", "offset", "size").mapInArrow(read, "member_name string, content binary")
+    return index.select("shard_path", "member_name", "offset", "size").mapInArrow(read, _MEMBER)

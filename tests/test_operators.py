@@ -184,3 +184,37 @@ def test_curves_equal_a_search(spark, name):
     at = [-0.5, 0.0, 1e-9, 0.1, 0.5, xs[500], 0.999, 1.0, 1.5]
     got = [r["y"] for r in spark.createDataFrame([(x,) for x in at], "x double").select(fn.lut(F.col("x"), xs, ys).alias("y")).collect()]
     assert got == pytest.approx(list(np.interp(at, xs, ys)), abs=1e-9)
+
+
+def test_stitching_streams_and_keeps_two_windows():
+    rng = np.random.default_rng(2)
+    stitcher, canvas, got, held = align.Stitcher(), np.empty(0), {}, 0
+    for i in range(400):
+        start, values = i * 16, rng.random(21) + i % 3
+        if i:
+            ref, cur = canvas[-5:], values[:5]
+            a, b = np.linalg.lstsq(np.stack([cur, np.ones(5)], 1), ref, rcond=None)[0]
+            aligned, t = np.maximum(values * np.clip(a, 0.7, 1.5) + b, 0), np.linspace(0, 1, 5)
+            canvas = np.concatenate([canvas[:-5], (1 - t) * ref + t * aligned[:5], aligned[5:]])
+        else:
+            canvas = values
+        first, final = stitcher.add(start, start + 21, values)
+        got.update(enumerate(final, first))
+        held = max(held, len(stitcher.tail))
+    got.update(enumerate(stitcher.rest()[1], stitcher.done - 21))
+    assert held == 21 and sorted(got) == list(range(len(canvas))) and max(abs(got[i] - v) for i, v in enumerate(canvas)) < 1e-6
+
+
+def test_stitching_of_gaps_scales_and_disorder(spark):
+    rows = [("a", 0, 2, 0, 1.0), ("a", 0, 2, 1, 2.0), ("a", 2, 4, 2, 5.0), ("a", 2, 4, 3, -1.0), (None, 0, 1, 0, 3.0), ("b", 0, 3, 0, 1.0), ("b", 0, 3, 1, 2.0), ("b", 0, 3, 2, 4.0), ("b", 1, 4, 1, 4.0), ("b", 1, 4, 2, 8.0), ("b", 1, 4, 3, 2.0)]
+    df = spark.createDataFrame(rows, "k string, start long, end long, pos long, value double")
+    got = {}
+    for r in align.stitch(df, "k", scale_only=True).collect():
+        got.setdefault(r["k"], {})[r["pos"]] = round(r["value"], 5)
+    assert got["a"] == {0: 1.0, 1: 2.0, 2: 5.0, 3: -1.0} and got[None] == {0: 3.0}
+    assert got["b"] == {0: 1.0, 1: 2.0, 2: 5.6, 3: 1.4}
+    assert align.stitch(df.where("false"), "k").count() == 0
+    with pytest.raises(ValueError):
+        s = align.Stitcher()
+        s.add(0, 10, np.ones(10))
+        s.add(2, 5, np.ones(3))
