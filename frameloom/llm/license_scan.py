@@ -1,11 +1,11 @@
 """Licence scans with a positional rare-token index.
 
-Templates of licence notices are indexed by word: postings (template, positions), ranked by IDF (document
-frequencies are counted over all documents). Of a file that has all words of a template's mandatory key phrase,
-the words of the highest IDF among those that the file shares with the template are looked up; postings that
-agree on the relative position vote for an alignment; an alignment with enough votes is a match only if
-the key phrase stands where the alignment puts it. Words that a file lacks take no part, however rare. Plain
-phrases with labels of their own (``base``) are found at every place they stand.
+Templates of licence notices are indexed by word: postings (template, positions), with the IDF of every word
+(document frequencies are counted over all documents). A file's licence words are looked up from the highest IDF down,
+and each template that they lead to takes the first few; where these, taken from their postings, agree on the relative
+position of file and template, that is an alignment; it is a match only if the mandatory key phrase stands where the
+alignment puts it. Words that a file lacks take no part, however rare. Plain phrases with labels of their own (``base``)
+are found at every place they stand.
 
 Words: A-Z is lower-cased, words are runs of letters a-z, digits and all code points from U+0080.
 
@@ -21,7 +21,6 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,19 +90,29 @@ class LicenseIndex:
             key = words_of(phrase)
             at = next(i for i in range(len(ws)) if ws[i : i + len(key)] == key)
             self.keys.append((key, at))
-        self.by_key: dict[bytes, list[int]] = defaultdict(list)
-        for k, (key, _) in enumerate(self.keys):
-            self.by_key[max(key, key=lambda w: (len(w), w))].append(k)
-        self.places = [defaultdict(list) for _ in self.words]
-        for ws, places in zip(self.words, self.places, strict=True):
+        #: word: the templates that have it, and where
+        self.postings: dict[bytes, list[tuple[int, list[int]]]] = defaultdict(list)
+        for k, ws in enumerate(self.words):
+            places: dict[bytes, list[int]] = defaultdict(list)
             for i, w in enumerate(ws):
                 places[w].append(i)
-        self.vocabulary = {w for ws in self.words for w in ws} | {w for ws, _ in self.phrases for w in ws}
+            for w, at in places.items():
+                self.postings[w].append((k, at))
+        self.vocabulary = self.postings.keys() | {w for ws, _ in self.phrases for w in ws}
         self.weigh({})
 
     def weigh(self, idf: dict[bytes, float]) -> None:
-        """Ranks each template's words by IDF, rarest first; ties and words that no document has by the words themselves."""
-        self.ranked = [sorted(places, key=lambda w: (-idf.get(w, math.inf), w)) for places in self.places]
+        """Ranks the templates' words by IDF, rarest first; ties and words that no document has by the words themselves."""
+        self.rank = {w: r for r, w in enumerate(sorted(self.postings, key=lambda w: (-idf.get(w, math.inf), w)))}
+
+    def candidates(self, found: set[bytes]) -> dict[int, list[tuple[bytes, list[int]]]]:
+        """Of each template that the file's licence words lead to, its rarest of them with their places in the template."""
+        out: dict[int, list[tuple[bytes, list[int]]]] = defaultdict(list)
+        for w in sorted(found & self.rank.keys(), key=self.rank.__getitem__):
+            for k, at in self.postings[w]:
+                if len(out[k]) < self.rare_words:
+                    out[k].append((w, at))
+        return out
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
@@ -127,10 +136,12 @@ class LicenseIndex:
                 spots += here
                 base |= {label} if here else set()
         labels, score, matches = set(base), 1.0 if base else 0.0, []
-        for k in (k for w in found & self.by_key.keys() for k in self.by_key[w] if found.issuperset(self.keys[k][0])):
+        for k, rare in self.candidates(found).items():
+            if len(rare) < self.least_votes or not found.issuperset(self.keys[k][0]):  # the phrase cannot stand anywhere
+                continue
             votes: Counter = Counter()
-            for w in islice((w for w in self.ranked[k] if w in found), self.rare_words):
-                votes.update(p - i for p in at(w) for i in self.places[k][w])
+            for w, there in rare:
+                votes.update(p - i for p in at(w) for i in there)
             key, i = self.keys[k]
             template = self.words[k]
             for offset, n in votes.items():

@@ -477,7 +477,8 @@ def _licences(text, index):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
     labels = {label for p, label in license_scan.BASE_PHRASES.items() if any(words[i : i + len(p.split())] == p.encode().split() for i in range(len(words)))}
     score = float(bool(labels))
-    for (label, notice, phrase), ranked in zip(license_scan.TEMPLATES, index.ranked, strict=True):
+    for label, notice, phrase in license_scan.TEMPLATES:
+        ranked = sorted(set(notice.encode().split()), key=index.rank.__getitem__)
         notice, phrase = notice.encode().split(), phrase.encode().split()
         rare = [w for w in ranked if w in words][:4]
         starts = [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
