@@ -137,6 +137,7 @@ def filtered_copy(spark, sf_dir):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/in").select("path")
     size = F.regexp_extract("path", r"p_size=(\d+)", 1).cast("int")
     copied = sinks.copy_files(files.where(size % 2 == 0).select("path", F.concat(F.lit(f"{out}/to/part-"), size.cast("string"), F.lit(".txt")).alias("target")))
-    copied.write.parquet(f"{out}/log")
+    copied.write.json(f"{out}/log")  # a line for each file
+    log = spark.read.schema("target string, size bigint").json(f"{out}/log").where("size > 0").select(F.regexp_extract("target", r"([^/]+)\.txt$", 1).alias("name"))
     lines = spark.read.text(f"{out}/to").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"))
-    return lines.groupBy("name").agg(F.count("*").alias("n_lines"))
+    return lines.groupBy("name").agg(F.count("*").alias("n_lines")).join(log, "name")

@@ -33,6 +33,32 @@ def write_summary(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_files(files: DataFrame) -> DataFrame:
+    """Writes rows (path, content) as a file each, whole or not at all; (path, size) of each, lazily, so act on it once.
+
+    A null content is an empty file; of rows with one path the last written stays.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                system, place = filesystem(path)
+                folder, content = os.path.dirname(place), content.as_py() or b""
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                temporary = f"{place}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(temporary) as out:
+                    out.write(content)
+                system.move(temporary, place)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(write, "path string, size long")
+
+
 def copy_files(files: DataFrame) -> DataFrame:
     """Copies the files of rows (path, target) as they are, streaming; (target, size) of each, lazily, so act on it once."""
 
