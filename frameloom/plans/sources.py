@@ -139,9 +139,9 @@ def intrinsics_source(spark, sf_dir):
 def focal_lines_source(spark, sf_dir):
     """Text of a line per frame whose first column is the focal length: frames are numbered by line."""
     out = scratch(spark, "focal")
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", (F.col("n_chars") * 1.5).alias("fx")))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: F.concat_ws(" ", r["fx"].cast("string"), F.lit("960 540"))), "\n")
-    d.select("source", text.alias("value")).write.partitionBy("source").option("lineSep", "\0").text(out)
+    line = F.concat_ws(" ", (F.col("n_chars") * 1.5).cast("string"), F.lit("960 540"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", line.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id")
+    d.select("source", "value").write.partitionBy("source").text(out)  # a file of a source's lines, in order
     return listing.focal_lines(spark, out, "source").withColumnRenamed("source", "scene")
 
 

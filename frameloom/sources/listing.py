@@ -39,9 +39,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def focal_lines(spark: SparkSession, path: str, scene: str) -> DataFrame:
-    """(scene, frame, fx): a file per scene folder, a line per frame, the focal length in its first column."""
-    lines = spark.read.text(path, wholetext=True).select(scene, F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("frame", "line"))
-    return lines.where("trim(line) <> ''").select(scene, F.col("frame").cast("long").alias("frame"), F.split(F.trim("line"), r"\s+")[0].cast("double").alias("fx"))
+    """(scene, frame, fx): a file per scene folder, a line per frame, empty ones counted, the focal length in its first column."""
+    read = spark.read.text(path).select(scene, "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    order = Window.partitionBy(scene).orderBy("file", "block", "line")  # lines of a block are read in order, and no file is read whole
+    lines = read.withColumn("frame", (F.row_number().over(order) - 1).cast("long"))
+    return lines.where("trim(value) <> ''").select(scene, "frame", F.split(F.trim("value"), r"\s+")[0].cast("double").alias("fx"))
 
 
 def scene_frames(spark: SparkSession, scenes: str, frames: str) -> DataFrame:
