@@ -77,7 +77,9 @@ def stroke_masks(spark, sf_dir):
     cx, cy, turn = 8.137 + k % 16, 4.291 + (k * 7) % 12, (k % 10) / d(10)
     circle = shapes.wavy_circle(cx, cy, 3.1 + n % 4, 0.5 + (n % 3) * 0.2, 3 + k % 4, 0.8 + (n % 5) * 0.1, 1.0 + (n % 3) * 0.2, turn, 24)
     figure = shapes.humanoid(cx, cy, d(2.3), d(2.7), 3.5 + (n % 4) * 0.5, d(0.3), turn, 12, 4)
-    drawn = table(spark, sf_dir, "part").select("p_partkey", F.when(n % 2 == 0, circle).otherwise(figure).alias("points"), (1.2137 + (n % 4) * 0.3719).alias("width"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a few bytes a row, and much work
+    drawn = parts.select("p_partkey", F.when(n % 2 == 0, circle).otherwise(figure).alias("points"), (1.2137 + (n % 4) * 0.3719).alias("width"))
     hit = shapes.rasterise(drawn, ["p_partkey"], "points", "width", (_H, _W))
     return hit.groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum(F.col("y") * _W + F.col("x")).cast("long").alias("places"))
 

@@ -88,6 +88,23 @@ def test_strokes_equal_a_distance_test(spark):
                     assert ((k, y, x) in got) == (best < width / 2), (k, y, x)
 
 
+def test_strokes_of_one_key_on_a_wide_raster(spark):
+    lines = [[(3.2, 2.1), (150.3, 2.1)], [(60.2, -3.0), (60.2, 9.0)], [(127.6, 4.2)], [(400.0, 2.0), (401.0, 2.0)]]
+    df = spark.createDataFrame([(7 if i < 3 else 8, p, 3.3) for i, p in enumerate(lines)], "k long, points array<struct<x:double,y:double>>, width double")
+    rows = shapes.rasterise(df, ["k"], "points", "width", (8, 130)).collect()
+    want = {(7, y, x) for y in range(8) for x in range(130) if min(_distance(x + 0.5, y + 0.5, *p[0], *p[-1]) for p in lines[:3]) < 1.65}
+    assert {(r["k"], r["y"], r["x"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_strokes_move_no_pieces(spark):
+    from frameloom.plans import QUERIES
+
+    plan = QUERIES["stroke_masks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "Sort" not in plan and "Window" not in plan and len(exchanges) == 1
+    assert "Generate" not in plan[plan.index(exchanges[0]) :]  # parts are dealt, not what is made of them
+
+
 def _distance(px, py, x0, y0, x1, y1):
     length = (x1 - x0) ** 2 + (y1 - y0) ** 2
     s = min(1, max(0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / length)) if length else 0
