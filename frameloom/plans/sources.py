@@ -202,7 +202,7 @@ def sharded_sink(spark, sf_dir):
 def _shards(spark, sf_dir):
     """Documents packed in order into tar shards of at most 200,000 characters for each source; (path, index)."""
     out = scratch(spark, "tar")
-    d = sampling.pack(table(spark, sf_dir, "documents").select("source", "doc_id", "text", "n_chars"), "source", ["doc_id"], "n_chars", 200_000)
+    d = sampling.pack(table(spark, sf_dir, "documents").select("source", "doc_id", "text", "n_chars"), "source", ["doc_id"], "n_chars", 200_000, block_rows=50_000)  # a task holds a block's texts
     shard = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.lpad(F.col("shard").cast("string"), 6, "0"))
     items = d.select(shard.alias("shard"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     tar.write_shards(items, out).write.parquet(f"{out}/index")
@@ -225,7 +225,7 @@ def _digests(members):
 
 @query(_MEMBERS)
 def tar_shard_ranges(spark, sf_dir):
-    """Whole tar shards in ranges of 64 KB, each beginning at the last header that the index knows before it."""
+    """Whole tar shards in ranges of 64 KB dealt to tasks; what a task reads of a shard begins at the last header that the index knows before it."""
     path, _ = _shards(spark, sf_dir)
     return _digests(tar_source.register(spark).read.format("tarshards").option("splitBytes", 1 << 16).option("batchBytes", 1 << 18).option("index", f"{path}/index").load(path))
 

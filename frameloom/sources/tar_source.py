@@ -1,6 +1,8 @@
 """Tar shards as a data source, batch and stream: ``spark.read.format("tarshards").load(folder)``.
 
-Files are listed by the driver and cut into ranges of bytes. A task reads the members whose headers begin in its range: it
+Files are listed by the driver and cut into ranges of bytes, which are dealt in order to tasks: to ``TASKS`` of them, or to
+more where these would pass ``TASK_BYTES``, as a task costs far more than a small range. A task reads neighbouring ranges of
+a file as one, and the members whose headers begin there: it
 walks from header to header, reading no contents, to the first of them, from the start of the file or, where an index is
 given, from the last header that the index knows before the range. Rows
 come in batches bounded by bytes, so neither a shard nor a row count decides the memory; a member has to fit in a row.
@@ -19,7 +21,7 @@ import sys
 import tarfile
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -30,6 +32,9 @@ from pyspark.sql.types import StructType
 NAME, SCHEMA = "tarshards", "shard_path string, member_name string, offset bigint, size bigint, content binary"
 _ARROW = pa.schema([("shard_path", pa.string()), ("member_name", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("content", pa.binary())])
 
+#: Ranges are dealt to so many tasks, or to as many as hold so many bytes each.
+TASKS, TASK_BYTES = 200, 128 << 20
+
 # planners and workers need not find this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,6 +49,13 @@ class ByteRange(InputPartition):
     first: int
 
 
+@dataclass(frozen=True)
+class Task(InputPartition):
+    """What a task reads, in order."""
+
+    parts: tuple[ByteRange, ...]
+
+
 def _place(uri: str):
     """(pyarrow filesystem, path in it, what precedes such paths in a uri)."""
     from pyarrow import fs
@@ -70,15 +82,17 @@ def list_shards(uri: str) -> list[tuple[int, str, int]]:
 
 def indexed_ends(uri: str, split: int) -> dict[tuple[str, int], int]:
     """The last end of a member (where a header begins) in each range of each shard of an index: at most a number a range, whatever the number of members."""
+    import pyarrow.compute as pc
     import pyarrow.dataset as ds
 
     system, path, _ = _place(uri)
     out: dict[tuple[str, int], int] = {}
     for batch in ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=["shard_path", "offset", "size"]):
-        for shard, offset, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            end = offset + size + -size % 512
-            key = (shard, end // split)
-            out[key] = max(end, out.get(key, 0))
+        blocks = pc.divide(pc.add(batch["size"], 511), 512)
+        end = pc.add(batch["offset"], pc.multiply(blocks, 512))
+        found = pa.table({"shard": batch["shard_path"], "k": pc.divide(end, split), "end": end}).group_by(["shard", "k"]).aggregate([("end", "max")])
+        for shard, k, last in zip(*[found[c].to_pylist() for c in ("shard", "k", "end_max")], strict=True):
+            out[shard, k] = max(last, out.get((shard, k), 0))
     return out
 
 
@@ -92,6 +106,21 @@ def ranges(files: list[tuple[int, str, int]], split: int, ends: dict[tuple[str,
     return out
 
 
+def tasks(parts: list[ByteRange]) -> list[Task]:
+    """The ranges dealt in order, neighbours of a file as one range."""
+    n = min(len(parts), max(TASKS, -(-sum(p.stop - p.start for p in parts) // TASK_BYTES)))
+    out = []
+    for i in range(n):
+        joined: list[ByteRange] = []
+        for p in parts[i * len(parts) // n : (i + 1) * len(parts) // n]:
+            if joined and joined[-1].path == p.path and joined[-1].stop == p.start:
+                joined[-1] = replace(joined[-1], stop=p.stop)
+            else:
+                joined.append(p)
+        out.append(Task(tuple(joined)))
+    return out
+
+
 def read_range(part: ByteRange, batch_bytes: int, contents: bool) -> Iterator[pa.RecordBatch]:
     """The rows of a range, in batches of at most batch_bytes of contents (one member at least)."""
     system, path, _ = _place(part.path)
@@ -140,8 +169,12 @@ class _Settings:
         if self.split < 512 or self.batch < 1:
             raise ValueError("splitBytes has to be 512 at least and batchBytes 1")
 
-    def plan(self, files: list[tuple[int, str, int]]) -> list[ByteRange]:
-        return ranges(files, self.split, indexed_ends(self.index, self.split) if self.index else {})
+    def plan(self, files: list[tuple[int, str, int]]) -> list[Task]:
+        return tasks(ranges(files, self.split, indexed_ends(self.index, self.split) if self.index else {}))
+
+    def read(self, task: Task | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task else ():  # Spark asks for None where nothing is planned
+            yield from read_range(part, self.batch, self.contents)
 
 
 class TarShards(DataSource):
@@ -165,11 +198,11 @@ class _Batch(DataSourceReader):
     def __init__(self, settings: _Settings):
         self.settings = settings
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[Task]:
         return self.settings.plan(list_shards(self.settings.path))
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition, self.settings.batch, self.settings.contents)
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        return self.settings.read(partition)
 
 
 class _Stream(DataSourceStreamReader):
@@ -184,12 +217,12 @@ class _Stream(DataSourceStreamReader):
         files = [f for f in list_shards(self.settings.path) if f[0] <= young]
         return {"changed": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[Task]:
         low, high = ((o["changed"], o["path"]) for o in (start, end))
         return self.settings.plan([f for f in list_shards(self.settings.path) if low < f[:2] <= high])
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition, self.settings.batch, self.settings.contents)
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        return self.settings.read(partition)
 
     def commit(self, end: dict) -> None:
         pass

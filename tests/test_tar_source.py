@@ -68,6 +68,25 @@ def test_a_range_reads_its_own_bytes_only(shards):
     assert sum(n for n, _ in sizes) == len(want) and all(n == 1 or size <= 4_096 for n, size in sizes)
 
 
+def test_small_ranges_share_tasks(spark, shards):
+    path, want = shards
+    parts = tar_source.ranges(tar_source.list_shards(f"file://{path}"), 512, {})
+    tasks = tar_source.tasks(parts)
+    assert len(parts) > len(tasks) == tar_source.TASKS
+    dealt = [p for t in tasks for p in t.parts]
+    assert [(p.path, p.start) for p in parts] == [(p.path, at) for p in dealt for at in range(p.start, p.stop, 512)]
+    assert all(a.path != b.path for t in tasks for a, b in zip(t.parts, t.parts[1:], strict=False))
+    df = tar_source.register(spark).read.format("tarshards").option("splitBytes", 512).load(f"file://{path}")
+    assert df.rdd.getNumPartitions() == tar_source.TASKS and _got(df) == want
+    huge = [tar_source.ByteRange("x", k * tar_source.TASK_BYTES, (k + 1) * tar_source.TASK_BYTES, 0) for k in range(3 * tar_source.TASKS)]
+    assert [t.parts for t in tar_source.tasks(huge)] == [(p,) for p in huge]
+
+
+def test_an_empty_folder_has_no_members(spark, tmp_path):
+    assert tar_source.register(spark).read.format("tarshards").load(f"file://{tmp_path}").collect() == []
+    assert tar_source.tasks([]) == []
+
+
 def test_a_stream_reads_each_file_once(spark, shards, tmp_path_factory):
     path, want = shards
     out = tmp_path_factory.mktemp("stream")
