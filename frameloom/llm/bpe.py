@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -86,17 +85,19 @@ class CachedEncoder:
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self._pieces = _Cache(self._piece, max_cached)
         self._words = _Cache(self._behind_space, max_cached)
+        self._bytes = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=-1))]
         self._newline = self._ids("\n") if self.known else b""
 
     def forget(self) -> None:
-        """Empties the caches: workers live on, and their memory is shared with later stages."""
+        """Empties the caches: workers live on, and later stages may need their memory."""
         for cache in (self._pieces, self._words):
             cache.clear()
             cache.old = {}
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece in the vocabulary's characters."""
-        return array("I", [t.id for t in self._tokenize(piece)]).tobytes()
+        known = self._bytes
+        return b"".join([known[t.id] for t in self._tokenize(piece)])
 
     def _ids(self, chunk: str) -> bytes:
         """Ids of a chunk that may begin with a space."""

@@ -72,7 +72,7 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all texts, read back; null texts are the end id alone, null ids come first, ties in text order."""
-    return token_files.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_files.token_files(table(spark, sf_dir, "documents"), TOKENIZER, keep_words=True)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,10 +121,11 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
             held, have, start = [flat[end - start :]], len(flat) - (end - start), end
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 20, shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 20, shards: int | None = None, keep_words: bool = False) -> DataFrame:
     """Encodes whole texts, appends end_id to each and writes shards in ascending id order; returns (shard, uri, n_docs, n_tokens).
 
-    The texts are dealt by id range once and encoded where their shard is written.
+    The texts are dealt by id range once and encoded where their shard is written. With keep_words a worker's bounded
+    caches serve its later tasks too, about half of whose distinct words they hold; else their memory is freed for later stages.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         shard, summary = first.column(2)[0].as_py(), {}
         uri = f"{path}/shard-{shard:06d}.tok"
         write_file(uri, shard_bytes(rows(), block_ids, summary))
-        encoder(tokenizer).forget()
+        if not keep_words:
+            encoder(tokenizer).forget()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([summary["n_docs"]], pa.int64()), pa.array([summary["n_tokens"]], pa.int64())], ["shard", "uri", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

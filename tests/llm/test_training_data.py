@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,6 +389,23 @@ def test_blocks_round_trip():
         assert len(data) == d and token_files.decode_block(table, control, data, k).tolist() == ids.tolist()
 
 
+def test_token_files_keep_words_for_later_tasks(spark):
+    def held(batches):
+        from frameloom.llm.bpe import encoder
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoder(queries.TOKENIZER)._words)], pa.int64())], ["n"])
+
+    def most() -> int:
+        return spark.range(0, 400, 1, 8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = token_files.token_files(docs, queries.TOKENIZER, shards=4).collect()
+    assert sorted(queries.op5_token_files(spark, SF).collect()) == sorted(plain)
+    assert most() > 0
+    assert sorted(token_files.token_files(docs, queries.TOKENIZER, shards=4, keep_words=True).collect()) == sorted(plain)
+
+
 def test_token_files_of_real_and_hard_rows(spark, real, hard):
     from tokenizers import Tokenizer
 
