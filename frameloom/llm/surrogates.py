@@ -31,6 +31,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +179,11 @@ def secret_form(text: str) -> tuple[str, int, list[str]]:
     return "any", 0, [_DIGITS, _LOWER]
 
 
+def _side(size: int) -> int:
+    """The longer side of a rectangle of at least size places: the root's ceiling, for large sizes the next power of two."""
+    return isqrt(size - 1) + 1 if size <= 1 << 40 else 1 << ((size - 1).bit_length() + 1) // 2
+
+
 class Surrogates:
     """Keyed replacements; the same key gives the same ones."""
 
@@ -207,9 +213,7 @@ class Surrogates:
         """A keyed permutation of [0, size) without a fixed point (if size > 1)."""
         if size < 2:
             return value
-        b = 1
-        while b * b < size:
-            b += max(1, b if b * b * 4 <= size else 1) if b < 1 << 20 else b
+        b = _side(size)
         a, name = -(-size // b), tag.encode() + size.to_bytes((size.bit_length() + 7) // 8, "little")
 
         def walk(v: int, forward: bool) -> int:
