@@ -29,7 +29,7 @@ import hashlib
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import isqrt
 
@@ -60,52 +60,115 @@ GIVEN_NAMES = [
 _GIVEN_LIST = {name: names for names in GIVEN_NAMES for name in names}
 
 
-def _characters(*categories: str) -> str:
-    """The characters of these categories, as ranges of a regular expression's set."""
-    out: list[list[int]] = []
-    for c in range(0x80, sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) in categories:
-            if out and out[-1][1] == c - 1:
-                out[-1][1] = c
-            else:
-                out.append([c, c])
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+def _characters(*sets: tuple[str, ...]) -> Iterator[str]:
+    """The characters of each set of categories, as ranges of a regular expression's set."""
+    kinds = list(map(unicodedata.category, map(chr, range(0x80, sys.maxunicode + 1))))
+    for categories in sets:
+        out: list[list[int]] = []
+        for c, kind in enumerate(kinds, 0x80):
+            if kind in categories:
+                if out and out[-1][1] == c - 1:
+                    out[-1][1] = c
+                else:
+                    out.append([c, c])
+        yield "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def _places(pattern: str) -> Callable[[str], list[int]]:
+    """A function of a text: where the pattern matches. One that begins with a set or with letters is searched much faster."""
+    compiled = re.compile(pattern)
+    return lambda text: [m.start() for m in compiled.finditer(text)]
+
 
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of these words, by their first letters."""
+    rests: dict[str, list[str]] = {}
+    for w in sorted(words):
+        rests.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items())
 
-_FIRST, _MARKS = "A-Z" + _characters("Lu", "Lt", "Lo"), _characters("Mn", "Mc")
+
+_FIRST_KINDS = ("Lu", "Lt", "Lo")
+_FIRST, _MARKS = _characters(_FIRST_KINDS, ("Mn", "Mc"))
+_FIRST = "A-Z" + _FIRST
 _GAP = r"[ \t\u00a0\u3000]+"
 #: A word of a name; an 's behind it is not part of it.
-_WORD = rf"[{_FIRST}](?:[\w{_MARKS}]|['’-](?!s\b)(?=\w))*+"
+_JOINERS = "'’-"
+_REST = rf"(?:[\w{_MARKS}]|[{_JOINERS}](?!s\b)(?=\w))*+"
+_WORD = rf"[{_FIRST}]{_REST}"
 _INITIAL = rf"[{_FIRST}][{_MARKS}]*\."
 _PARTICLES = rf"(?:(?:von|vom|van|der|den|de|del|della|di|da|do|dos|das|du|la|le|las|los|zu|zum|zur|ten|ter|af|av|bin|ibn|al|el|y|e){_GAP}){{0,3}}"
 _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Señora Señor Sra Sr Madame Monsieur Mme".split()
+_TITLE_STARTS = _places(rf"(?:{_any_of({*_TITLES, *(t.upper() for t in _TITLES)})})(?=[.\r\n \t\u00a0\u3000])")
 _TITLES = "|".join(_TITLES + sorted({t.upper() for t in _TITLES}))
 _PART = rf"(?!(?:{_TITLES})\b)(?:{_INITIAL}|{_WORD})"
 _NAME = rf"{_PARTICLES}{_PART}(?:(?:(?<=\.)(?:{_GAP})?|{_GAP}){_PARTICLES}{_PART})*"
-_GIVEN = "|".join(sorted({form for name in _GIVEN_LIST for form in (name.capitalize(), name.upper())}))
-_ANY_WORD = re.compile(rf"(?<![\w{_MARKS}]){_WORD}")
-PATTERNS: list[tuple[str, str, Callable[[str], bool], re.Pattern]] = [
-    ("email", "", lambda t: "@" in t, re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+")),
-    ("secret", "", lambda t: "=" in t or ":" in t, re.compile(r"(?i:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"']{6,})")),
-    ("secret", "1", lambda t: True, re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|[0-9a-f]{32,64})\b")),
-    ("iban", "1", lambda t: True, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("ip", "1", lambda t: "." in t, re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
-    ("phone", "1", lambda t: True, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)")),
-    ("ssn", "1", lambda t: "-" in t, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("card", "1", lambda t: True, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
-    ("name", "", lambda t: True, re.compile(rf"\b(?:{_TITLES})\b\.?(?:{_GAP}|[ \t]*\r?\n[ \t]*)(?:(?:{_TITLES})\b\.?{_GAP})*({_NAME})")),
-    ("name", "", lambda t: not _GIVEN_LIST.keys().isdisjoint(re.findall(r"\w+", t.lower())), re.compile(rf"(?<![\w{_MARKS}])((?:{_GIVEN})(?:(?:-(?:{_GIVEN}))?{_GAP}{_PARTICLES}{_PART})+)(?![\w{_MARKS}])")),
+_GIVEN = sorted({form for name in _GIVEN_LIST for form in (name.capitalize(), name.upper())})
+_GIVEN_STARTS = _places(rf"(?:{_any_of(_GIVEN)})(?=[- \t\u00a0\u3000])")
+_GIVEN = "|".join(_GIVEN)
+_ANY_WORD = re.compile(rf"[{_FIRST}](?<![\w{_MARKS}].){_REST}")
+_IN_WORD = re.compile(rf"[\w{_MARKS}{_JOINERS}]")
+#: Characters that may begin a word of a name, by the first character they fold to where it is another; none is above U+1FFFF.
+_UNFOLDED: dict[str, str] = {}
+for _ch in map(chr, range(0x20000)):
+    if (_low := _ch.casefold()[0]) != _ch and unicodedata.category(_ch) in _FIRST_KINDS:
+        _UNFOLDED[_low] = _UNFOLDED.get(_low, "") + _ch
+_USER_CHARACTER = re.compile(r"[\w.+%-]")
+
+
+def _user_starts(text: str) -> list[int]:
+    """Where the run of characters of a user's name that ends before an @ begins."""
+    out, at = [], text.find("@")
+    while at >= 0:
+        start = at
+        while start and _USER_CHARACTER.match(text, start - 1):
+            start -= 1
+        out.append(start)
+        at = text.find("@", at + 1)
+    return out
+
+
+#: Where a number may begin: +, ( or the first digit of a run.
+_NUMBER_STARTS = _places(r"[+(\d](?<!\d\d)")
+#: Type, what a text needs, places where alone the pattern can match, pattern.
+PATTERNS: list[tuple[str, str, Callable[[str], bool], Callable[[str], list[int]], re.Pattern]] = [
+    ("email", "", lambda t: "@" in t, _user_starts, re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+")),
+    ("secret", "", lambda t: "=" in t or ":" in t, _places(r"[pP](?=[aAwW])|[tT](?=[oO])|[sSſ](?=[eE])|[aA](?=[pPcC])"), re.compile(r"(?i:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"']{6,})")),
+    ("secret", "1", lambda t: True, _places(r"[0-9a-fAg](?<!\w.)(?=[0-9a-fKh][0-9a-fIpousr])"), re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|[0-9a-f]{32,64})\b")),
+    ("iban", "1", lambda t: True, _places(r"[A-Z](?<!\w.)(?=[A-Z]\d\d)"), re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("ip", "1", lambda t: "." in t, _NUMBER_STARTS, re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
+    ("phone", "1", lambda t: True, _NUMBER_STARTS, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)")),
+    ("ssn", "1", lambda t: "-" in t, _NUMBER_STARTS, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    ("card", "1", lambda t: True, _NUMBER_STARTS, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
+    ("name", "", lambda t: True, _TITLE_STARTS, re.compile(rf"\b(?:{_TITLES})\b\.?(?:{_GAP}|[ \t]*\r?\n[ \t]*)(?:(?:{_TITLES})\b\.?{_GAP})*({_NAME})")),
+    ("name", "", lambda t: True, _GIVEN_STARTS, re.compile(rf"(?<![\w{_MARKS}])((?:{_GIVEN})(?:(?:-(?:{_GIVEN}))?{_GAP}{_PARTICLES}{_PART})+)(?![\w{_MARKS}])")),
 ]
-_HAS_DIGIT = re.compile(r"\d")
+#: The digits beyond ASCII begin at U+0660.
+_OTHER_DIGIT = re.compile(r"[\u0660-\U0010ffff](?<=\d)")
+
+
+def _has_digit(text: str) -> bool:
+    return any(map(text.__contains__, _DIGITS)) or not text.isascii() and bool(_OTHER_DIGIT.search(text))
+
+
+def _matches(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
+    """What pattern.finditer finds, where the pattern can only match at the places."""
+    end = 0
+    for place in places:
+        if place >= end and (m := pattern.match(text, place)):
+            end = m.end()
+            yield m
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities of a text, without overlaps."""
-    found, digit = [], bool(_HAS_DIGIT.search(text))
-    for kind, needs, may, pattern in PATTERNS:
+    found, digit, known = [], _has_digit(text), {}
+    for kind, needs, may, places, pattern in PATTERNS:
         if needs and not digit or not may(text):
             continue
-        found += [(*m.span(pattern.groups), kind) for m in pattern.finditer(text)]
+        if places not in known:
+            known[places] = places(text)
+        found += [(*m.span(pattern.groups), kind) for m in _matches(pattern, text, known[places])]
     found += _mentions(text, [text[a:b] for a, b, kind in found if kind == "name"])
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
@@ -119,12 +182,37 @@ def _cased(text: str) -> bool:
     return text.lower() != text.upper()
 
 
+@lru_cache(maxsize=10_000)
+def _firsts(folded: str) -> Callable[[str], list[int]]:
+    """A function of a text: places of the characters that may begin a word of a name and become one of these by case folding."""
+    found = [c for f in folded for c in _UNFOLDED.get(f, "") + (f if unicodedata.category(f) in _FIRST_KINDS else "")]
+    return _places(f"[{re.escape(''.join(found))}]") if found else lambda text: []
+
+
+def _words_from(text: str, places: list[int]) -> Iterator[re.Match]:
+    """Those matches of _ANY_WORD.finditer that begin at the places; each character is passed twice at most."""
+    end = 0
+    for place in places:
+        at = place
+        if place < end or place and text[place - 1] not in _JOINERS and _IN_WORD.match(text, place - 1):
+            continue  # in a word
+        while at > end and _IN_WORD.match(text, at - 1):  # a word that begins earlier may reach over the place
+            at -= 1
+        while at <= place:
+            m = _ANY_WORD.match(text, at)
+            if m and at == place:
+                yield m
+            at = m.end() if m else at + 1
+        end = at
+
+
 def _mentions(text: str, names: list[str]) -> Iterator[tuple[int, int, str]]:
     """All places of the words of names; initials are too short to tell."""
     words = {w for name in names for w in _ANY_WORD.findall(name) if len(w) > 1}
     cased = {w.casefold() for w in words if _cased(w)}
     if cased:
-        yield from ((*m.span(), "name") for m in _ANY_WORD.finditer(text) if m[0].casefold() in cased)
+        firsts = "".join(sorted({w[0] for w in cased}))
+        yield from ((*m.span(), "name") for m in _words_from(text, _firsts(firsts)(text)) if m[0].casefold() in cased)
     if len(cased) < len(words):  # scripts without case often have no spaces either
         others = sorted((w for w in words if not _cased(w)), key=lambda w: (-len(w), w))
         yield from ((*m.span(), "name") for m in re.finditer("|".join(map(re.escape, others)), text))
@@ -194,7 +282,9 @@ class Surrogates:
     def _round(self, tag: bytes, value: int, size: int) -> int:
         width = (size.bit_length() + 7) // 8 + 8
         data = tag + value.to_bytes((max(1, value.bit_length()) + 7) // 8, "little")
-        stream = b"".join(hashlib.blake2b(data + bytes([i]), key=self.key, digest_size=64).digest() for i in range(width // 64 + 1))
+        stream = hashlib.blake2b(data + b"\0", key=self.key, digest_size=64).digest()
+        for i in range(1, width // 64 + 1):
+            stream += hashlib.blake2b(data + bytes([i]), key=self.key, digest_size=64).digest()
         return int.from_bytes(stream[:width], "little") % size
 
     def _feistel(self, tag: bytes, value: int, a: int, b: int, forward: bool) -> int:
